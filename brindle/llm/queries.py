@@ -1,9 +1,11 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
 from .simhash import op3_simhash_near_dedup
+from .tokens import op4_token_id_shards
 
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_token_id_shards": op4_token_id_shards,
 }
 
 ORACLE_SQL = {}
