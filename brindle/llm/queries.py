@@ -1,11 +1,13 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
+from .lines import op8_line_dedup
 from .simhash import op3_simhash_near_dedup
 from .tokens import op4_token_id_shards
 
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_id_shards": op4_token_id_shards,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 ORACLE_SQL = {}
