@@ -1,6 +1,8 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
 from .lines import op8_line_dedup
+from .mixing import op9_mix_sources
+from .sharding import op10_balanced_shards
 from .simhash import op3_simhash_near_dedup
 from .tokens import op4_token_id_shards
 
@@ -8,6 +10,8 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_id_shards": op4_token_id_shards,
     "op8_line_dedup": op8_line_dedup,
+    "op9_mix_sources": op9_mix_sources,
+    "op10_balanced_shards": op10_balanced_shards,
 }
 
 ORACLE_SQL = {}
