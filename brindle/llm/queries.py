@@ -2,16 +2,22 @@
 
 from .lines import op8_line_dedup
 from .mixing import op9_mix_sources
+from .quality import op7_quality_rules
 from .sharding import op10_balanced_shards
 from .simhash import op3_simhash_near_dedup
 from .tokens import op4_token_id_shards
+from .warc import OP5_SQL, op5_warc_round_trip
 
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_id_shards": op4_token_id_shards,
+    "op5_warc_round_trip": op5_warc_round_trip,
+    "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_balanced_shards": op10_balanced_shards,
 }
 
-ORACLE_SQL = {}
+ORACLE_SQL = {
+    "op5_warc_round_trip": OP5_SQL,
+}
