@@ -1,5 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
+from .decontaminate import op6_decontaminate
 from .lines import op8_line_dedup
 from .mixing import op9_mix_sources
 from .quality import op7_quality_rules
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_id_shards": op4_token_id_shards,
     "op5_warc_round_trip": op5_warc_round_trip,
+    "op6_decontaminate": op6_decontaminate,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
