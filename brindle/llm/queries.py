@@ -3,6 +3,7 @@
 from .decontaminate import op6_decontaminate
 from .lines import op8_line_dedup
 from .mixing import op9_mix_sources
+from .pii import op1_find_pii
 from .quality import op7_quality_rules
 from .sharding import op10_balanced_shards
 from .simhash import op3_simhash_near_dedup
@@ -10,6 +11,7 @@ from .tokens import op4_token_id_shards
 from .warc import OP5_SQL, op5_warc_round_trip
 
 QUERIES = {
+    "op1_find_pii": op1_find_pii,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_id_shards": op4_token_id_shards,
     "op5_warc_round_trip": op5_warc_round_trip,
