@@ -166,6 +166,19 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.08, least_ch
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], MATCH)
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, rate: float = 0.08, least_chars: int = 40, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of docs that hold no item."""
+    for block in item_blocks(items, block_chars, "item_id", "text"):
+
+        def run(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            own = Items(block, rate, least_chars)
+            for batch in slices(batches, 256):
+                yield batch.filter(pa.array([not own.matches(plain(x.as_py() or "")) for x in column(batch, "text")], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents only."""
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -8,10 +8,12 @@ from .quality import op7_quality_rules
 from .sharding import op10_balanced_shards
 from .simhash import op3_simhash_near_dedup
 from .tokens import op4_token_id_shards
+from .toxicity import op2_toxicity
 from .warc import OP5_SQL, op5_warc_round_trip
 
 QUERIES = {
     "op1_find_pii": op1_find_pii,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_id_shards": op4_token_id_shards,
     "op5_warc_round_trip": op5_warc_round_trip,

@@ -54,14 +54,15 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row (id, fp long) for each document; fp holds the 64 bits as a signed number."""
+    """A row (id, text_hash, fp long) for each document; fp holds the 64 bits as a signed number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fp = np.array([fingerprint(x, shingle) for x in texts(column(batch, "text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), pa.array(fp)], ["id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, text_hash long, fp long")
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -208,7 +209,8 @@ def links(nodes: DataFrame, radius: int, cell: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, cell: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row (id, fp, component_id) for each document."""
+    """A row (id, text_hash, fp, component, component_id) for each document; component tells components without any
+    identifier apart."""
     fps = cut(fingerprints(docs, shingle, id_col, text_col))
     first = fps.groupBy("fp").agg(F.min("id").alias("first"))
     nodes = cut(first.select("fp", "first", F.xxhash64("fp").alias("node")))  # a bijection of fp: distinct, and well spread
@@ -216,7 +218,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, cell: in
     named = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut(named.select("fp", "first", "root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    by_fp = named.join(smallest, "root").select("fp", F.col("root").alias("component"), "component_id")
+    return fps.join(by_fp, "fp").select("id", "text_hash", "fp", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the one with the smallest doc_id."""
+    chosen = near_duplicates(docs, shingle, radius).filter(F.col("id").eqNullSafe(F.col("component_id"))).dropDuplicates(["component"])
+    key = lambda id_, h: F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("none")), h.cast("string"))
+    keys = chosen.select(key(F.col("id"), F.col("text_hash")).alias("_key"))
+    kept = docs.withColumn("_key", key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(keys, "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
