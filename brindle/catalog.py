@@ -1,15 +1,3 @@
 """All queries of the relational part, by name, and the SQL of those that SQL can express."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def q1_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    return items.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.count("*").alias("count_order"))
-
-
-QUERIES = {"q1_pricing_summary": q1_pricing_summary}
-ORACLE_SQL: dict[str, str] = {}
+from brindle.plans import ORACLE_SQL, QUERIES, aggregates, io, joins, relational, scalars, streams, udfs, windows  # noqa: F401  the modules register theirs
