@@ -22,6 +22,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
@@ -40,18 +41,22 @@ INDEX = "<QQH"  # offset, length, bytes of the last key
 BLOCK = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
-#: Texts are cut only where no pretoken can span: a space between two characters that aren't white space.
-SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-UNSAFE = re.compile(r" \s|\s |^ | \Z")
-CACHE = 400_000
+#: Texts are cut only where no pretoken can span: before a space or line end between two other characters.
+SAFE_CUT = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n\S))")
+UNSAFE = re.compile(r"\s\s")
+#: Letters in any version of Unicode; a space and a run of them are one pretoken.
+LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Kept parts in each worker; beyond that the long ones go, which seldom come again.
+CACHE, SHORT = 500_000, 8
 
 
 class Encoder:
     """Encodes texts with a tokenizer of the tokenizers library.
 
     For byte-level BPE with the usual word pattern, a space between two visible characters always starts a
-    pretoken, so a text's ids are those of its parts cut there.  Parts repeat, so their ids are kept (CACHE of them
-    at most) in the worker process, across tasks; the library encodes each new part.
+    pretoken, and a line end there is one, so a text's ids are those of its parts cut there.  A part stands for
+    itself behind a space, or begins with its line end.  Parts repeat, so their ids are kept in the worker process,
+    across tasks.  The library encodes each new part; letters are one pretoken and go straight to its BPE model.
     """
 
     def __init__(self, path: str):
@@ -62,27 +67,45 @@ class Encoder:
         if path not in kept:
             kept[path] = tokenizers.Tokenizer.from_file(path), {}
         self.tokenizer, self.parts = kept[path]
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        # byte-level vocabularies write the bytes that aren't visible in Latin-1 as the characters from U+0100 on
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+        self.visible = {b: 256 + i for i, b in enumerate(hidden)}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, f"<u{self.width}").tobytes() for x in found]
 
+    def word(self, letters: str, space: str = "\u0120") -> bytes:
+        shown = space + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.visible))
+        return array("H" if self.width == 2 else "I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+
+    def cut(self, text: str) -> list[str]:
+        if UNSAFE.search(text) or text[:1].isspace() or text[-1:].isspace():
+            return SAFE_CUT.split(text)
+        return text.replace("\n", " \n").split(" ")
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = self.parts
-        cut = [SAFE_CUT.split(x) if UNSAFE.search(x) else x.split(" ") for x in texts]
+        parts, letters, word = self.parts, LETTERS.fullmatch, self.word
+        cut = [self.cut(x) for x in texts]
         if len(parts) > CACHE:
+            short = {k: v for k, v in parts.items() if len(k) <= SHORT}
             parts.clear()
-        new = set().union(*(x[1:] for x in cut)).difference(parts)
-        # a mark behind letters is a pretoken of its own
-        marked = [x for x in new if x[-1:] in (".", ",") and x[:-1].isalpha()]
-        new.difference_update(marked)
-        new.update(x[:-1] for x in marked if x[:-1] not in parts)
-        new = list(new)
-        parts.update(zip(new, self.ids([" " + x for x in new])))
-        if marked:
-            mark = dict(zip(".,", self.ids([".", ","])))
-            parts.update((x, parts[x[:-1]] + mark[x[-1]]) for x in marked)
+            if len(short) < CACHE // 2:
+                parts.update(short)
+        stop, comma, line = self.ids([".", ",", "\n"])
+        rest = []
+        for x in set().union(*(x[1:] for x in cut)).difference(parts):
+            if letters(x):
+                parts[x] = word(x)
+            elif (mark := x[-1:]) in ".," and letters(x, 0, len(x) - 1):  # a mark behind letters is a pretoken of its own
+                parts[x] = (parts.get(x[:-1]) or word(x[:-1])) + (stop if mark == "." else comma)
+            elif x[:1] == "\n" and letters(x, 1):
+                parts[x] = line + word(x[1:], "")
+            else:
+                rest.append(x)
+        parts.update(zip(rest, self.ids([x if x[:1] == "\n" else " " + x for x in rest])))
         return [a + b"".join(map(parts.__getitem__, x[1:])) for a, x in zip(self.ids([x[0] for x in cut]), cut)]
 
 
