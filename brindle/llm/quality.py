@@ -101,3 +101,25 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
+
+def rules_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The table of rules as a condition of SQL."""
+    sides = [(f"{m} >= {a}", n) for m, a, _, n in rules if a is not None] + [(f"{m} <= {b}", n) for m, _, b, n in rules if b is not None]
+    return " AND ".join(f"(coalesce({x}, true) OR n_words < {n})" for x, n in sides)
+
+
+OP7_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines FROM t),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+d AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, CAST(sum(least(5, coalesce(next - i, 5))) AS BIGINT) AS n_repeat_words FROM d GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(text, '[^!]', '', 'g')) AS BIGINT) AS n_exclamations, CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper,
+    CAST(len([x for x in words if list_contains([{", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}], lower(translate(x, '{MARKS}', '')))]) AS BIGINT) AS n_stop_words,
+    CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
+x AS (SELECT *, word_chars / nullif(n_words, 0) AS mean_word_chars, n_symbols / nullif(n_words, 0) AS symbols_per_word, n_exclamations / nullif(n_words, 0) AS exclamations_per_word,
+    n_upper / nullif(word_chars, 0) AS upper_share, n_stop_words / nullif(n_words, 0) AS stop_word_share, n_dup_lines / nullif(n_lines, 0) AS dup_line_share,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {rules_sql()} AS kept FROM x
+"""

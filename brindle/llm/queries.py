@@ -1,10 +1,10 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
 from .decontaminate import op6_decontaminate
-from .lines import op8_line_dedup
+from .lines import OP8_SQL, op8_line_dedup
 from .mixing import op9_mix_sources
 from .pii import op1_find_pii
-from .quality import op7_quality_rules
+from .quality import OP7_SQL, op7_quality_rules
 from .sharding import op10_balanced_shards
 from .simhash import op3_simhash_near_dedup
 from .tokens import op4_token_id_shards
@@ -26,4 +26,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_warc_round_trip": OP5_SQL,
+    "op7_quality_rules": OP7_SQL,
+    "op8_line_dedup": OP8_SQL,
 }
