@@ -44,10 +44,21 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Texts are cut only where no pretoken can span: before a space or line end between two other characters.
 SAFE_CUT = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n\S))")
 UNSAFE = re.compile(r"\s\s")
-#: Letters in any version of Unicode; a space and a run of them are one pretoken.
-LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: A part as most are: perhaps a line end, letters (in any version of Unicode), perhaps ASCII marks; each a pretoken.
+USUAL = re.compile(r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)\Z")
 #: Kept parts in each worker; beyond that the long ones go, which seldom come again.
-CACHE, SHORT = 500_000, 8
+CACHE, SHORT = 600_000, 8
+
+
+class Parts(dict):
+    """Ids of parts, made when first asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, part: str) -> bytes:
+        self[part] = ids = self.encode(part)
+        return ids
 
 
 class Encoder:
@@ -65,48 +76,47 @@ class Encoder:
 
         kept = tokenizers.__dict__.setdefault("_brindle", {})  # this module lives as long as the worker
         if path not in kept:
-            kept[path] = tokenizers.Tokenizer.from_file(path), {}
+            kept[path] = tokenizers.Tokenizer.from_file(path), Parts(None)
         self.tokenizer, self.parts = kept[path]
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         # byte-level vocabularies write the bytes that aren't visible in Latin-1 as the characters from U+0100 on
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
         self.visible = {b: 256 + i for i, b in enumerate(hidden)}
+        self.marks = Parts(self.ids)
+        self.parts.encode = self.part
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, f"<u{self.width}").tobytes() for x in found]
+    def ids(self, text: str) -> bytes:
+        return array("H" if self.width == 2 else "I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def word(self, letters: str, space: str = "\u0120") -> bytes:
+    def word(self, letters: str, space: str) -> bytes:
         shown = space + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.visible))
         return array("H" if self.width == 2 else "I", [x.id for x in self.model.tokenize(shown)]).tobytes()
 
+    def part(self, part: str) -> bytes:
+        if not (usual := USUAL.match(part)):
+            return self.ids(part if part[:1] == "\n" else " " + part)
+        line, letters, marks = usual.groups()
+        own = self.marks["\n"] + self.word(letters, "") if line else self.parts[letters] if marks else self.word(letters, "\u0120")
+        return own + self.marks[marks] if marks else own
+
     def cut(self, text: str) -> list[str]:
         if UNSAFE.search(text) or text[:1].isspace() or text[-1:].isspace():
             return SAFE_CUT.split(text)
         return text.replace("\n", " \n").split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts, letters, word = self.parts, LETTERS.fullmatch, self.word
-        cut = [self.cut(x) for x in texts]
+        parts = self.parts
         if len(parts) > CACHE:
             short = {k: v for k, v in parts.items() if len(k) <= SHORT}
             parts.clear()
             if len(short) < CACHE // 2:
                 parts.update(short)
-        stop, comma, line = self.ids([".", ",", "\n"])
-        rest = []
-        for x in set().union(*(x[1:] for x in cut)).difference(parts):
-            if letters(x):
-                parts[x] = word(x)
-            elif (mark := x[-1:]) in ".," and letters(x, 0, len(x) - 1):  # a mark behind letters is a pretoken of its own
-                parts[x] = (parts.get(x[:-1]) or word(x[:-1])) + (stop if mark == "." else comma)
-            elif x[:1] == "\n" and letters(x, 1):
-                parts[x] = line + word(x[1:], "")
-            else:
-                rest.append(x)
-        parts.update(zip(rest, self.ids([x if x[:1] == "\n" else " " + x for x in rest])))
-        return [a + b"".join(map(parts.__getitem__, x[1:])) for a, x in zip(self.ids([x[0] for x in cut]), cut)]
+        out = []
+        for text in texts:
+            first, *rest = self.cut(text)
+            out.append(self.ids(first) + b"".join(map(parts.__getitem__, rest)))
+        return out
 
 
 def key_of(doc_id: int | None) -> bytes:
