@@ -3,7 +3,7 @@
 1.  Fingerprints.  Each task hashes the shingles of its texts (XXH64) and takes the majority of each bit.
 2.  Candidates.  The 64 bits fall into radius + 2 segments.  Two fingerprints that differ in at most `radius` bits
     agree on at least two segments, so every link shows in one of the buckets that share two segments' bits (10
-    buckets of about 26 bits for radius 3).  Only distinct fingerprints take part: copies are merged before, by a
+    buckets of about 26 bits for radius 3; keys are hashes of them, so a bucket may hold strangers, but loses none).  Only distinct fingerprints take part: copies are merged before, by a
     partial aggregation.
 3.  Bit-sliced comparison.  A bucket's fingerprints become bit planes, one lane for each fingerprint.  Shifted by s
     lanes and XORed with themselves, the planes give the differing bits of every pair s apart, 64 pairs to a machine
@@ -53,16 +53,18 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * votes > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row (id, text_hash, fp long) for each document; fp holds the 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, shingle: int = 3, second: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row (id, text_hash, fp long, fp2 long) for each document; fp holds the 64 bits as a signed number, fp2 those over
+    shingles of `second` words, or 0."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fp = np.array([fingerprint(x, shingle) for x in texts(column(batch, "text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), pa.array(fp)], ["id", "text_hash", "fp"])
+            both = [(fingerprint(x, shingle), fingerprint(x, second) if second else 0) for x in texts(column(batch, "text"))]
+            fp, fp2 = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (zip(*both) if both else ((), ())))
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), fp, fp2], ["id", "text_hash", "fp", "fp2"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, text_hash long, fp long")
+    return rows.mapInArrow(run, "id long, text_hash long, fp long, fp2 long")
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -72,10 +74,9 @@ def segments(radius: int) -> list[tuple[int, int]]:
 
 
 def bucket_keys(fp: Column, radius: int) -> Column:
-    """An array of structs (pair, bits): one for each pair of segments."""
+    """An array of keys, one for each pair of segments: a hash of the pair and its bits."""
     part = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << n) - 1).cast("long")) for a, n in segments(radius)]
-    pairs = combinations(range(radius + 2), 2)
-    return F.array(*(F.struct(F.lit(k).alias("pair"), F.shiftleft(part[i], 32).bitwiseOR(part[j]).alias("bits")) for k, (i, j) in enumerate(pairs)))
+    return F.array(*(F.xxhash64(F.lit(k), part[i], part[j]) for k, (i, j) in enumerate(combinations(range(radius + 2), 2))))
 
 
 def close_lanes(planes: np.ndarray, shift: int, valid: np.ndarray, radius: int) -> np.ndarray:
@@ -139,7 +140,7 @@ def bit_planes(fp: np.ndarray, spare: int) -> np.ndarray:
     return out
 
 
-def stars(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def stars(group: np.ndarray, fp: np.ndarray, fp2: np.ndarray, node: np.ndarray, radius: int, radius2: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (member's node, root's node) of the components inside each group; rows lie group by group."""
     label = np.arange(len(fp))
     size = np.bincount(np.unique(group, return_inverse=True)[1])
@@ -154,6 +155,8 @@ def stars(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> t
         valid = np.packbits(lanes, bitorder="little").view(np.uint64)
         i = close_lanes(planes, shift, valid, radius)
         j = i + shift
+        near = np.bitwise_count(fp2[i] ^ fp2[j]) <= radius2
+        i, j = i[near], j[near]
         while len(i):  # unite: hook roots to the smaller, then flatten
             a, b = label[i], label[j]
             differ = a != b
@@ -167,17 +170,16 @@ def stars(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> t
     return node[member], node[label[member]]
 
 
-def links(nodes: DataFrame, radius: int, cell: int) -> DataFrame:
-    """Links (a, b) between nodes, rows (node, fp) with distinct fp, that span all groups within the radius."""
-    keyed = nodes.select("node", "fp", F.explode(bucket_keys(F.col("fp"), radius)).alias("key"))
-    full = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(cell)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+def links(nodes: DataFrame, radius: int, radius2: int, cell: int) -> DataFrame:
+    """Links (a, b) between nodes, rows (node, fp, fp2), that span all groups within the radius (of fp2: radius2)."""
+    keyed = nodes.select("node", "fp", "fp2", F.explode(bucket_keys(F.col("fp"), radius)).alias("key"))
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > cell)
+    hot = hot.select("key", F.ceil(F.col("n") / F.lit(cell)).cast("int").alias("parts"))
     cells = (
-        keyed.join(full, "key").withColumn("parts", parts).withColumn("own", own)
+        keyed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .agg(F.collect_list(F.struct("node", "fp")).alias("members"))
+        .agg(F.collect_list(F.struct("node", "fp", "fp2")).alias("members"))
         .filter(F.size("members") > 1)
         .select("members")
     )
@@ -188,6 +190,7 @@ def links(nodes: DataFrame, radius: int, cell: int) -> DataFrame:
             sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
             fp = flat.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            fp2 = flat.field("fp2").to_numpy(zero_copy_only=False).view(np.uint64)
             node = flat.field("node").to_numpy(zero_copy_only=False)
             start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             order = np.argsort(sizes, kind="stable")  # groups of like sizes share a run of shifts
@@ -200,7 +203,7 @@ def links(nodes: DataFrame, radius: int, cell: int) -> DataFrame:
                     end += 1
                 pick = order[at:end]
                 rows = np.repeat(start[pick] - np.concatenate(([0], np.cumsum(sizes[pick])[:-1])), sizes[pick]) + np.arange(total)
-                a, b = stars(np.repeat(np.arange(len(pick)), sizes[pick]), fp[rows], node[rows], radius)
+                a, b = stars(np.repeat(np.arange(len(pick)), sizes[pick]), fp[rows], fp2[rows], node[rows], radius, radius2)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
                 at = end
@@ -208,23 +211,33 @@ def links(nodes: DataFrame, radius: int, cell: int) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, cell: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, second: tuple[int, int] | None = None, cell: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (id, text_hash, fp, component, component_id) for each document; component tells components without any
-    identifier apart."""
-    fps = cut(fingerprints(docs, shingle, id_col, text_col))
-    first = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    nodes = cut(first.select("fp", "first", F.xxhash64("fp").alias("node")))  # a bijection of fp: distinct, and well spread
-    found = components(links(nodes.select("node", "fp"), radius, cell))
+    identifier apart.
+
+    second: (shingle, radius) of another fingerprint that has to be near too.  A wide radius on the first finds edited copies,
+    the second then rules out texts that are alike by chance.  The number of candidates grows as the square of the documents over
+    2 ** (bits of two segments): radius 3 has 26 bits, radius 9 about 12.
+    """
+    fps = cut(fingerprints(docs, shingle, second and second[0], id_col, text_col))
+    first = fps.groupBy("fp", "fp2").agg(F.min("id").alias("first"))
+    node = F.xxhash64("fp", "fp2") if second else F.xxhash64("fp")  # well spread; of one number, a bijection
+    nodes = cut(first.select("fp", "fp2", "first", node.alias("node")))
+    found = components(links(nodes.select("node", "fp", "fp2"), radius, second[1] if second else 64, cell))
     named = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = cut(named.select("fp", "first", "root"))
+    named = cut(named.select("fp", "fp2", "first", "root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(smallest, "root").select("fp", F.col("root").alias("component"), "component_id")
-    return fps.join(by_fp, "fp").select("id", "text_hash", "fp", "component", "component_id")
+    by_fp = named.join(smallest, "root").select("fp", "fp2", F.col("root").alias("component"), "component_id")
+    return fps.join(by_fp, ["fp", "fp2"]).select("id", "text_hash", "fp", "component", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the one with the smallest doc_id."""
-    chosen = near_duplicates(docs, shingle, radius).filter(F.col("id").eqNullSafe(F.col("component_id"))).dropDuplicates(["component"])
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 9, second: tuple[int, int] | None = (5, 12)) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the one with the smallest doc_id.
+
+    Texts whose sets of five-word shingles have a similarity of 0.8 differ in about 8 bits over three words and 10 over
+    five, hence the radii.
+    """
+    chosen = near_duplicates(docs, shingle, radius, second).filter(F.col("id").eqNullSafe(F.col("component_id"))).dropDuplicates(["component"])
     key = lambda id_, h: F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("none")), h.cast("string"))
     keys = chosen.select(key(F.col("id"), F.col("text_hash")).alias("_key"))
     kept = docs.withColumn("_key", key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(keys, "_key", "left_semi")
