@@ -4,10 +4,10 @@ Differencing keeps partial partitions: k bins and what they hold.  It takes the
 largest bin of one with the smallest of the other, and so on, until one is left.
 
 1.  Documents with equal texts form a group; a partial aggregation sums up its bytes, so copies don't meet in a task.
-2.  Groups are dealt by hash into buckets of about `bucket` groups.  A task differences one bucket at a time into one partial
-    partition of k bins.
-3.  The buckets' partial partitions are differenced in the same way, `bucket` of them at a time, level by level, until
-    one is left.  Bins only carry labels; no task or driver holds all groups.
+2.  The largest groups (`bucket` of them at most) are differenced first.
+3.  The other groups are dealt by hash into buckets of about as many.  A task differences one bucket at a time, together with
+    its share of what the largest groups hold, so the buckets fill up what those leave uneven, and their bins keep
+    the same order.  Neither a task nor the driver holds more than a bucket.
 4.  Each document gets its group's shard, and a slot without gaps by sums over chunks.
 
 Null texts count as empty, and so belong to the group of empty texts.  Repeated rows stay repeated, with slots of their
@@ -65,35 +65,29 @@ def difference(partials: list[list[int]], k: int) -> list[list[int]]:
 
 def balance(groups: DataFrame, k: int, bucket: int = 16_384) -> DataFrame:
     """(h1, h2, shard) of groups (h1, h2, bytes), h1 and h2 being hashes."""
-    count = groups.count()
-    buckets = max(1, -(-count // bucket))
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+    spark = groups.sparkSession
+    largest = groups.orderBy(F.desc("bytes"), "h1", "h2").limit(bucket).select("h1", "h2", "bytes").collect()
+    bins = [x[0] for x in difference([[x["bytes"]] for x in largest], k)]
+    held = [0] * k
+    for x, b in zip(largest, bins):
+        held[b] += x["bytes"]
+    first = spark.createDataFrame([(x["h1"], x["h2"], b) for x, b in zip(largest, bins)], "h1 long, h2 long, shard int")
+    if len(largest) < bucket:
+        return first
+    least = largest[-1]
+    key = F.struct(-F.col("bytes"), F.col("h1"), F.col("h2"))
+    rest = groups.filter(key > F.struct(F.lit(-least["bytes"]).cast("long"), F.lit(least["h1"]).cast("long"), F.lit(least["h2"]).cast("long")))
+    buckets = max(1, -(-rest.count() // bucket))
+    share = [x // buckets for x in held]
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "h1", "h2"], ascending=[False, True, True])
-        pdf["bin"] = [x[0] for x in difference([[int(n)] for n in pdf["bytes"]], k)]
-        return pdf[["h1", "h2", "bytes", "part", "bin"]]
-
-    def further(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        sums = [[0] * k for _ in range(len(pdf))]
-        for own, found in zip(sums, pdf["bins"]):
-            for x in found:
-                own[x["bin"]] = int(x["bytes"])
-        return pd.DataFrame([(part, b, int(upper), to, own[b]) for part, upper, own, final in zip(pdf["part"], pdf["upper"], sums, difference(sums, k)) for b, to in enumerate(final)], columns=["part", "bin", "upper", "to", "bytes"])
-
-    dealt = groups.withColumn("part", F.pmod("h1", F.lit(buckets)))
-    dealt = cut(dealt.groupBy("part").applyInPandas(first, "h1 long, h2 long, bytes long, part long, bin int"))
-    sums = dealt.groupBy("part", "bin").agg(F.sum("bytes").alias("bytes"))
-    named = dealt
-    while True:
-        bins = sums.groupBy("part").agg(F.collect_list(F.struct("bin", "bytes")).alias("bins"))  # k for each
-        buckets = -(-buckets // bucket)
-        step = bins.withColumn("upper", (F.col("part") / F.lit(bucket)).cast("long"))
-        step = cut(step.groupBy("upper").applyInPandas(further, "part long, bin int, upper long, to int, bytes long"))
-        named = named.join(step.select("part", "bin", "upper", "to"), ["part", "bin"]).select("h1", "h2", F.col("upper").alias("part"), F.col("to").alias("bin"))
-        if buckets <= 1:
-            return named.select("h1", "h2", F.col("bin").alias("shard"))
-        sums = step.groupBy(F.col("upper").alias("part"), F.col("to").alias("bin")).agg(F.sum("bytes").alias("bytes"))
+        before, *own = difference([share, *([int(n)] for n in pdf["bytes"])], k)
+        shard_of = {final: b for b, final in enumerate(before)}
+        return pdf.assign(shard=[shard_of[x[0]] for x in own])[["h1", "h2", "shard"]]
+
+    others = rest.withColumn("part", F.pmod("h1", F.lit(buckets))).groupBy("part").applyInPandas(fill, "h1 long, h2 long, shard int")
+    return others.unionByName(first)
 
 
 def shard(docs: DataFrame, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
