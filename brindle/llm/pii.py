@@ -15,7 +15,8 @@ Base spans are observed labels.  Loopy belief propagation passes messages along
 document; a number that is no phone number by the patterns becomes one if it repeats one.
 
 Training.  Weights start from a prior and are fitted by pseudo-likelihood, with the base spans as labels and features dropped
-at random, on the candidates of at most `sample` documents, which are chosen by a hash of their identifiers.
+at random, on the candidates of at most `sample` documents, which are chosen by a hash of their identifiers.  Candidates
+outside base spans that the prior takes for data, or that repeat a base span, count as unlabelled.
 
 Null and empty texts have no spans.  Identifiers may be null or repeat.
 """
@@ -56,7 +57,7 @@ FEATURES = (
 )
 #: Starting weights, a row for each feature: none, email, ip, card, phone.
 PRIOR = np.array([
-    [3.0, -1, -1, -1, -1], [0, 1.5, -3, -3, -3], [0, 1.5, 0, 0, 0], [0, 0, 1.5, -1, -1], [0, -3, 1.5, 0, 0], [0, -3, -3, 0.7, 0], [0, 0, 0, 1.2, 0], [0, -3, -1, 0, 0.7], [0, -3, -1, -1, 0.3],
+    [3.0, -1, -1, -1, -1], [0, 1.5, -3, -3, -3], [0, 3.5, 0, 0, 0], [0, 0, 1.5, -1, -1], [0, -3, 3.5, 0, 0], [0, -3, -3, 0.7, 0], [0, 0, 0, 4.5, 0], [0, -3, -1, 0, 0.7], [0, -3, -1, -1, 0.3],
     [0, 0, -1, -1, 1.5], [0, 0, -1, -1, 2.2], [0, 0, -1, 0.3, 0.5], [2.5, 0, 0, 0, 0], [0, 1, 0, 0, 0], [0, 0, 1, 0, 0], [0, 0, 0, 1, 0], [0, 0, 0, 0, 1], [5, 0, -4, -4, -4], [6, -4, -4, -4, -4],
 ])
 STEADY = [0, *range(len(FEATURES) - 2, len(FEATURES))]  # never dropped
@@ -220,12 +221,16 @@ def fit(x: np.ndarray, labels: np.ndarray, links: np.ndarray, rounds: int = 200,
         np.add.at(near[:, kind], own[:, 1], np.eye(k)[labels[own[:, 2]]])
         np.add.at(near[:, kind], own[:, 2], np.eye(k)[labels[own[:, 1]]])
     truth = np.eye(k)[labels]
+    # not in a base span: no data, unless the prior or an equal token says otherwise; those teach nothing
+    score = x @ PRIOR
+    doubtful = (labels == 0) & ((score.argmax(axis=1) > 0) | (near[:, 1, 1:].sum(axis=1) > 0))
     for _ in range(rounds):
         kept = x * (rng.random(x.shape) > drop)
         kept[:, STEADY] = x[:, STEADY]
         score = kept @ weights + np.einsum("ntl,tlk->nk", near, pairs)
         p = np.exp(score - np.logaddexp.reduce(score, axis=1, keepdims=True))
         error = (truth - p) / len(x)
+        error[doubtful] = 0
         weights += error.T.dot(kept).T - pull * (weights - PRIOR)
         pairs += np.einsum("ntl,nk->tlk", near, error) - pull * (pairs - LINKS)
         pairs = (pairs + pairs.transpose(0, 2, 1)) / 2
