@@ -1,0 +1,94 @@
+"""The classifier: held-out accuracy on planted words, pieces, and odd inputs."""
+
+import random
+import zlib
+
+import numpy as np
+
+from brindle.llm import common
+from brindle.llm.toxicity import Batch, Model, buckets_of, keep_clean, fit, op2_toxicity, score_documents, train
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, toxic int, score double"
+LABELS = "doc_id long, quality int, toxic int, text string"
+BAD = ["vilename", "wretch", "scoundrel", "filth"]
+
+
+def corpus(n, seed=1):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(["an", "er", "th", "on", "ti"]) for _ in range(rng.randint(1, 3)))
+    rows = []
+    for i in range(n):
+        text = [word() for _ in range(rng.randint(5, 120))] + rng.choice([["the", "and"], ["der", "und"]])
+        toxic = int(rng.random() < 0.25)
+        for _ in range(toxic * 3):
+            text.insert(rng.randrange(len(text)), rng.choice(BAD) + rng.choice(["", "!", "er"]))
+        rows.append((i, " ".join(text), toxic))
+    return rows
+
+
+def tables(spark, rows):
+    docs = spark.createDataFrame([(i, t, None, None, None, "x", 5, 0.5) for i, t, _ in rows], DOCS)
+    return docs, spark.createDataFrame([(i, 0, y, "z") for i, _, y in rows], LABELS)
+
+
+def test_held_out_accuracy(spark):
+    rows = corpus(800)
+    docs, labels = tables(spark, rows)
+    found = {x["id"]: x for x in score_documents(docs, labels).collect()}
+    held = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([found[i]["predicted"] == y for i, y in held]) > 0.95
+    assert all(0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.5) for x in found.values())
+    clean = {x["doc_id"] for x in keep_clean(docs, fit(docs.selectExpr("doc_id AS id", "text"), labels)).collect()}
+    assert clean == {i for i, x in found.items() if not x["predicted"]}
+
+
+def test_held_out_labels_are_not_used(spark):
+    rows = corpus(300)
+    turned = [(i, t, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, t, y in rows]
+    scores = [sorted((x["id"], x["score"]) for x in score_documents(*tables(spark, r)).collect()) for r in (rows, turned)]
+    assert scores[0] == scores[1]
+
+
+def test_pieces_lose_no_window(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = Model(rng.normal(size=(1 << 16, 8)), [rng.normal(size=(w, 8, 8)) for w in (1, 2, 3)], [np.zeros(8)] * 3, rng.normal(size=24))
+    model.embedding[0] = 0
+    text = b" ".join(b"word%d" % (i % 997) for i in range(5000))
+
+    def logit():
+        batch = Batch()
+        batch.add(0, text)
+        return len(batch.starts), model.logits(batch, 1)[0][0]
+
+    whole = logit()
+    monkeypatch.setattr(common, "PIECE", 500)
+    parts = logit()
+    assert parts[0] > whole[0] and np.isclose(parts[1], whole[1])
+
+
+def test_odd_texts(spark):
+    rows = [*corpus(200), (None, "no number", 0), (5000, None, 1), (5001, "", 0), (5002, "vilename " * 200_000, 1), (3, "again", 0)]
+    found = score_documents(*tables(spark, rows)).collect()
+    assert len(found) == len(rows)
+    by = {x["id"]: x["score"] for x in found}
+    assert by[5000] == by[5001] < 0.5 < by[5002]
+
+
+def test_without_labels(spark):
+    docs, labels = tables(spark, corpus(20))
+    assert {x["predicted"] for x in score_documents(docs, labels.filter("false")).collect()} == {0}
+    assert {x["predicted"] for x in score_documents(docs, labels.filter("toxic = 0")).collect()} == {0}
+    assert score_documents(docs.filter("false"), labels).collect() == []
+    assert train([], np.array([], int)).offset < 0
+
+
+def test_beginnings():
+    rows = buckets_of([b"scoundrels", b"scoundrel", b"", b"sco", b"scoundrel!!"])
+    assert rows[1, 0] == rows[4, 0] != rows[0, 0] and not rows[2].any()
+    assert set(rows[1, 1:][rows[1, 1:] > 0]) <= set(rows[0, 1:]) and not rows[3, 1:].any()
+
+
+def test_query(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    found = op2_toxicity(spark, sf_dir).collect()
+    assert len(found) == docs and all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) for x in found)
