@@ -40,6 +40,10 @@ RULES: tuple[Rule, ...] = (
 )
 
 
+#: What apply_rules() adds.
+OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbols_per_word", "exclamations_per_word", "upper_share", "stop_word_share", "dup_line_share", "base_failed", "kept")
+
+
 def without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
@@ -92,7 +96,8 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with their metrics, base_failed and kept."""
+    """docs with their metrics, base_failed and kept; columns of docs with these names give way."""
+    docs = docs.drop(*(c for c in OUT if c != text_col))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measured(docs, text_col).withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules))
 

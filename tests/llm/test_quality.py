@@ -8,7 +8,7 @@ from compare import of_duckdb, of_spark, oracle
 
 from brindle.llm.quality import OP7_SQL, apply_rules, op7_quality_rules
 
-SCHEMA = "doc_id long, text string, lang string, source string, h string, i int, x string"
+SCHEMA = "doc_id long, text string, lang string, source string, h string, n_words int, kept string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
