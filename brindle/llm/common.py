@@ -94,22 +94,19 @@ def hash_chunk(*cols: Column, chunks: int = 1024) -> Column:
 
 def ranks(df: DataFrame, keys: list[str], chunk: str, order: list[Column], name: str, weight: Column | None = None) -> DataFrame:
     """Adds `name`: the sum of weight (1 for each row, if none) over the rows before this one in its group of keys,
-    ordered by chunk and then by order.
+    ordered by chunk and then by order.  Keys and chunk must not be null.
 
     No task sees a whole group: sums by (keys, chunk) come from a partial aggregation, are summed up over the
-    few chunks of each group, and the rows are then numbered within (keys, chunk) only.
+    few chunks of each group, and the rows are then numbered within (keys, chunk) only, in the same partitions as the join.
     """
     weight = F.lit(1).cast("long") if weight is None else weight
-    names = [f"_k{i}" for i in range(len(keys))]
-    per = df.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(chunk).alias("_chunk")).agg(F.sum(weight).alias("_n"))
-    before = Window.partitionBy(*names).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*names, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_from"))
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    per = df.groupBy(*keys, chunk).agg(F.sum(weight).alias("_n"))
+    per = per.select(*keys, chunk, F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_from"))
     rows = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_in", F.coalesce(F.sum(weight).over(rows), F.lit(0).cast("long")))
-    same = F.col(chunk).eqNullSafe(F.col("_chunk"))
-    for k, n in zip(keys, names):
-        same &= F.col(k).eqNullSafe(F.col(n))
-    return df.join(per, same, "left").withColumn(name, F.col("_from") + F.col("_in")).drop(*names, "_chunk", "_from", "_in")
+    # a merge join: the size of exploded rows is underestimated, and they must not be broadcast
+    return df.join(per.hint("merge"), [*keys, chunk]).withColumn(name, F.col("_from") + F.col("_in")).drop("_from", "_in")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -79,7 +79,8 @@ def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     ranked = ranks(blocks, ["source_key"], "chunk", [F.col("draw"), F.col("block")], "rank").select("source_key", "block", "rank")
     drawn = numbered(sources.select("source_key", "blocks", "slots", F.ceil(F.sum("slots").over(Window.partitionBy(F.lit(0))) / F.lit(shard_slots)).alias("shards")), "slots", "slot")
     drawn = drawn.select("source_key", "slot", F.pmod(draw("source_key", "slot", "shard"), F.col("shards")).alias("shard"), (F.col("slot") % F.col("blocks")).alias("rank"))
-    return drawn.join(ranked, ["source_key", "rank"]).select("shard", "source_key", "slot", "block")
+    # sizes before an explode say nothing of those behind it; neither side may be broadcast
+    return drawn.join(ranked.hint("merge"), ["source_key", "rank"]).select("shard", "source_key", "slot", "block")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
