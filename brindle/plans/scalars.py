@@ -48,6 +48,7 @@ sql("f19_from_json", "SELECT event_id, from_json(props, 'k BIGINT').k AS k FROM
 sql("f19_variant_and_to_json", "SELECT event_id, variant_get(parse_json(props), '$.k', 'bigint') AS v, to_json(named_struct('id', event_id)) AS j FROM {events}", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS v, CAST('{\"id\":' || event_id || '}' AS VARCHAR) AS j FROM events")
 sql("f20_conversions", "SELECT try_cast(s AS INT) AS i, CAST('NaN' AS DOUBLE) = CAST('NaN' AS DOUBLE) AS nan_equal, s COLLATE UTF8_LCASE = 'ABC' AS folded, nullif(s, 'x') AS n, coalesce(NULL, s) AS c FROM (VALUES ('12'), ('x'), ('abc')) AS t(s)",
     "SELECT TRY_CAST(s AS INT) AS i, CAST('NaN' AS DOUBLE) = CAST('NaN' AS DOUBLE) AS nan_equal, lower(s) = 'abc' AS folded, nullif(s, 'x') AS n, s AS c FROM (VALUES ('12'), ('x'), ('abc')) AS t(s)")
+sql("f19_json_tuple", "SELECT event_id, CAST(t.k AS BIGINT) AS k FROM {events} LATERAL VIEW json_tuple(props, 'k') t AS k", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 sql("f20_urls", "SELECT page_id, parse_url(url, 'HOST') AS host FROM {pages}", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")
 sql("f22_hashes", "SELECT r_regionkey, sha2(r_name, 256) AS s, md5(r_name) AS m, base64(encode(r_name, 'UTF-8')) AS b, hex(r_name) AS h FROM {region}", "SELECT r_regionkey, sha256(r_name) AS s, md5(r_name) AS m, base64(encode(r_name)) AS b, hex(r_name) AS h FROM region")
 

@@ -78,6 +78,19 @@ def t09_named_state(spark, sf_dir):
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
 
 
+@query("t10_late_events", "SELECT TIMESTAMP '2024-01-01 00:00:00' AS started, CAST(2 AS BIGINT) AS n")
+def t10_late_events(spark, sf_dir):
+    """Inline events in five micro-batches; the last one comes after its window has closed, and is dropped."""
+    rows = [(minutes, "a") for minutes in (0, 10, 200, 210, 5)]
+    events = spark.createDataFrame(rows, "minutes int, event_type string")
+    events = events.withColumn("ts", F.expr("TIMESTAMP_NTZ'2024-01-01' + make_interval(0, 0, 0, 0, 0, minutes)").cast("timestamp"))
+    where = S.folder(spark, "late")
+    for minutes, _ in rows:
+        events.filter(F.col("minutes") == minutes).coalesce(1).write.mode("append").parquet(where)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(where)
+    return S.finish(S.tumbling(stream, "1 hour", late="1 hour"), "append").select(ntz("window.start").alias("started"), "n")
+
+
 @query("t11_stream_static_join", "SELECT c_mktsegment, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY c_mktsegment")
 def t11_stream_static_join(spark, sf_dir):
     return S.finish(S.with_static(all_events(spark, sf_dir), table(spark, sf_dir, "customer")), "complete")
