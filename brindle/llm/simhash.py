@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import column, components, cut, slices, table, texts, words
 
 SEED = 42
+#: Parts of a component, when its rows are joined with what holds for all of it.
+SALTS = 16
 
 
 def fingerprint(data: bytes, shingle: int = 3) -> int:
@@ -223,11 +225,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, second:
     first = fps.groupBy("fp", "fp2").agg(F.min("id").alias("first"))
     node = F.xxhash64("fp", "fp2") if second else F.xxhash64("fp")  # well spread; of one number, a bijection
     nodes = cut(first.select("fp", "fp2", "first", node.alias("node")))
-    found = components(links(nodes.select("node", "fp", "fp2"), radius, second[1] if second else 64, cell))
-    named = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = cut(named.select("fp", "fp2", "first", "root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(smallest, "root").select("fp", "fp2", F.col("root").alias("component"), "component_id")
+    found = cut(components(links(nodes.select("node", "fp", "fp2"), radius, second[1] if second else 64, cell)))
+    # components of several nodes, whose members are spread over salts; the rest stand for themselves
+    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).join(nodes, "node")
+    members = cut(members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))))
+    smallest = members.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = members.join(smallest.hint("merge"), ["root", "salt"]).select("node", F.col("root").alias("component"), "component_id")
+    by_fp = nodes.join(joined, "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
     return fps.join(by_fp, ["fp", "fp2"]).select("id", "text_hash", "fp", "component", "component_id")
 
 
