@@ -4,7 +4,7 @@ Differencing keeps partial partitions: k bins and what they hold.  It takes the
 largest bin of one with the smallest of the other, and so on, until one is left.
 
 1.  Documents with equal texts form a group; a partial aggregation sums up its bytes, so copies don't meet in a task.
-2.  The largest groups (`bucket` of them at most) are differenced first.
+2.  The largest groups, those above 1 / `bucket` of all bytes and so fewer than `bucket`, are differenced first.
 3.  The other groups are dealt by hash into buckets of about as many.  A task differences one bucket at a time, together with
     its share of what the largest groups hold, so the buckets fill up what those leave uneven, and their bins keep
     the same order.  Neither a task nor the driver holds more than a bucket.
@@ -66,17 +66,16 @@ def difference(partials: list[list[int]], k: int) -> list[list[int]]:
 def balance(groups: DataFrame, k: int, bucket: int = 16_384) -> DataFrame:
     """(h1, h2, shard) of groups (h1, h2, bytes), h1 and h2 being hashes."""
     spark = groups.sparkSession
-    largest = groups.orderBy(F.desc("bytes"), "h1", "h2").limit(bucket).select("h1", "h2", "bytes").collect()
+    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    large = total // bucket
+    largest = groups.filter(F.col("bytes") > large).select("h1", "h2", "bytes").collect()  # fewer than `bucket` can be above
+    largest.sort(key=lambda x: (-x["bytes"], x["h1"], x["h2"]))
     bins = [x[0] for x in difference([[x["bytes"]] for x in largest], k)]
     held = [0] * k
     for x, b in zip(largest, bins):
         held[b] += x["bytes"]
     first = spark.createDataFrame([(x["h1"], x["h2"], b) for x, b in zip(largest, bins)], "h1 long, h2 long, shard int")
-    if len(largest) < bucket:
-        return first
-    least = largest[-1]
-    key = F.struct(-F.col("bytes"), F.col("h1"), F.col("h2"))
-    rest = groups.filter(key > F.struct(F.lit(-least["bytes"]).cast("long"), F.lit(least["h1"]).cast("long"), F.lit(least["h2"]).cast("long")))
+    rest = groups.filter(F.col("bytes") <= large)
     buckets = max(1, -(-rest.count() // bucket))
     share = [x // buckets for x in held]
 
