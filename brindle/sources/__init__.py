@@ -37,6 +37,6 @@ def write_partitioned(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def write_bucketed(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
-    """A table in buckets of a key: later joins and aggregations by that key need no shuffle."""
-    df.write.bucketBy(buckets, by).sortBy(by).mode("overwrite").saveAsTable(name)
+    """A table in buckets of a key: later joins and aggregations by that key need no shuffle.  Its files lie in a new folder."""
+    df.write.bucketBy(buckets, by).sortBy(by).mode("overwrite").option("path", folder(df.sparkSession, name)).saveAsTable(name)
     return df.sparkSession.table(name)
