@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, slices, table
+from .common import column, hashed_sample, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns' parts; possessive, since what they give back could never match.
@@ -250,7 +250,7 @@ def train(docs: DataFrame, sample: int = 4000, most: int = 50_000) -> tuple[np.n
                     out.append({"x": [int(v) for row in x for v in row], "labels": labels, "links": [v for row in links for v in row]})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("x", pa.list_(pa.int32())), ("labels", pa.list_(pa.int32())), ("links", pa.list_(pa.int32()))]))
 
-    chosen = docs.select("id", F.xxhash64("id").alias("draw")).orderBy("draw", "id").limit(sample).select("id").distinct()
+    chosen = hashed_sample(docs.select("id"), "id", sample).distinct()
     found = docs.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(run, "x array<int>, labels array<int>, links array<int>")
     x, labels, links, at = [], [], [], 0
     for row in found.filter(F.size("labels") <= most // 10).limit(most).toLocalIterator():  # a few numbers for each candidate
