@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, slices, table, words
+from .common import column, hashed_sample, slices, table, words
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 #: Beginnings of a word, in bytes, that have embeddings of their own; words count up to LONG bytes.
@@ -236,10 +236,8 @@ def held_out(id_col: str) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = 100_000) -> Model:
     """Trained on at most `sample` labelled rows of docs (id, text) of at most `longest` bytes."""
-    chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out("id"))
-        .distinct().orderBy(F.xxhash64("id"), "id", "toxic").limit(sample)
-    )
+    usable = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out("id")).distinct()
+    chosen = hashed_sample(usable, "id", sample)
     rows = docs.filter(F.octet_length("text") <= longest).join(F.broadcast(chosen), "id").select("id", "toxic", F.col("text").cast("binary").alias("text"))
     rows = sorted(((x["id"], bytes(x["text"]), x["toxic"]) for x in rows.limit(2 * sample).toLocalIterator()))
     return train([x[1] for x in rows], np.array([x[2] for x in rows], int))
