@@ -13,6 +13,9 @@
     holds a bucket, whatever its size, and no pair is lost.
 5.  Cells return a star of links for each group they find, not its pairs; components join them.
 
+The pipeline's stage (one_of_each) takes no fingerprints: it finds all pairs of texts whose five-word shingles have a Jaccard
+similarity of 0.8 or more by prefixes of their sets, and compares the sets exactly.
+
 Null texts count as empty; texts without words have fingerprint 0 and are linked like any other.  Null doc_ids keep
 their rows; they never become a component_id unless the component has no other.  Repeated rows stay repeated.
 """
@@ -27,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, components, cut, slices, table, texts, words
+from .common import column, components, cut, deal, slices, table, texts, words
 
 SEED = 42
 #: Parts of a component, when its rows are joined with what holds for all of it.
 SALTS = 16
+#: Parities of a shingle set; two sets differ in as many shingles at least as in parities.
+BITS = 2048
 
 
 def fingerprint(data: bytes, shingle: int = 3) -> int:
@@ -235,13 +240,195 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, second:
     return fps.join(by_fp, ["fp", "fp2"]).select("id", "text_hash", "fp", "component", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 9, second: tuple[int, int] | None = (5, 12)) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the one with the smallest doc_id.
+def shingle_set(data: bytes, shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text; one with fewer words has all of them as its only shingle."""
+    from xxhash import xxh64_intdigest
+
+    hashes, tail = [], []
+    for part in words(data.lower()):
+        part = tail + part
+        tail = part[max(0, len(part) - shingle + 1) :] if shingle > 1 else []
+        hashes.append(np.array([xxh64_intdigest(b" ".join(x), SEED) for x in zip(*(part[i:] for i in range(shingle)))], np.uint64))
+    if not sum(map(len, hashes)):
+        hashes = [np.array([xxh64_intdigest(b" ".join(tail), SEED)], np.uint64)]
+    return np.unique(np.concatenate(hashes))
+
+
+def least_shared(size: int, similarity: float) -> int:
+    """Shingles that a set of this size shares at least with any set of that Jaccard similarity or more."""
+    return int(np.ceil(similarity * size - 1e-9))
+
+
+def frequent_shingles(docs: DataFrame, shingle: int, sample: int = 8000, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that several of about `sample` texts hold, the rarest first, and in how many documents each may be.
+    They only steer the order of prefixes and the sizes of cells."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for x in texts(column(batch, "text")):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x, shingle).view(np.int64))], ["h"])
+
+    share = min(1.0, sample / max(1, docs.count()))
+    drawn = docs.select("text").filter(F.pmod(F.xxhash64(F.lit("frequent"), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = drawn.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(most)
+    found = counts.collect()[::-1]
+    return np.array([x["h"] for x in found], np.int64).view(np.uint64), np.array([x["n"] for x in found], np.int64) / share
+
+
+def prefixes(docs: DataFrame, shingle: int, similarity: float, frequent: np.ndarray) -> DataFrame:
+    """A row (id, text_hash, node, n, bits, prefix) for each document: node is a hash of its shingle set, n the set's size, and
+    bits the parities of the numbers of shingles in BITS hash classes."""
+    by_hash = np.argsort(frequent)
+    known = frequent[by_hash]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in slices(batches):
+            nodes, sizes, parities, heads = [], [], [], []
+            for x in texts(column(batch, "text")):
+                own = shingle_set(x, shingle)
+                rank = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, by_hash[at] + 1, 0)
+                head = own[np.argsort(rank, kind="stable")[: len(own) - least_shared(len(own), similarity) + 1]]
+                nodes.append(xxh64_intdigest(own.tobytes(), SEED))
+                sizes.append(len(own))
+                parities.append(np.packbits(np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 == 1).tobytes())
+                heads.append(head.view(np.int64))
+            edges = np.concatenate(([0], np.cumsum([len(x) for x in heads]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), pa.array(parities, pa.binary()), lists], ["id", "text_hash", "node", "n", "bits", "prefix"])
+
+    return docs.mapInArrow(run, "id long, text_hash long, node long, n long, bits binary, prefix array<long>")
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The rows (key, i, j, node, n) whose cell (key, i, j) has others."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row, whose cell may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            cells = np.stack([column(batch, x).to_numpy(zero_copy_only=False) for x in ("key", "i", "j")])
+            same = (cells[:, 1:] == cells[:, :-1]).all(axis=0)
+            keep = np.append(same, False) | np.append(False, same)
+            held = batch.slice(batch.num_rows - 1)
+            if keep[-1]:  # it may have been the last of all; a row that comes twice makes no pair
+                yield held
+            batch, keep = batch.slice(0, batch.num_rows - 1), keep[:-1]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return deal(keyed, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, keyed.schema)
+
+
+def candidate_pairs(members: DataFrame, similarity: float, width: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of nodes in a cell, with different labels and sizes that allow the similarity; of rows
+    (key, i, j, node, n, label).  width: only with so many next in the order of size."""
+    cells = (
+        members.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "n", "label")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+        .filter("low <> high").select("members")
+    )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 8192):
+            lists = column(batch, "members")
+            group = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            node, n, label = (lists.flatten().field(x).to_numpy(zero_copy_only=False) for x in ("node", "n", "label"))
+            order = np.lexsort((node, n, group))
+            group, node, n, label = group[order], node[order], n[order], label[order]
+            i, shift = np.arange(len(node)), 0
+            while len(i) and (width is None or shift < width):
+                shift += 1
+                i = i[i + shift < len(node)]
+                i = i[(group[i] == group[i + shift]) & (n[i] >= similarity * n[i + shift] - 1e-9)]  # sizes rise, so none comes back
+                own = i[label[i] != label[i + shift]]
+                if len(own):
+                    a, b = node[own], node[own + shift]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose sets, made from the texts again, have the Jaccard similarity."""
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array([shingle_set(x, shingle).tobytes() for x in texts(column(batch, "text"))], pa.binary())], ["node", "own"])
 
-    Texts whose sets of five-word shingles have a similarity of 0.8 differ in about 8 bits over three words and 10 over
-    five, hence the radii.
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keep = []
+            for x, y in zip(column(batch, "own"), column(batch, "second")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def may_be(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("bits", "bits2"))
+            n = column(batch, "n").to_numpy() + column(batch, "n2").to_numpy()
+            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (1 + similarity) <= (1 - similarity) * n + 1e-6
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = nodes.select(F.col("node").alias("a"), "n", "bits")
+    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+    pairs = cut(pairs.join(one, "a").join(two, "b").mapInArrow(may_be, "a long, b long"))
+    key = F.coalesce("id", F.lit(0).cast("long"))
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "text_hash", "some"), "node")
+    found = docs.select(key.alias("some"), "text_hash", "text").join(wanted, ["some", "text_hash"]).select("node", "text").mapInArrow(sets, "node long, own binary")
+    found = cut(found.dropDuplicates(["node"]))
+    both = pairs.join(found.withColumnRenamed("node", "a").hint("merge"), "a").join(found.select(F.col("node").alias("b"), F.col("own").alias("second")).hint("merge"), "b")
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cell: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row (id, text_hash, component, component_id) for each document; components are joined by pairs of texts whose sets of
+    shingles have a Jaccard similarity of at least `similarity`, and by no others.
+
+    No pair is lost: under one order of all shingles, two such sets share a shingle among the first n - ceil(similarity * n) + 1
+    of each.  The order puts frequent shingles last, so few strangers meet.  Pairs of neighbours in size are compared
+    first; of what these don't join already, every pair is compared then.
     """
-    chosen = near_duplicates(docs, shingle, radius, second).filter(F.col("id").eqNullSafe(F.col("component_id"))).dropDuplicates(["component"])
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    frequent, about = frequent_shingles(docs, shingle)
+    rows = cut(prefixes(docs, shingle, similarity, frequent))
+    some = F.min(F.struct("text_hash", F.coalesce("id", F.lit(0).cast("long")).alias("some"))).alias("_text")
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), some, F.first("n").alias("n"), F.first("bits").alias("bits")).select("node", "first", "_text.*", "n", "bits"))
+    keyed = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("node", "n", F.explode("prefix").alias("key"))
+    hot = [(int(k), int(np.ceil(x / cell))) for k, x in zip(frequent.view(np.int64), about) if x > cell]
+    hot = docs.sparkSession.createDataFrame(hot, "key long, parts int")
+    keyed = keyed.join(F.broadcast(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    members = cut(shared_keys(keyed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n")))
+    labelled, tested, links_ = members.withColumn("label", F.col("node")), None, None
+    found = docs.sparkSession.createDataFrame([], "node long, root long")
+    for width in (8, None):
+        pairs = candidate_pairs(labelled, similarity, width)
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
+        if not pairs.isEmpty():
+            new = cut(similar_pairs(pairs, docs, nodes, shingle, similarity))
+            tested, links_ = pairs, links_.unionByName(new) if links_ else new
+            found = cut(components(links_))
+            labelled = members.join(found.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node"))
+    # components of several nodes, whose members are spread over salts; the rest stand for themselves
+    joined = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "first"), "node")
+    joined = cut(joined.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))))
+    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = joined.join(smallest.hint("merge"), ["root", "salt"]).select("node", F.col("root").alias("component"), "component_id")
+    by_node = nodes.select("node", "first").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.select("id", "text_hash", "node").join(by_node, "node").select("id", "text_hash", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component of similar_documents() the one with the smallest doc_id."""
+    chosen = similar_documents(docs, shingle, similarity).filter(F.col("id").eqNullSafe(F.col("component_id"))).dropDuplicates(["component"])
     key = lambda id_, h: F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("none")), h.cast("string"))
     keys = chosen.select(key(F.col("id"), F.col("text_hash")).alias("_key"))
     kept = docs.withColumn("_key", key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(keys, "_key", "left_semi")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from xxhash import xxh64_intdigest
 
-from brindle.llm.simhash import close_lanes, bit_planes, fingerprint, near_duplicates, one_of_each, op3_simhash_near_dedup
+from brindle.llm.simhash import close_lanes, bit_planes, fingerprint, near_duplicates, one_of_each, op3_simhash_near_dedup, similar_documents
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, key string, node long"
 
@@ -97,6 +97,40 @@ def test_one_of_each(spark):
     assert sorted(str(x["doc_id"]) for x in kept.collect()) == sorted([str(i) for i in range(30)] + ["None"])
 
 
+def grams(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_similarity_decides(spark):
+    """Pairs on both sides of 0.8, which no radius of fingerprints tells apart, and groups larger than a cell."""
+    rng = random.Random(8)
+    rows = []
+    for n in (30, 60, 120, 300):
+        for share in (0.0, 0.01, 0.02, 0.022, 0.025, 0.03, 0.04, 0.08):
+            base = prose(rng, n).split()
+            other = list(base)
+            for k in rng.sample(range(n), int(n * share)):
+                other[k] = "changed"
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other + ["end"]))]
+    hot = prose(rng, 100).split()
+    for i in range(60):
+        k = rng.randrange(100)
+        rows.append((len(rows), " ".join(hot[:k] + [f"w{i}"] + hot[k + 1 :])))
+    rows += [(5000, "too short"), (5001, "too  SHORT"), (5002, None), (5003, ""), (None, "nameless")]
+    sets, group = [grams(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = [a if x == b else x for x in group]
+    expected = sorted((str(rows[i][0]), str(min((rows[k][0] for k in range(len(rows)) if group[k] == group[i] and rows[k][0] is not None), default=None))) for i in range(len(rows)))
+    found = similar_documents(documents(spark, rows), cell=16).collect()
+    assert sorted((str(x["id"]), str(x["component_id"])) for x in found) == expected
+    kept = sorted(str(x["doc_id"]) for x in one_of_each(documents(spark, rows)).collect())
+    assert kept == sorted({c for _, c in expected})
+
+
 def test_query(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     found = op3_simhash_near_dedup(spark, sf_dir).collect()
