@@ -8,7 +8,9 @@ hits, Myers' bit-parallel algorithm finds the smallest edit distance of the item
 Items are the stated query set: they go to the tasks in blocks of bounded size (`block_chars`), one pass over the documents
 for each block.  Documents aren't shuffled.
 
-Items of fewer than `least_chars` characters are too short to tell a passage; they match only documents that equal them.
+Items of fewer than `least_chars` characters are searched for with the same budget, int(m * rate), which may be 0, but their
+passages begin and end with whole words.  Only items of one or two words match no more than documents that equal them.  In scripts
+written without spaces each character counts as a word.
 Null or empty texts match nothing, null or empty items neither.  Repeated rows give repeated results.
 """
 
@@ -27,6 +29,10 @@ from .common import column, slices, table
 
 BREAK = re.compile(r"[\W_]+")
 WORDS = re.compile(r"[^\W_]+")
+#: Characters of scripts written without spaces: Thai, Lao, Burmese, Khmer, Japanese, Chinese.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Items of so many words, if they are short, match whole documents only.
+FEW_WORDS = 2
 MATCH = "id long, item_id long, distance int, start long, end long"
 
 
@@ -66,6 +72,40 @@ def myers(item: str, text: str, budget: int) -> tuple[int, int] | None:
     return best
 
 
+def word_count(text: str) -> int:
+    return len(UNSPACED.sub(" x ", text).split())
+
+
+def borders(text: str, low: int, high: int) -> list[int]:
+    """Places from low to high where a word begins or ends."""
+    out = []
+    for p in range(max(0, low), min(len(text), high) + 1):
+        near = text[max(0, p - 1) : p + 1]
+        if p in (0, len(text)) or " " in near or UNSPACED.search(near):
+            out.append(p)
+    return out
+
+
+def whole_words(item: str, text: str, starts: Iterable[int], budget: int) -> tuple[int, int, int] | None:
+    """(distance, start, end) of the closest passage that begins at one of the places and ends with a word; None beyond budget."""
+    best = None
+    for start in starts:
+        if text[start : start + 1] in ("", " "):
+            continue
+        part = text[start : start + len(item) + budget]
+        ends = {p - start for p in borders(text, start + len(item) - budget, start + len(part)) if p > start and text[p - 1] != " "}
+        if not ends:
+            continue
+        row = list(range(len(item) + 1))
+        for j, c in enumerate(part, 1):
+            last, row[0] = row[0], j
+            for i, d in enumerate(item, 1):
+                last, row[i] = row[i], min(last + (c != d), row[i] + 1, row[i - 1] + 1)
+            if j in ends and row[-1] <= budget and (best is None or (row[-1], start) < best[:2]):
+                best = row[-1], start, start + j
+    return best
+
+
 class Items:
     """A block of items, ready to be searched for."""
 
@@ -75,13 +115,14 @@ class Items:
         self.automaton, self.whole, self.items = ahocorasick.Automaton(), defaultdict(list), []
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
-            if len(text) < least_chars:
+            short = len(text) < least_chars
+            if short and word_count(text) <= FEW_WORDS:
                 self.whole[text].append(item_id)
                 continue
             budget = int(len(text) * rate)
             for at, piece in pieces(text, budget):
                 places[piece].append((len(self.items), at))
-            self.items.append((item_id, text, budget))
+            self.items.append((item_id, text, budget, short))
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.searchable = bool(places)
@@ -93,10 +134,15 @@ class Items:
         if not self.searchable:
             return out
         regions: dict[int, list[list[int]]] = {}
+        starts: dict[int, set[int]] = {}  # of short items
         for end, (n, where) in self.automaton.iter(text):
             for k, at in where:
-                _, item, budget = self.items[k]
+                _, item, budget, short = self.items[k]
                 from_ = end + 1 - n - at
+                if short:
+                    if places := borders(text, from_ - budget, from_ + budget):
+                        starts.setdefault(k, set()).update(places)
+                    continue
                 lo, hi = max(0, from_ - budget), from_ + len(item) + budget
                 own = regions.setdefault(k, [])
                 if own and lo <= own[-1][1] and lo >= own[-1][0] - len(item):
@@ -104,7 +150,7 @@ class Items:
                 else:
                     own.append([lo, hi])
         for k, own in regions.items():
-            item_id, item, budget = self.items[k]
+            item_id, item, budget, _ = self.items[k]
             best = None
             for lo, hi in own:
                 if (found := myers(item, text[lo:hi], budget)) and (best is None or found[0] < best[0]):
@@ -113,7 +159,11 @@ class Items:
                 begin = max(0, best[1] - len(item) - budget)
                 _, length = myers(item[::-1], text[begin : best[1]][::-1], best[0])
                 out.append((item_id, best[0], best[1] - length, best[1]))
-        return sorted(out)
+        for k, places in starts.items():
+            item_id, item, budget, _ = self.items[k]
+            if found := whole_words(item, text, sorted(places), budget):
+                out.append((item_id, *found))
+        return sorted(out, key=lambda x: (x[0] is not None, *(v or 0 for v in x)))
 
 
 def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -83,6 +83,42 @@ def test_documents(spark):
     assert sorted(str(x["doc_id"]) for x in kept.collect()) == ["3", "4", "5", "7"] and kept.columns == documents(spark, []).columns
 
 
+def test_short_items_inside_documents(spark):
+    tests = [(1, "What is the capital of Peru?"), (2, "Who is he?"), (3, "tiny item"), (4, "秘鲁的首都是什么")]
+    rows = [(1, "asked: WHAT is the capital of Peru -- Lima"), (2, "so what is the capitol of peru then"), (3, "what is the capital of Peruvians"), (4, "and who is he now"), (5, "who is hers"), (6, "a tiny item inside"), (7, "tiny, item"), (8, "请问秘鲁的首都是什么呢"), (9, "nothing of that"), (10, "somewhat is the capital of peru")]
+    found = contaminated(documents(spark, rows), items(spark, tests)).collect()
+    assert sorted((x["id"], x["item_id"], x["distance"]) for x in found) == [(1, 1, 0), (2, 1, 1), (4, 2, 0), (7, 3, 0), (8, 4, 0)]
+    assert {x["id"]: (x["start"], x["end"]) for x in found}[1] == (7, 34)
+    kept = clean_documents(documents(spark, rows), items(spark, tests))
+    assert sorted(x["doc_id"] for x in kept.collect()) == [3, 5, 6, 9, 10]
+
+
+def test_no_short_item_within_the_budget_is_lost():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+    for _ in range(300):
+        item = " ".join(word() for _ in range(rng.randint(3, 7)))[:39].strip()
+        text = plain(word() + rng.choice(["", " "]) + edited(rng, item, rng.randint(0, 3)) + rng.choice(["", " "]) + word())
+        if len(item.split()) < 3:
+            continue
+        words, at = [], 0
+        for w in text.split():
+            words.append((at, at + len(w)))
+            at += len(w) + 1
+        least = min(distance(item, text[a:b]) for k, (a, _) in enumerate(words) for _, b in words[k:])
+        assert [d for _, d, _, _ in Items([(1, item)], 0.08, 40).matches(text)] == ([least] if least <= int(len(item) * 0.08) else [])
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a):
+        new = [i + 1]
+        for j, d in enumerate(b):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
 def test_empty_tables(spark):
     assert contaminated(documents(spark, []), items(spark, [(1, ITEM)])).collect() == []
     assert contaminated(documents(spark, [(1, ITEM)]), items(spark, [])).collect() == []
