@@ -1,5 +1,8 @@
 """Scalar functions: strings, numbers, dates, arrays, maps, structs, JSON, vectors, texts."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import cosine, dot, json_int, word_count
@@ -65,6 +68,23 @@ def f14_vector_products(spark, sf_dir):
     return pairs.select("vec_id", "other", F.round(dot(F.col("embedding"), F.col("second")), 4).cast("decimal(9, 4)").alias("dot"), F.round(cosine(F.col("embedding"), F.col("second")), 4).cast("decimal(9, 4)").alias("cosine"))
 
 
+@query("f14_query_vectors", """
+SELECT a.vec_id, b.vec_id AS other, CAST(round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS DECIMAL(9, 4)) AS dot, CAST(round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS DECIMAL(9, 4)) AS cosine
+FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 100 = 0""")
+def f14_query_vectors(spark, sf_dir):
+    """The vectors whose number 100 divides (the stated query set), in broadcast blocks, with all vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    b = e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("second"))
+    return query_blocks(e.filter("vec_id % 100 = 0").select("vec_id", "embedding"), b).select("vec_id", "other", F.round(dot(F.col("embedding"), F.col("second")), 4).cast("decimal(9, 4)").alias("dot"), F.round(cosine(F.col("embedding"), F.col("second")), 4).cast("decimal(9, 4)").alias("cosine"))
+
+
+def query_blocks(queries, rows, size=1000):
+    """Each row with each of the queries; these go to the tasks by blocks of about `size`."""
+    blocks = max(1, -(-queries.count() // size))
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (rows.crossJoin(F.broadcast(queries.filter(part == k))) for k in range(blocks)))
+
+
 @query("f19_json_int", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 def f19_json_int(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(json_int(F.col("props"), "k").alias("k")).agg(F.count("*").alias("n"))

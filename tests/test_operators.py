@@ -132,3 +132,13 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 6
+
+
+def test_query_vectors_meet_all_rows(spark, sf_dir):
+    from brindle.plans.scalars import f14_query_vectors, query_blocks
+
+    ids = [x[0] for x in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()]
+    expected = sorted((a, b) for a in ids if a % 100 == 0 for b in ids)
+    assert sorted((x["vec_id"], x["other"]) for x in f14_query_vectors(spark, sf_dir).collect()) == expected
+    queries, rows = spark.range(7).withColumnRenamed("id", "vec_id"), spark.range(5)
+    assert sorted(tuple(x)[::-1] for x in query_blocks(queries, rows, 2).collect()) == [(q, r) for q in range(7) for r in range(5)]
