@@ -19,9 +19,14 @@ def discounted(price: pd.Series, discount: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def spread(x: pd.Series) -> float:
-    """An aggregate: the largest value less the smallest."""
-    return float(x.max() - x.min())
+def highest(x: pd.Series) -> float:
+    """An aggregate, of a part of a group."""
+    return float(x.max())
+
+
+@F.pandas_udf(T.DoubleType())
+def lowest(x: pd.Series) -> float:
+    return float(x.min())
 
 
 @F.udtf(returnType=T.StructType([T.StructField("word", T.StringType()), T.StructField("at", T.IntegerType())]))
@@ -34,8 +39,8 @@ class Words:
 
 
 def centered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For applyInPandas: values less their group's mean."""
-    return pdf.assign(centered=pdf["value"] - pdf["value"].mean())[["event_id", "event_type", "centered"]]
+    """For applyInPandas, of a part of a group: values less the mean of all of it."""
+    return pdf.assign(centered=pdf["value"] - pdf["mean"])[["event_id", "event_type", "centered"]]
 
 
 def positive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,5 +1,6 @@
 """User functions."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.functions import udfs
@@ -7,6 +8,15 @@ from brindle.plans import query
 from brindle.sources import table
 
 
+#: Rows of a group that pandas holds at once, on average.
+CHUNK_ROWS = 10_000
+
+
+def chunked(df):
+    """With a column `chunk`, which deals groups of any size into parts of about CHUNK_ROWS rows at most."""
+    return df.withColumn("chunk", F.pmod(F.xxhash64(*df.columns), F.lit(max(1, -(-df.count() // CHUNK_ROWS)))))
+
+
 @query("x01_python_udf", "SELECT c_custkey, left(split_part(c_name, '#', 1), 1) AS i FROM customer")
 def x01_python_udf(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", udfs.initials("c_name").alias("i"))
@@ -19,7 +29,9 @@ def x02_pandas_udf(spark, sf_dir):
 
 @query("x03_pandas_aggregate", "SELECT event_type, round(max(value) - min(value), 6) AS s FROM events GROUP BY event_type")
 def x03_pandas_aggregate(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(udfs.spread("value"), 6).alias("s"))
+    """pandas reduces chunks of the groups, Spark combines them."""
+    parts = chunked(table(spark, sf_dir, "events")).groupBy("event_type", "chunk").agg(udfs.highest("value").alias("high"), udfs.lowest("value").alias("low"))
+    return parts.groupBy("event_type").agg(F.round(F.max("high") - F.min("low"), 6).alias("s"))
 
 
 @query("x04_table_function", "SELECT r_regionkey, word, CAST(place - 1 AS INT) AS place FROM (SELECT r_regionkey, unnest(string_split(r_name, ' ')) AS word, generate_subscripts(string_split(r_name, ' '), 1) AS place FROM region)")
@@ -30,7 +42,13 @@ def x04_table_function(spark, sf_dir):
 
 @query("x05_apply_in_pandas", "SELECT event_id, event_type, round(value - avg(value) OVER (PARTITION BY event_type), 6) AS centered FROM events")
 def x05_apply_in_pandas(spark, sf_dir):
-    out = table(spark, sf_dir, "events").groupBy("event_type").applyInPandas(udfs.centered, "event_id long, event_type string, centered double")
+    """pandas gets chunks of the groups, each with the mean of its whole group."""
+    events = chunked(table(spark, sf_dir, "events"))
+    whole = Window.partitionBy("event_type")
+    means = events.groupBy("event_type", "chunk").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    means = means.select(F.col("event_type").alias("type"), F.col("chunk").alias("part"), F.try_divide(F.sum("total").over(whole), F.sum("n").over(whole)).alias("mean"))
+    same = F.col("event_type").eqNullSafe(F.col("type")) & (F.col("chunk") == F.col("part"))
+    out = events.join(means.hint("merge"), same).groupBy("event_type", "chunk").applyInPandas(udfs.centered, "event_id long, event_type string, centered double")
     return out.select("event_id", "event_type", F.round("centered", 6).alias("centered"))
 
 

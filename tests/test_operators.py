@@ -142,3 +142,29 @@ def test_query_vectors_meet_all_rows(spark, sf_dir):
     assert sorted((x["vec_id"], x["other"]) for x in f14_query_vectors(spark, sf_dir).collect()) == expected
     queries, rows = spark.range(7).withColumnRenamed("id", "vec_id"), spark.range(5)
     assert sorted(tuple(x)[::-1] for x in query_blocks(queries, rows, 2).collect()) == [(q, r) for q in range(7) for r in range(5)]
+
+
+def test_no_task_holds_a_whole_key(spark):
+    """As-of rows of one key lie in many groups, also where keys or times are null, and agree with a plain search."""
+    rng = random.Random(12)
+    right = [(None if rng.random() < 0.1 else 1, rng.randrange(500), k) for k in range(400)]
+    left = [(None if rng.random() < 0.1 else 1, rng.randrange(-5, 520), k) for k in range(400)]
+    df = lambda rows, v: spark.createDataFrame(rows, f"k int, t int, {v} int")
+    found = asof_join(df(left, "v"), df(right, "w"), ["k"], "t", "t", ["w"], chunks=16)
+    assert "_chunk" in found._jdf.queryExecution().executedPlan().toString()
+    assert {x["v"]: x["w"] for x in found.collect()} == {v: max(((s, w) for j, s, w in right if j == k and s <= t), default=(0, None))[1] for k, t, v in left}
+
+
+def test_pandas_gets_chunks_of_groups(spark, tmp_path, monkeypatch):
+    from brindle.plans import udfs
+
+    monkeypatch.setattr(udfs, "CHUNK_ROWS", 10)
+    rows = [(i, "a" if i % 3 else None, float(i * i % 97)) for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    values = {t: [v for _, s, v in rows if s == t] for t in ("a", None)}
+    found = udfs.x05_apply_in_pandas(spark, str(tmp_path))
+    assert "chunk" in found._jdf.queryExecution().executedPlan().toString()
+    assert {x["event_id"]: x["centered"] for x in found.collect()} == {i: round(v - sum(values[t]) / len(values[t]), 6) for i, t, v in rows}
+    spreads = udfs.x03_pandas_aggregate(spark, str(tmp_path))
+    assert "chunk" in spreads._jdf.queryExecution().executedPlan().toString()
+    assert {x["event_type"]: x["s"] for x in spreads.collect()} == {t: max(v) - min(v) for t, v in values.items()}
