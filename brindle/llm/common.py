@@ -87,7 +87,12 @@ def text_key(col: Column) -> tuple[Column, Column]:
     return F.xxhash64(col), F.xxhash64(F.lit("second"), col)
 
 
-def hash_chunk(*cols: Column, chunks: int = 1024) -> Column:
+def chunks_for(rows: int, of: int = 100_000) -> int:
+    """How many chunks, a power of two, so that a chunk of all rows has about `of`: windows over chunks don't grow with the table."""
+    return 1 << max(4, (rows // of).bit_length())
+
+
+def hash_chunk(*cols: Column, chunks: int) -> Column:
     """A chunk number from 0; splits hot groups into parts of bounded share."""
     return F.pmod(F.xxhash64(F.lit("chunk"), *cols), F.lit(chunks)).cast("int")
 

@@ -2,7 +2,7 @@
 
 from .decontaminate import op6_decontaminate
 from .lines import OP8_SQL, op8_line_dedup
-from .mixing import op9_mix_sources
+from .mixing import OP9_SQL, op9_mix_sources
 from .pii import op1_find_pii
 from .quality import OP7_SQL, op7_quality_rules
 from .sharding import op10_balanced_shards
@@ -28,4 +28,5 @@ ORACLE_SQL = {
     "op5_warc_round_trip": OP5_SQL,
     "op7_quality_rules": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op9_mix_sources": OP9_SQL,
 }

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hash_chunk, ranks, table, text_key
+from .common import chunks_for, cut, hash_chunk, ranks, table, text_key
 
 
 def difference(partials: list[list[int]], k: int) -> list[list[int]]:
@@ -95,7 +95,7 @@ def shard(docs: DataFrame, k: int = 8, id_col: str = "doc_id", text_col: str = "
     h1, h2 = text_key(text)
     rows = cut(docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), h1.alias("h1"), h2.alias("h2")))
     groups = cut(rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes")))
-    placed = rows.join(balance(groups, k), ["h1", "h2"]).withColumn("chunk", hash_chunk(F.col("id"), F.col("h1")))
+    placed = rows.join(balance(groups, k), ["h1", "h2"]).withColumn("chunk", hash_chunk(F.col("id"), F.col("h1"), chunks=chunks_for(rows.count())))
     placed = ranks(cut(placed), ["shard"], "chunk", [F.col("id"), F.col("h1")], "slot")
     return placed.select("id", "size", "text_crc32", "shard", "slot")
 
