@@ -6,7 +6,8 @@ budget is unchanged, so exact hits of pieces (an Aho-Corasick automaton, one pas
 hits, Myers' bit-parallel algorithm finds the smallest edit distance of the item to any passage.
 
 Items are the stated query set: they go to the tasks in blocks of bounded size (`block_chars`), one pass over the documents
-for each block.  Documents aren't shuffled.
+for each block.  Documents aren't shuffled.  All items pass through the driver, block by block, so this is for test sets, not
+for a second corpus.
 
 Items of fewer than `least_chars` characters are searched for with the same budget, int(m * rate), which may be 0, but their
 passages begin and end with whole words.  Only items of one or two words match no more than documents that equal them.  In scripts
@@ -17,6 +18,7 @@ Null or empty texts match nothing, null or empty items neither.  Repeated rows g
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -168,15 +170,22 @@ class Items:
 
 def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Code points of the original text for spans of its plain form, in whole words."""
-    words, at = [], 0
-    for word in WORDS.finditer(text):
-        n = len(word[0].lower())
-        words.append((at, at + n, *word.span()))
-        at += n + 1
+    low = text.lower()
+    if len(low) == len(text):
+        origin = range(len(text))
+    else:  # some characters have longer lower cases
+        origin = [i for i, c in enumerate(text) for _ in c.lower()]
+    starts, ends, own, at = [], [], [], 0  # of words, in the plain form
+    for word in WORDS.finditer(low):
+        starts.append(at)
+        at += len(word[0])
+        ends.append(at)
+        own.append(word.span())
+        at += 1
     out = []
     for start, end in spans:
-        inside = [w for w in words if w[1] > start and w[0] < end]
-        out.append((inside[0][2], inside[-1][3]) if inside else (0, 0))
+        first, last = bisect_right(ends, start), bisect_left(starts, end) - 1
+        out.append((origin[own[first][0]], origin[own[last][1] - 1] + 1) if first <= last else (0, 0))
     return out
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from brindle.llm.decontaminate import Items, clean_documents, contaminated, myers, op6_decontaminate, original_spans, pieces, plain
 
 DOCS = "doc_id long, text string, lang string, source string, item_id string, distance int, start string"
@@ -69,6 +71,14 @@ def test_spans():
     assert [text[x:y] for x, y in original_spans(text, [(a, a + len("quick brown"))])] == ["QUICK, brown"]
 
 
+def test_spans_behind_letters_whose_lower_case_is_longer():
+    item = "istanbul is where most of the people in this question live"
+    for before in ("İ" * 12 + " before. ", "İ İ. İ, aİ bİ! ", "Xİ-Σ İ", ""):
+        text = before + item.title() + " İ end"
+        a = plain(text).index(item)
+        assert [text[x:y].lower() for x, y in original_spans(text, [(a, a + len(item))])] == [item]
+
+
 ITEM = "The passage of a test that nobody may learn by heart before it is asked for"
 
 
@@ -125,9 +135,34 @@ def test_empty_tables(spark):
     assert clean_documents(documents(spark, [(1, ITEM)]), items(spark, [])).count() == 1
 
 
-def test_query(spark, sf_dir):
-    docs = [(x[0], plain(x[1])) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    tests = [(x[0], plain(x[1])) for x in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
-    found = {(x["doc_id"], x["item_id"]): x["distance"] for x in op6_decontaminate(spark, sf_dir).collect()}
-    exact = {(i, k) for i, t in docs for k, item in tests if item in t}
-    assert exact and exact == {k for k, d in found.items() if d == 0}
+def least_distances(texts, item, budget):
+    """The least edit distance of item to any passage of each text, all texts at once by numpy; separators cost more than budgets."""
+    gap = "\0" * (budget + 1)
+    joined, at = gap.join(texts), np.cumsum([0] + [len(t) + len(gap) for t in texts])
+    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    place, row = np.arange(len(codes) + 1), np.zeros(len(codes) + 1, int)
+    for i, c in enumerate(item):
+        new = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
+        row = np.minimum.accumulate(np.concatenate(([i + 1], new)) - place) + place
+    return [int(row[a : a + len(t) + 1].min()) for a, t in zip(at, texts)]
+
+
+def test_query(spark, sf_dir, tmp_path):
+    """Every distance, on the supplied tables and on some documents with edited items."""
+    rng = random.Random(6)
+    rows = [tuple(x) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60).collect()]
+    tests = [tuple(x) for x in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").limit(12).collect()]
+    for n in range(24):
+        item = tests[n % 12][1]
+        rows.append((10_000 + n, f"{rows[n][1][:300]} {edited(rng, item, n * len(item) // 200)} {rows[n][1][300:500]}"))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(tests, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for folder, least in ((sf_dir, 1), (tmp_path, 5)):
+        docs = [(x[0], plain(x[1])) for x in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+        tests = [(x[0], plain(x[1])) for x in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
+        expected = {}
+        for k, item in tests:
+            budget = int(len(item) * 0.08)
+            expected |= {(i, k): d for (i, _), d in zip(docs, least_distances([t for _, t in docs], item, budget)) if d <= budget}
+        assert {(x["doc_id"], x["item_id"]): x["distance"] for x in op6_decontaminate(spark, str(folder)).collect()} == expected
+        assert len(set(expected.values())) >= least
