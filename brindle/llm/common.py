@@ -98,13 +98,13 @@ def hash_chunk(*cols: Column, chunks: int) -> Column:
 
 
 def hashed_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """At most n rows of df, by the smallest hashes of a column; the same for the same rows.
+    """At most n rows of df, by the smallest hashes of a column; the same for the same rows, whatever the partitions.
 
     A share of about 2 n / count is taken first, so that tasks send the driver a few candidates each, not n.
     """
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30))
     share = min(1.0, 2 * n / max(1, df.count()))
-    return df.filter(draw <= int(share * (1 << 30))).orderBy(draw, key).limit(n)
+    return df.filter(draw <= int(share * (1 << 30))).orderBy(draw, key, *(c for c in df.columns if c != key)).limit(n)
 
 
 def ranks(df: DataFrame, keys: list[str], chunk: str, order: list[Column], name: str, weight: Column | None = None) -> DataFrame:

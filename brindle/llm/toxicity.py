@@ -1,12 +1,14 @@
 """Toxicity: a convolutional text classifier in numpy, with thresholds calibrated by language.
 
 Model.  A word's vector is the sum of hashed embeddings of the word and of its beginnings, so that unseen forms of a known stem
-still tell.  Filters of several widths run over the word vectors of the whole text; the largest response of each
-filter (max pooling) feeds a logistic output.  Texts are read in pieces that overlap by a filter's width, so a text of any
-length needs little memory and no window is lost.
+still tell.  A word of more than LONG bytes, as in scripts without spaces, is followed by its windows of WINDOW characters, as words
+of their own.  Filters of several widths run over the word vectors of the whole text; the largest response of each
+filter (max pooling) feeds a logistic output.  Texts are read in pieces that overlap by a filter's width, of which only the
+largest responses are kept, so what a text needs beside itself is bounded and no window is lost.
 
-Training.  On the driver, by stochastic gradient descent, on at most `sample` labelled rows whose held-out remainder isn't 0,
-chosen by a hash of their identifiers.  Embeddings start from each bucket's log odds in the training rows.
+Training.  On the driver, by stochastic gradient descent, on at most `sample` labelled rows of at most `longest` bytes whose
+held-out remainder isn't 0, chosen by a hash of their identifiers.  Embeddings start from each bucket's log odds in the training
+rows.  An identifier that several documents share stands for the smallest of their texts.
 
 Calibration.  A fifth of the training rows is kept out of the fit.  For every language, guessed from a text's function
 words, the threshold with the best F1 there is chosen (pulled to the common threshold where there are few rows).  The score is the
@@ -27,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, hashed_sample, slices, table, words
+from .common import column, hashed_sample, slices, table, texts, words
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
-#: Beginnings of a word, in bytes, that have embeddings of their own; words count up to LONG bytes.
-STARTS, LONG = range(4, 12), 24
+#: Beginnings of a word, in bytes, that have embeddings of their own; beyond LONG bytes a word's windows of WINDOW characters follow it.
+STARTS, LONG, WINDOW = range(4, 12), 24, 8
+#: Words that are held at a time.
+HELD = 200_000
 SAMPLE, SEED = 6000, 5
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = (
@@ -45,9 +49,11 @@ STRIP = b".,;:!?\"'()[]{}#*$%&|<>-"
 
 def buckets_of(vocabulary: list[bytes]) -> np.ndarray:
     """Rows of bucket numbers, one row for each word: the word and its beginnings; 0 is none."""
+    from xxhash import xxh64_intdigest
+
     stripped = [w.strip(STRIP) for w in vocabulary]
     raw = np.array(stripped, f"S{LONG}") if stripped else np.empty(0, f"S{LONG}")
-    size = np.minimum(np.array([len(w) for w in stripped], np.int64), LONG)
+    size = np.array([len(w) for w in stripped], np.int64)
     chars = raw.view(np.uint8).reshape(len(raw), LONG).astype(np.uint64)
     out = np.zeros((len(raw), 1 + len(STARTS)), np.int64)
     h = np.full(len(raw), 1469598103934665603, np.uint64)
@@ -57,33 +63,61 @@ def buckets_of(vocabulary: list[bytes]) -> np.ndarray:
             if i + 1 in STARTS:
                 mixed = (h + np.uint64(i + 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
                 out[:, 1 + STARTS.index(i + 1)] = np.where(size > i + 1, mixed % np.uint64(BUCKETS - 1) + np.uint64(1), 0)
+        for k in np.flatnonzero(size > LONG):
+            h[k] = xxh64_intdigest(stripped[k])  # all of its bytes
         mixed = h * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(40)
     out[:, 0] = np.where(size > 0, mixed % np.uint64(BUCKETS - 1) + np.uint64(1), 0)
     return out
 
 
+def tokens(data: bytes) -> Iterator[list[bytes]]:
+    """Lists of the words of a text in lower case, and of the windows of long ones; no list is much longer than HELD."""
+    for part in words(data):
+        part = b" ".join(part).decode().lower().encode().split()
+        if max(map(len, part), default=0) <= LONG:
+            for at in range(0, len(part), HELD):
+                yield part[at : at + HELD]
+            continue
+        out = []
+        for w in part:
+            out.append(w)
+            if len(w) > LONG:
+                chars = w.decode()
+                for i in range(len(chars) - 1):
+                    out.append(chars[i : i + WINDOW].encode())
+                    if len(out) >= HELD:
+                        yield out
+                        out = []
+        yield out
+
+
 class Batch:
     """Words of some texts, each text with a margin of empty words around it."""
 
     def __init__(self):
+        self.reset()
+
+    def reset(self) -> None:
         self.index: dict[bytes, int] = {b"": 0}
         self.ids: list[int] = []
         self.starts: list[int] = []  # of pieces
         self.owner: list[int] = []  # a piece's text
 
-    def add(self, owner: int, data: bytes) -> None:
+    def add(self, owner: int, data: bytes) -> Iterator[int]:
+        """Takes a text in, piece by piece, and says how many words are held after each; reset() may follow."""
         margin = max(WIDTHS) - 1
-        tail: list[int] = [0] * margin
-        for part in words(data.decode().lower().encode()) if data else ():
-            ids = [self.index.setdefault(w, len(self.index)) for w in part]
-            self.piece(owner, tail + ids)
-            tail = (tail + ids)[-margin:]
-        self.piece(owner, tail + [0] * margin)
-
-    def piece(self, owner: int, ids: list[int]) -> None:
+        tail = [b""] * margin
+        for part in tokens(data):
+            self.piece(owner, tail + part)
+            tail = (tail + part)[-margin:]
+            yield len(self.ids)
+        self.piece(owner, tail + [b""] * margin)
+        yield len(self.ids)
+
+    def piece(self, owner: int, own: list[bytes]) -> None:
         self.starts.append(len(self.ids))
         self.owner.append(owner)
-        self.ids += ids
+        self.ids += [self.index.setdefault(w, len(self.index)) for w in own]
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         vocabulary = list(self.index)
@@ -115,25 +149,38 @@ class Model:
             place.append(at)
         return np.hstack(best), np.hstack(place)
 
-    def logits(self, batch: Batch, count: int) -> tuple[np.ndarray, np.ndarray]:
+    def logits(self, texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Of each text, with its language: 0 to 3, or 4 if no function word tells."""
-        ids, starts, owner, buckets, said = batch.arrays()
-        best, _ = self.pooled(ids, starts, buckets)
-        top = np.full((count, best.shape[1]), -np.inf)
-        np.maximum.at(top, owner, best)
-        votes = np.zeros((count, 5))
-        np.add.at(votes, (np.repeat(owner, np.diff(np.append(starts, len(ids)))), said[ids]), 1)
+        top, votes, batch = [], [], Batch()
+
+        def note() -> None:
+            ids, starts, owner, buckets, said = batch.arrays()
+            best, _ = self.pooled(ids, starts, buckets)
+            for piece, (k, end) in enumerate(zip(owner, np.append(starts[1:], len(ids)))):
+                top[k] = np.maximum(top[k], best[piece])
+                votes[k] += np.bincount(said[ids[starts[piece] : end]], minlength=5)
+
+        for k, text in enumerate(texts):
+            top.append(np.full(len(WIDTHS) * FILTERS, -np.inf))
+            votes.append(np.zeros(5))
+            for held in batch.add(k, text):
+                if held > HELD:
+                    note()
+                    batch.reset()
+        if batch.ids:
+            note()
+        votes = np.array(votes).reshape(-1, 5)
         language = np.where(votes[:, :4].sum(axis=1) > 0, votes[:, :4].argmax(axis=1), 4)
-        return np.maximum(top, 0) @ self.out + self.offset, language
+        return np.maximum(np.array(top).reshape(len(votes), -1), 0) @ self.out + self.offset, language
 
     def score(self, logits: np.ndarray, language: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(logits - self.thresholds[language], -30, 30)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.1) -> Model:
+def train(rows: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.1) -> Model:
     rng = np.random.default_rng(SEED)
-    folds = np.array([zlib.crc32(t) % 5 for t in texts], int)
-    own = np.flatnonzero(folds > 0) if len(set(labels[folds > 0])) == 2 else np.arange(len(texts))
+    folds = np.array([zlib.crc32(t) % 5 for t in rows], int)
+    own = np.flatnonzero(folds > 0) if len(set(labels[folds > 0])) == 2 else np.arange(len(rows))
     n = np.bincount(labels[own], minlength=2)
     model = Model(rng.normal(0, 0.02, (BUCKETS, DIM)))
     model.filters = [rng.normal(0, 0.3, (w, DIM, FILTERS)) for w in WIDTHS]
@@ -144,9 +191,10 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int =
     # log odds of each bucket, by the texts that hold it
     held = np.zeros((2, BUCKETS))
     pieces = []
-    for i in range(len(texts)):
+    for row in rows:
         one = Batch()
-        one.add(0, texts[i])
+        for _ in one.add(0, row):
+            pass
         ids, starts, _, buckets, _ = one.arrays()
         pieces.append((ids.astype(np.int32), starts, buckets.astype(np.int32)))
     for i in own:
@@ -167,7 +215,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int =
             grads_out, grad_offset = np.zeros_like(model.out), 0.0
             grads = [np.zeros_like(f) for f in model.filters]
             grads_bias = [np.zeros_like(b) for b in model.bias]
-            rows, values = [], []
+            touched, values = [], []
             chosen = order[at : at + batch]
             for i in chosen:
                 ids, starts, buckets = pieces[i]
@@ -188,19 +236,19 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int =
                                 if (p := where[k * FILTERS + j] + d) < len(ids):
                                     b = buckets[ids[p]]
                                     grads[k][d, :, j] += g * model.embedding[b].sum(axis=0)
-                                    rows.append(b)
+                                    touched.append(b)
                                     values.append(np.broadcast_to(g * model.filters[k][d, :, j], (len(b), DIM)))
             model.out -= step * (grads_out + 1e-3 * model.out)
             model.offset -= step * grad_offset
             for k in range(len(WIDTHS)):
                 model.filters[k] -= step * (grads[k] + 1e-3 * model.filters[k])
                 model.bias[k] -= step * grads_bias[k]
-            if rows:
-                np.subtract.at(model.embedding, np.concatenate(rows), step * np.concatenate(values))
+            if touched:
+                np.subtract.at(model.embedding, np.concatenate(touched), step * np.concatenate(values))
                 model.embedding[0] = 0
     # the embeddings travel as float32
     model.embedding = model.embedding.astype(np.float32)
-    calibrate(model, texts, labels, np.flatnonzero(folds == 0))
+    calibrate(model, [rows[i] for i in np.flatnonzero(folds == 0)], labels[folds == 0])
     return model
 
 
@@ -214,19 +262,16 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray) -> tuple[float, int]:
     return float((logits[order[k]] + below) / 2), int(labels.sum())
 
 
-def calibrate(model: Model, texts: list[bytes], labels: np.ndarray, rows: np.ndarray, least: int = 5) -> None:
-    if not len(rows) or not labels[rows].any() or labels[rows].all():
+def calibrate(model: Model, rows: list[bytes], labels: np.ndarray, least: int = 5) -> None:
+    if not len(rows) or not labels.any() or labels.all():
         return
-    batch = Batch()
-    for k, i in enumerate(rows):
-        batch.add(k, texts[i])
-    logits, language = model.logits(batch, len(rows))
-    common, _ = best_threshold(logits, labels[rows])
+    logits, language = model.logits(rows)
+    common, _ = best_threshold(logits, labels)
     model.thresholds[:] = common
     for k in range(5):
         own = language == k
         if own.any():
-            t, n = best_threshold(logits[own], labels[rows][own])
+            t, n = best_threshold(logits[own], labels[own])
             model.thresholds[k] = (n * t + least * common) / (n + least) if n else common
 
 
@@ -238,19 +283,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     """Trained on at most `sample` labelled rows of docs (id, text) of at most `longest` bytes."""
     usable = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out("id")).distinct()
     chosen = hashed_sample(usable, "id", sample)
-    rows = docs.filter(F.octet_length("text") <= longest).join(F.broadcast(chosen), "id").select("id", "toxic", F.col("text").cast("binary").alias("text"))
-    rows = sorted(((x["id"], bytes(x["text"]), x["toxic"]) for x in rows.limit(2 * sample).toLocalIterator()))
+    rows = docs.filter(F.octet_length("text") <= longest).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "toxic").agg(F.min("text").cast("binary").alias("text"))
+    rows = sorted(((x["id"], bytes(x["text"]), x["toxic"]) for x in rows.toLocalIterator()))  # at most `sample`
     return train([x[1] for x in rows], np.array([x[2] for x in rows], int))
 
 
-def scores_of(model: Model, texts: pa.Array) -> np.ndarray:
-    scores, held, first = np.zeros(len(texts)), Batch(), 0
-    for i, text in enumerate(texts):
-        held.add(i - first, (text.as_py() or "").encode())
-        if len(held.ids) > 200_000 or i + 1 == len(texts):
-            scores[first : i + 1] = model.score(*model.logits(held, i + 1 - first))
-            held, first = Batch(), i + 1
-    return scores
+def scores_of(model: Model, column_: pa.Array) -> np.ndarray:
+    return model.score(*model.logits(texts(column_)))
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:

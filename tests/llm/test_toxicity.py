@@ -5,8 +5,8 @@ import zlib
 
 import numpy as np
 
-from brindle.llm import common
-from brindle.llm.toxicity import Batch, Model, buckets_of, keep_clean, fit, op2_toxicity, score_documents, train
+from brindle.llm import common, toxicity
+from brindle.llm.toxicity import Model, buckets_of, fit, keep_clean, op2_toxicity, score_documents, tokens, train
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, toxic int, score double"
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -49,21 +49,64 @@ def test_held_out_labels_are_not_used(spark):
     assert scores[0] == scores[1]
 
 
-def test_pieces_lose_no_window(monkeypatch):
-    rng = np.random.default_rng(1)
-    model = Model(rng.normal(size=(1 << 16, 8)), [rng.normal(size=(w, 8, 8)) for w in (1, 2, 3)], [np.zeros(8)] * 3, rng.normal(size=24))
+def some_model(seed=1):
+    rng = np.random.default_rng(seed)
+    model = Model(rng.normal(size=(1 << 16, 8)), [rng.normal(size=(w, 8, 8)) for w in (1, 2, 3)], [rng.normal(size=8) for _ in range(3)], rng.normal(size=24), 0.3)
     model.embedding[0] = 0
-    text = b" ".join(b"word%d" % (i % 997) for i in range(5000))
+    return model
 
-    def logit():
-        batch = Batch()
-        batch.add(0, text)
-        return len(batch.starts), model.logits(batch, 1)[0][0]
 
-    whole = logit()
+def test_pieces_lose_no_window(monkeypatch):
+    model, text = some_model(), b" ".join(b"word%d" % (i % 997) for i in range(5000))
+    whole = model.logits([text, b"other"])
     monkeypatch.setattr(common, "PIECE", 500)
-    parts = logit()
-    assert parts[0] > whole[0] and np.isclose(parts[1], whole[1])
+    parts = model.logits([text, b"other"])
+    monkeypatch.setattr(toxicity, "HELD", 300)
+    few = model.logits([text, b"other"])
+    assert np.allclose(whole[0], parts[0]) and np.allclose(whole[0], few[0]) and list(whole[1]) == list(few[1])
+
+
+def test_against_plain_convolution():
+    """All windows of each width, one after the other."""
+    model, texts = some_model(2), [b"", b"one", b"the two. words", b"and " * 30 + b"der " * 40, b"a b c d e f g vilename! h"]
+    expected = []
+    for text in texts:
+        vectors = [np.zeros(8)] * 2 + [sum(model.embedding[b] for b in buckets_of([w])[0]) for w in text.split()] + [np.zeros(8)] * 2
+        logit = model.offset
+        for k, f in enumerate(model.filters):
+            w = len(f)
+            for j in range(8):
+                best = max(sum(vectors[i + d] @ f[d][:, j] for d in range(w)) for i in range(len(vectors) - w + 1)) + model.bias[k][j]
+                logit += max(best, 0) * model.out[8 * k + j]
+        expected.append(logit)
+    logits, language = model.logits(texts)
+    assert np.allclose(logits, expected) and list(language) == [4, 4, 0, 1, 4]
+
+
+def test_all_of_a_long_word_counts():
+    long = "x" * 30
+    rows = buckets_of([f"{long}a".encode(), f"{long}b".encode(), b"y" * 24, b"y" * 25])
+    assert len(set(rows[:, 0])) == 4
+    assert sorted(set(w for part in tokens("sehr 一二三四五六七八九十甲乙".encode()) for w in part) & {"七八九十甲乙".encode(), "甲乙".encode(), b"sehr"}) == sorted({"七八九十甲乙".encode(), "甲乙".encode(), b"sehr"})
+
+
+def test_words_in_scripts_without_spaces(spark):
+    rng = random.Random(3)
+    sign = lambda: "".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(rng.randint(10, 60)))
+    rows = [(i, sign() + ("坏人" if i % 4 == 0 else "") + sign(), int(i % 4 == 0)) for i in range(600)]
+    found = {x["id"]: x["predicted"] for x in score_documents(*tables(spark, rows)).collect()}
+    held = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([found[i] == y for i, y in held]) > 0.9
+
+
+def test_a_long_text_needs_little_memory():
+    import tracemalloc
+
+    model, text = some_model(), b" ".join(b"word%d" % i for i in range(2_000_000))  # 21 MB of distinct words
+    tracemalloc.start()
+    model.logits([text])
+    assert tracemalloc.get_traced_memory()[1] < 250e6
+    tracemalloc.stop()
 
 
 def test_odd_texts(spark):
@@ -88,7 +131,27 @@ def test_beginnings():
     assert set(rows[1, 1:][rows[1, 1:] > 0]) <= set(rows[0, 1:]) and not rows[3, 1:].any()
 
 
-def test_query(spark, sf_dir):
+def test_repeated_ids_and_partitions_change_nothing(spark):
+    docs, labels = tables(spark, [*corpus(200), *((i, f"other text {i}", 0) for i in range(40))])
+    first = sorted((x["id"], x["score"]) for x in score_documents(docs, labels).collect())
+    again = sorted((x["id"], x["score"]) for x in score_documents(docs.repartition(7), labels.repartition(5)).collect())
+    assert first == again
+
+
+def area(scores, labels):
+    """Under the curve, by all pairs."""
+    high, low = scores[labels == 1], scores[labels == 0]
+    return float((np.sign(high[:, None] - low[None, :]) / 2 + 0.5).mean())
+
+
+def test_query(spark):
+    """Held-out rows of the supplied tables."""
+    sf_dir = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    labels = dict(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").collect())
     found = op2_toxicity(spark, sf_dir).collect()
     assert len(found) == docs and all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) for x in found)
+    held = [x for x in found if x["held_out"] and x["doc_id"] in labels]
+    assert area(np.array([x["score"] for x in held]), np.array([labels[x["doc_id"]] for x in held])) > 0.95
+    assert sum(x["predicted"] for x in held if labels[x["doc_id"]]) > 0.85 * sum(labels[x["doc_id"]] for x in held)
+    assert sum(x["predicted"] for x in held if not labels[x["doc_id"]]) < 0.02 * len(held)
