@@ -18,6 +18,8 @@ Training.  Weights start from a prior and are fitted by pseudo-likelihood, with
 at random, on the candidates of at most `sample` documents, which are chosen by a hash of their identifiers.  Candidates
 outside base spans that the prior takes for data, or that repeat a base span, count as unlabelled.
 
+A document's field lies in one task, in memory that grows with its candidates; its labels don't depend on other documents.
+
 Null and empty texts have no spans.  Identifiers may be null or repeat.
 """
 
@@ -46,8 +48,9 @@ DIGIT = re.compile(r"[0-9]")
 NO_DIGIT = re.compile(r"[^0-9]+")
 #: Candidates of the field.
 NUMBER = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])++")
-ADDRESS = re.compile(r"[^\s@<>()\[\],;:\"']{1,64}(?:\x20?[\[(]at[\])]\x20?|@)[^\s@<>()\[\],;:\"']{1,255}")
-AT = re.compile(r"@|[\[(]at[\])]")
+AT = re.compile(r"@|\x20?[\[(]at[\])]\x20?")
+ADDRESS = re.compile(r"[^\s@<>()\[\],;:\"']+")  # either side of it
+STOPS = re.compile(r"[\s@<>()\[\],;:\"']")
 #: Words that announce a kind, in English, German, French and Spanish.
 CUES = tuple(re.compile(x, re.I) for x in (r"mail|courriel|correo|contact|kontakt", r"\bip\b|host|server|serveur|servidor|login", r"card|visa|kredit|karte|carte|tarjeta|payment", r"tel|phone|call|fax|mobil|rufen|appel|llam"))
 
@@ -116,17 +119,24 @@ def numbers(own: str, at: int) -> Iterator[tuple[int, int]]:
         yield at + start, at + len(own)
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """What stands around each at sign, of any length; a character is looked at twice at most."""
+    for hit in AT.finditer(text) if "@" in text or "at" in text else ():
+        start, end = hit.span()
+        while start and not STOPS.match(text[start - 1]):
+            start -= 1
+        if start < hit.start() and (m := ADDRESS.match(text, end)):
+            yield start, m.end() - (m[0][-1] in ".!?")
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    spans = []
+    spans = list(addresses(text))
     if DIGIT.search(text):
-        spans = [s for m in NUMBER.finditer(text) for s in numbers(m[0], m.start())]
-    for hit in AT.finditer(text) if "@" in text or "at" in text else ():
-        if m := next((m for m in ADDRESS.finditer(text, max(0, hit.start() - 65), min(len(text), hit.end() + 256)) if m.start() <= hit.start() < m.end()), None):
-            spans.append((m.start(), m.end() - (text[m.end() - 1] in ".!?")))
+        spans += [s for m in NUMBER.finditer(text) for s in numbers(m[0], m.start())]
     return sorted(set(spans))
 
 
-def features(text: str, start: int, end: int) -> list[int]:
+def features(text: str, start: int, end: int) -> bytes:
     own = text[start:end]
     digits = NO_DIGIT.sub("", own)
     n, parts = len(digits), own.split(".")
@@ -135,12 +145,17 @@ def features(text: str, start: int, end: int) -> list[int]:
     left = text[max(0, start - 24) : start]
     beside = text[start - 1 : start] + text[end : end + 1]
     number = not at
-    return [
+    return bytes((
         1, bool(at), bool(at and re.search(r"[A-Za-z0-9]\.[A-Za-z]", own[at.end() :])), number and quad, number and quad and all(int(x) <= 255 for x in parts),
         number and 13 <= n <= 19, number and 13 <= n <= 19 and luhn(digits), number and 9 <= n <= 15 and not quad, number and 7 <= n <= 8 and not quad,
         own[0] == "+", number and "(" in own, number and bool(re.search(r"[0-9][\x20-]|\)", own)), number and any(c.isalnum() or c in "_@" for c in beside),
         *(bool(c.search(left)) for c in CUES), number and 16 <= n <= 19 and not luhn(digits), number and n > 19,
-    ]
+    ))
+
+
+def matrix(x: Iterable[bytes]) -> np.ndarray:
+    """A row for each candidate's features."""
+    return np.frombuffer(b"".join(x), np.uint8).reshape(-1, len(FEATURES))
 
 
 def keys(own: str) -> list[str]:
@@ -151,7 +166,7 @@ def keys(own: str) -> list[str]:
     return [f"d{digits}"] + [f"e{n}{digits[-n:]}" for n in (7, 10) if n <= len(digits) <= 15 and own.count(".") != 3]
 
 
-def graph(text: str, base: list[list[tuple[int, int]]]) -> tuple[list[tuple[int, int]], list[list[int]], list[int], list[tuple[int, int, int]]]:
+def graph(text: str, base: list[list[tuple[int, int]]]) -> tuple[list[tuple[int, int]], list[bytes], list[int], list[tuple[int, int, int]]]:
     """Spans, features, observed labels (0 if none) and links (type, i, j) of a document's field."""
     observed = sorted((a, b, k + 1) for k, own in enumerate(base) for a, b in own)
     spans, labels = [], []
@@ -181,28 +196,39 @@ def graph(text: str, base: list[list[tuple[int, int]]]) -> tuple[list[tuple[int,
     return spans, [features(text, a, b) for a, b in spans], labels, links
 
 
-def marginals(x: np.ndarray, observed: np.ndarray, links: np.ndarray, weights: np.ndarray, pairs: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Label probabilities of every node, by loopy belief propagation with damping; links: rows (type, i, j)."""
+def marginals(x: np.ndarray, observed: np.ndarray, links: np.ndarray, weights: np.ndarray, pairs: np.ndarray, document: np.ndarray | None = None, rounds: int = 30) -> np.ndarray:
+    """Label probabilities of every node, by loopy belief propagation with damping; links: rows (type, i, j).
+
+    document: the number of each node's document; each stops on its own, so that none depends on what it is read with.
+    """
     own = x @ weights
     seen = observed > 0
     own[seen] = -50
     own[seen, observed[seen]] = 50
     if not len(links):
         return np.exp(own - np.logaddexp.reduce(own, axis=1, keepdims=True))
+    document = np.zeros(len(own), np.int64) if document is None else document
     kind = np.concatenate((links[:, 0], links[:, 0]))
     source, target = np.concatenate((links[:, 1], links[:, 2])), np.concatenate((links[:, 2], links[:, 1]))
     n = len(links)
     back = np.concatenate((np.arange(n, 2 * n), np.arange(n)))
-    table_ = pairs[kind]
+    factor = np.exp(pairs)
     message = np.zeros((2 * n, own.shape[1]))
+    live = np.arange(2 * n)
     for _ in range(rounds):
         belief = own.copy()
         np.add.at(belief, target, message)
-        new = np.logaddexp.reduce((belief[source] - message[back])[:, :, None] + table_, axis=1)
-        new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-        moved = np.abs(new - message).max()
-        message = 0.5 * message + 0.5 * new
-        if moved < 1e-4:
+        into = belief[source[live]] - message[back[live]]
+        into = np.exp(into - into.max(axis=1, keepdims=True))
+        new = np.empty_like(into)
+        for t in range(len(factor)):
+            new[kind[live] == t] = into[kind[live] == t] @ factor[t]
+        new = np.log(new / new.sum(axis=1, keepdims=True))
+        moved = np.zeros(int(document.max()) + 1)
+        np.maximum.at(moved, document[source[live]], np.abs(new - message[live]).max(axis=1))
+        message[live] = 0.5 * message[live] + 0.5 * new
+        live = live[moved[document[source[live]]] >= 1e-4]
+        if not len(live):
             break
     belief = own.copy()
     np.add.at(belief, target, message)
@@ -238,31 +264,34 @@ def fit(x: np.ndarray, labels: np.ndarray, links: np.ndarray, rounds: int = 200,
 
 
 def train(docs: DataFrame, sample: int = 4000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
-    """Weights from the candidates of at most `sample` documents (id, text), at most `most` candidates."""
+    """Weights from the candidates of at most `sample` documents (id, text).  The fit is bounded: documents with more than a tenth of
+    `most` candidates aren't used, and the others, in the order of id and text, until there are `most` candidates."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for text in column(batch, "text"):
+            for text, text_hash in zip(column(batch, "text"), column(batch, "text_hash").to_pylist()):
                 text = text.as_py() or ""
                 _, x, labels, links = graph(text, base_spans(text))
-                if x:
-                    out.append({"x": [int(v) for row in x for v in row], "labels": labels, "links": [v for row in links for v in row]})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("x", pa.list_(pa.int32())), ("labels", pa.list_(pa.int32())), ("links", pa.list_(pa.int32()))]))
+                if 0 < len(x) <= most // 10:
+                    out.append({"text_hash": text_hash, "x": b"".join(x), "labels": labels, "links": [v for row in links for v in row]})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("text_hash", pa.int64()), ("x", pa.binary()), ("labels", pa.list_(pa.int32())), ("links", pa.list_(pa.int32()))]))
 
     chosen = hashed_sample(docs.select("id"), "id", sample).distinct()
-    found = docs.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(run, "x array<int>, labels array<int>, links array<int>")
+    found = docs.withColumn("text_hash", F.xxhash64("id", "text")).join(F.broadcast(chosen), "id", "left_semi").mapInArrow(run, "text_hash long, x binary, labels array<int>, links array<int>")
     x, labels, links, at = [], [], [], 0
-    for row in found.filter(F.size("labels") <= most // 10).limit(most).toLocalIterator():  # a few numbers for each candidate
+    for row in found.orderBy("text_hash").limit(sample).toLocalIterator():  # a few numbers for each candidate
         if at + len(row["labels"]) > most:
             break
-        x += row["x"]
+        x.append(bytes(row["x"]))
         labels += row["labels"]
         links += [v if i % 3 == 0 else v + at for i, v in enumerate(row["links"])]
         at += len(row["labels"])
-    return fit(np.array(x, float).reshape(-1, len(FEATURES)), np.array(labels, int), np.array(links, int).reshape(-1, 3))
+    return fit(matrix(x).astype(float), np.array(labels, int), np.array(links, int).reshape(-1, 3))
 
 
+#: Candidates of whole documents that are labelled at a time, at least.
+NODES = 50_000
 SPANS = "id long, n_email long, n_ip long, n_card long, n_phone long, base string, n_added long, spans string"
 
 
@@ -271,28 +300,39 @@ def find(docs: DataFrame, sample: int = 4000, least: float = 0.5, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     weights, pairs = train(rows, sample)
 
+    def rows_of(ids: list[int | None], base: list, nodes: list, x: list[bytes], observed: list[int], links: list) -> pa.RecordBatch:
+        all_spans = [[(k, a, b) for k, own in enumerate(found) for a, b in own] for found in base]
+        added = [0] * len(base)
+        if nodes:
+            document = np.array([i for i, _, _ in nodes])
+            p = marginals(matrix(x).astype(float), np.array(observed), np.array(links, int).reshape(-1, 3), weights, pairs, document)
+            for n in np.flatnonzero((np.array(observed) == 0) & (p[:, 0] < 1 - least)):
+                i, a, b = nodes[n]
+                all_spans[i].append((int(p[n, 1:].argmax()), a, b))
+                added[i] += 1
+        counts = [pa.array([len(found[k]) for found in base], pa.int64()) for k in range(4)]
+        text_of = [joined((k, a, b) for k, own in enumerate(found) for a, b in own) for found in base]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *counts, pa.array(text_of, pa.string()), pa.array(added, pa.int64()), pa.array([joined(s) for s in all_spans], pa.string())], ["id", "n_email", "n_ip", "n_card", "n_phone", "base", "n_added", "spans"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            base, nodes, x, observed, links = [], [], [], [], []
-            for i, text in enumerate(column(batch, "text")):
+            held = [], [], [], [], [], []
+            for doc_id, text in zip(column(batch, "id").to_pylist(), column(batch, "text")):
+                ids, base, nodes, x, observed, links = held
                 text = text.as_py() or ""
-                base.append(base_spans(text))
-                spans, own, labels, between = graph(text, base[-1])
+                found = base_spans(text)
+                spans, own, labels, between = graph(text, found)
                 links += [(t, a + len(nodes), b + len(nodes)) for t, a, b in between]
-                nodes += [(i, a, b) for a, b in spans]
+                nodes += [(len(base), a, b) for a, b in spans]
                 x += own
                 observed += labels
-            all_spans = [[(k, a, b) for k, own in enumerate(found) for a, b in own] for found in base]
-            added = [0] * len(base)
-            if nodes:
-                p = marginals(np.array(x, float), np.array(observed), np.array(links, int).reshape(-1, 3), weights, pairs)
-                for n in np.flatnonzero((np.array(observed) == 0) & (p[:, 0] < 1 - least)):
-                    i, a, b = nodes[n]
-                    all_spans[i].append((int(p[n, 1:].argmax()), a, b))
-                    added[i] += 1
-            counts = [pa.array([len(found[k]) for found in base], pa.int64()) for k in range(4)]
-            text_of = [joined((k, a, b) for k, own in enumerate(found) for a, b in own) for found in base]
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), *counts, pa.array(text_of, pa.string()), pa.array(added, pa.int64()), pa.array([joined(s) for s in all_spans], pa.string())], ["id", "n_email", "n_ip", "n_card", "n_phone", "base", "n_added", "spans"])
+                ids.append(doc_id)
+                base.append(found)
+                if len(nodes) > NODES:
+                    yield rows_of(*held)
+                    held = [], [], [], [], [], []
+            if held[0]:
+                yield rows_of(*held)
 
     return rows.mapInArrow(run, SPANS)
 
