@@ -7,14 +7,17 @@
     partial aggregation.
 3.  Bit-sliced comparison.  A bucket's fingerprints become bit planes, one lane for each fingerprint.  Shifted by s
     lanes and XORed with themselves, the planes give the differing bits of every pair s apart, 64 pairs to a machine
-    word; a carry-save counter of bitwise operations adds them up for all lanes at once.  Words of lanes that have
-    all gone beyond the radius are abandoned.
+    word.  Carry-save adders take three words of one weight to one of that and one of twice the weight, so eight planes
+    go into the vertical counters of all lanes with few operations.  Words of lanes that have all gone beyond
+    the radius are abandoned after every eight planes.
 4.  Buckets with more than `cell` members are dealt into parts; every pair of parts is a cell of its own, so no task
     holds a bucket, whatever its size, and no pair is lost.
 5.  Cells return a star of links for each group they find, not its pairs; components join them.
 
-The pipeline's stage (one_of_each) takes no fingerprints: it finds all pairs of texts whose five-word shingles have a Jaccard
-similarity of 0.8 or more by prefixes of their sets, and compares the sets exactly.
+The pipeline's stage (one_of_each) links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.  Its
+buckets are shingles: under one order of all shingles two such sets share one in their prefixes, so no pair is lost there.  In
+a bucket, the bit-sliced comparison of fingerprints of the sets, within a wide radius, leaves few of the strangers, and the
+sets of what it leaves are compared exactly, after their parities.
 
 Null texts count as empty; texts without words have fingerprint 0 and are linked like any other.  Null doc_ids keep
 their rows; they never become a component_id unless the component has no other.  Repeated rows stay repeated.
@@ -27,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import column, components, cut, deal, slices, table, texts, words
@@ -35,43 +38,61 @@ from .common import column, components, cut, deal, slices, table, texts, words
 SEED = 42
 #: Parts of a component, when its rows are joined with what holds for all of it.
 SALTS = 16
+#: Fingerprints of sets with a similarity of 0.8 differ in some 10 bits, with a standard deviation of about 3.
+WIDE = 20
 #: Parities of a shingle set; two sets differ in as many shingles at least as in parities.
 BITS = 2048
 
 
-def fingerprint(data: bytes, shingle: int = 3) -> int:
-    """Of one text, as an unsigned number."""
+def votes_of(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is set."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        own = np.ascontiguousarray(hashes[at : at + (1 << 15)], "<u8").view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(own, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return votes
+
+
+def majority(votes: np.ndarray, count: int) -> int:
+    return int(np.packbits(2 * votes > count, bitorder="little").view("<u8")[0])
+
+
+def shingle_hashes(data: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text, repeats included, in parts; of one with fewer words all of them are one shingle."""
     from xxhash import xxh64_intdigest
 
-    votes, count, tail, all_words = np.zeros(64, np.int64), 0, [], 0
+    tail, count = [], 0
     for part in words(data.lower()):  # bytes.lower() changes A-Z only
-        all_words += len(part)
         part = tail + part
         tail = part[max(0, len(part) - shingle + 1) :] if shingle > 1 else []
         for at in range(0, len(part) - shingle + 1, 1 << 15):
             own = part[at : at + (1 << 15) + shingle - 1]
-            h = np.array([xxh64_intdigest(b" ".join(x), SEED) for x in zip(*(own[i:] for i in range(shingle)))], "<u8")
-            votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            h = np.array([xxh64_intdigest(b" ".join(x), SEED) for x in zip(*(own[i:] for i in range(shingle)))], np.uint64)
             count += len(h)
-    if not all_words:
-        return 0
-    if not count:
-        return xxh64_intdigest(b" ".join(tail), SEED)
-    return int(np.packbits(2 * votes > count, bitorder="little").view("<u8")[0])
+            yield h
+    if tail and not count:
+        yield np.array([xxh64_intdigest(b" ".join(tail), SEED)], np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, second: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row (id, text_hash, fp long, fp2 long) for each document; fp holds the 64 bits as a signed number, fp2 those over
-    shingles of `second` words, or 0."""
+def fingerprint(data: bytes, shingle: int = 3) -> int:
+    """Of one text, as an unsigned number."""
+    votes, count = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(data, shingle):
+        votes += votes_of(h)
+        count += len(h)
+    return majority(votes, count)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row (id, text_hash, fp long) for each document; fp holds the 64 bits as a signed number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            both = [(fingerprint(x, shingle), fingerprint(x, second) if second else 0) for x in texts(column(batch, "text"))]
-            fp, fp2 = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (zip(*both) if both else ((), ())))
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), fp, fp2], ["id", "text_hash", "fp", "fp2"])
+            fp = np.array([fingerprint(x, shingle) for x in texts(column(batch, "text"))], np.uint64)
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), pa.array(fp.view(np.int64))], ["id", "text_hash", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, text_hash long, fp long, fp2 long")
+    return rows.mapInArrow(run, "id long, text_hash long, fp long")
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -86,6 +107,12 @@ def bucket_keys(fp: Column, radius: int) -> Column:
     return F.array(*(F.xxhash64(F.lit(k), part[i], part[j]) for k, (i, j) in enumerate(combinations(range(radius + 2), 2))))
 
 
+def carry_save(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Three words of one weight as one of twice the weight and one of the same."""
+    u = a ^ b
+    return a & b | u & c, u ^ c
+
+
 def close_lanes(planes: np.ndarray, shift: int, valid: np.ndarray, radius: int) -> np.ndarray:
     """Lanes i for which fingerprints i and i + shift differ in at most radius bits.
 
@@ -95,31 +122,35 @@ def close_lanes(planes: np.ndarray, shift: int, valid: np.ndarray, radius: int)
     word, bit = divmod(shift, 64)
     at = np.flatnonzero(valid)
     live = valid[at]
-    counter = [np.zeros(len(at), np.uint64) for _ in range(max(1, int(radius).bit_length()))]
-    over = np.zeros(len(at), np.uint64)
+    counter = [np.zeros(len(at), np.uint64) for _ in range(7)]  # of 1, 2, 4 up to 64 differing bits
     padded = planes.shape[1] - word - 2  # last word whose two shifted sources exist
     assert not len(at) or at[-1] <= padded
-    for k in range(64):
-        plane = planes[k]
-        other = plane[at + word] >> np.uint64(bit)
+
+    def differing(k: int) -> np.ndarray:
+        other = planes[k][at + word] >> np.uint64(bit)
         if bit:
-            other = other | plane[at + word + 1] << np.uint64(64 - bit)
-        carry = plane[at] ^ other
-        for c in counter:
-            c ^= carry
-            carry = carry & ~c  # where the bit was set and is now clear
-        over |= carry
-        if k % 8 == 7:
-            # above the radius: beyond the counter's bits, or above by comparison
-            above = over | greater(counter, radius)
-            keep = (live & ~above) != 0
-            if not keep.all():
-                at, live, over = at[keep], live[keep], over[keep]
-                counter = [c[keep] for c in counter]
-            if not len(at):
-                return at
-    close = live & ~(over | greater(counter, radius))
-    bits = np.unpackbits(close.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            other = other | planes[k][at + word + 1] << np.uint64(64 - bit)
+        return planes[k][at] ^ other
+
+    for k in range(0, 64, 8):
+        ones, twos, fours = counter[:3]
+        fours_of = []
+        for i in (k, k + 4):
+            twos_a, ones = carry_save(ones, differing(i), differing(i + 1))
+            twos_b, ones = carry_save(ones, differing(i + 2), differing(i + 3))
+            four, twos = carry_save(twos, twos_a, twos_b)
+            fours_of.append(four)
+        carry, fours = carry_save(fours, *fours_of)
+        counter[:3] = ones, twos, fours
+        for i in range(3, 7):
+            counter[i], carry = counter[i] ^ carry, counter[i] & carry
+        live = live & ~greater(counter, radius)
+        keep = live != 0
+        if not keep.all():
+            at, live, counter = at[keep], live[keep], [c[keep] for c in counter]
+        if not len(at):
+            return at
+    bits = np.unpackbits(live.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     row, lane = np.nonzero(bits)
     return at[row] * 64 + lane
 
@@ -147,23 +178,25 @@ def bit_planes(fp: np.ndarray, spare: int) -> np.ndarray:
     return out
 
 
-def stars(group: np.ndarray, fp: np.ndarray, fp2: np.ndarray, node: np.ndarray, radius: int, radius2: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member's node, root's node) of the components inside each group; rows lie group by group."""
-    label = np.arange(len(fp))
-    size = np.bincount(np.unique(group, return_inverse=True)[1])
-    longest = int(size.max(initial=0))
+def near_lanes(group: np.ndarray, fp: np.ndarray, radius: int, width: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places (i, j) of fingerprints of one group within the radius; rows lie group by group.
+    width: only those at most so many places apart."""
+    longest = int(np.bincount(np.unique(group, return_inverse=True)[1]).max(initial=0))
     planes = bit_planes(fp, longest // 64 + 2)
-    for shift in range(1, longest):
+    for shift in range(1, min(longest, 1 + (width or longest))):
         same = group[:-shift] == group[shift:]
         if not same.any():
             break
         lanes = np.zeros(planes.shape[1] * 64, np.uint8)
         lanes[: len(same)] = same
-        valid = np.packbits(lanes, bitorder="little").view(np.uint64)
-        i = close_lanes(planes, shift, valid, radius)
-        j = i + shift
-        near = np.bitwise_count(fp2[i] ^ fp2[j]) <= radius2
-        i, j = i[near], j[near]
+        i = close_lanes(planes, shift, np.packbits(lanes, bitorder="little").view(np.uint64), radius)
+        yield i, i + shift
+
+
+def stars(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member's node, root's node) of the components inside each group; rows lie group by group."""
+    label = np.arange(len(fp))
+    for i, j in near_lanes(group, fp, radius):
         while len(i):  # unite: hook roots to the smaller, then flatten
             a, b = label[i], label[j]
             differ = a != b
@@ -177,16 +210,32 @@ def stars(group: np.ndarray, fp: np.ndarray, fp2: np.ndarray, node: np.ndarray,
     return node[member], node[label[member]]
 
 
-def links(nodes: DataFrame, radius: int, radius2: int, cell: int) -> DataFrame:
-    """Links (a, b) between nodes, rows (node, fp, fp2), that span all groups within the radius (of fp2: radius2)."""
-    keyed = nodes.select("node", "fp", "fp2", F.explode(bucket_keys(F.col("fp"), radius)).alias("key"))
+def runs(sizes: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Lists of like sizes, taken together: of each run, the numbers of the lists and the places of their members."""
+    start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        end, total = at + 1, sizes[order[at]]
+        while end < len(order) and sizes[order[end]] <= 2 * sizes[order[at]] and total + sizes[order[end]] <= most:
+            total += sizes[order[end]]
+            end += 1
+        pick = order[at:end]
+        own = sizes[pick]
+        yield np.repeat(np.arange(len(pick)), own), np.repeat(start[pick] - np.concatenate(([0], np.cumsum(own)[:-1])), own) + np.arange(total)
+        at = end
+
+
+def links(nodes: DataFrame, radius: int, cell: int) -> DataFrame:
+    """Links (a, b) between nodes, rows (node, fp), that span all groups within the radius."""
+    keyed = nodes.select("node", "fp", F.explode(bucket_keys(F.col("fp"), radius)).alias("key"))
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > cell)
     hot = hot.select("key", F.ceil(F.col("n") / F.lit(cell)).cast("int").alias("parts"))
     cells = (
         keyed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .agg(F.collect_list(F.struct("node", "fp", "fp2")).alias("members"))
+        .agg(F.collect_list(F.struct("node", "fp")).alias("members"))
         .filter(F.size("members") > 1)
         .select("members")
     )
@@ -194,64 +243,43 @@ def links(nodes: DataFrame, radius: int, radius2: int, cell: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8192):
             lists = column(batch, "members")
-            sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
-            fp = flat.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            fp2 = flat.field("fp2").to_numpy(zero_copy_only=False).view(np.uint64)
-            node = flat.field("node").to_numpy(zero_copy_only=False)
-            start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            order = np.argsort(sizes, kind="stable")  # groups of like sizes share a run of shifts
-            at = 0
-            while at < len(order):
-                end = at + 1
-                total = sizes[order[at]]
-                while end < len(order) and sizes[order[end]] <= 2 * sizes[order[at]] and total + sizes[order[end]] <= 1 << 16:
-                    total += sizes[order[end]]
-                    end += 1
-                pick = order[at:end]
-                rows = np.repeat(start[pick] - np.concatenate(([0], np.cumsum(sizes[pick])[:-1])), sizes[pick]) + np.arange(total)
-                a, b = stars(np.repeat(np.arange(len(pick)), sizes[pick]), fp[rows], fp2[rows], node[rows], radius, radius2)
+            fp, node = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("fp", "node"))
+            for group, rows in runs(np.diff(lists.offsets.to_numpy())):
+                a, b = stars(group, fp[rows].view(np.uint64), node[rows], radius)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                at = end
 
     return cells.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, second: tuple[int, int] | None = None, cell: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row (id, text_hash, fp, component, component_id) for each document; component tells components without any
-    identifier apart.
+def by_component(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component, component_id) of nodes (node, first) by links (node, root); component_id is the smallest `first`.
 
-    second: (shingle, radius) of another fingerprint that has to be near too.  A wide radius on the first finds edited copies,
-    the second then rules out texts that are alike by chance.  The number of candidates grows as the square of the documents over
-    2 ** (bits of two segments): radius 3 has 26 bits, radius 9 about 12.
+    Only components of several nodes are joined, their members spread over salts; the rest stand for themselves.
     """
-    fps = cut(fingerprints(docs, shingle, second and second[0], id_col, text_col))
-    first = fps.groupBy("fp", "fp2").agg(F.min("id").alias("first"))
-    node = F.xxhash64("fp", "fp2") if second else F.xxhash64("fp")  # well spread; of one number, a bijection
-    nodes = cut(first.select("fp", "fp2", "first", node.alias("node")))
-    found = cut(components(links(nodes.select("node", "fp", "fp2"), radius, second[1] if second else 64, cell)))
-    # components of several nodes, whose members are spread over salts; the rest stand for themselves
-    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).join(nodes, "node")
+    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "first"), "node")
     members = cut(members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))))
     smallest = members.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     joined = members.join(smallest.hint("merge"), ["root", "salt"]).select("node", F.col("root").alias("component"), "component_id")
-    by_fp = nodes.join(joined, "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
-    return fps.join(by_fp, ["fp", "fp2"]).select("id", "text_hash", "fp", "component", "component_id")
+    alone = F.col("component").isNull()
+    return nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.when(alone, F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def shingle_set(data: bytes, shingle: int = 5) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text; one with fewer words has all of them as its only shingle."""
-    from xxhash import xxh64_intdigest
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, cell: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row (id, text_hash, fp, component, component_id) for each document; component tells components without any
+    identifier apart."""
+    fps = cut(fingerprints(docs, shingle, id_col, text_col))
+    # a node is a hash of its fingerprint: of one number a bijection, and well spread
+    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("first")).select("fp", "first", F.xxhash64("fp").alias("node")))
+    found = cut(components(links(nodes.select("node", "fp"), radius, cell)))
+    by_fp = nodes.select("node", "fp").join(by_component(found, nodes), "node")
+    return fps.join(by_fp, "fp").select("id", "text_hash", "fp", "component", "component_id")
 
-    hashes, tail = [], []
-    for part in words(data.lower()):
-        part = tail + part
-        tail = part[max(0, len(part) - shingle + 1) :] if shingle > 1 else []
-        hashes.append(np.array([xxh64_intdigest(b" ".join(x), SEED) for x in zip(*(part[i:] for i in range(shingle)))], np.uint64))
-    if not sum(map(len, hashes)):
-        hashes = [np.array([xxh64_intdigest(b" ".join(tail), SEED)], np.uint64)]
-    return np.unique(np.concatenate(hashes))
+
+def shingle_set(data: bytes, shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text; none for one without words."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(data, shingle)]))
 
 
 def least_shared(size: int, similarity: float) -> int:
@@ -276,8 +304,8 @@ def frequent_shingles(docs: DataFrame, shingle: int, sample: int = 8000, most: i
 
 
 def prefixes(docs: DataFrame, shingle: int, similarity: float, frequent: np.ndarray) -> DataFrame:
-    """A row (id, text_hash, node, n, bits, prefix) for each document: node is a hash of its shingle set, n the set's size, and
-    bits the parities of the numbers of shingles in BITS hash classes."""
+    """A row (id, text_hash, node, n, fp, bits, prefix) for each document: node is a hash of its shingle set, n the set's size, fp
+    its fingerprint, bits the parities of the numbers of shingles in BITS hash classes.  A set that is empty has the prefix 0."""
     by_hash = np.argsort(frequent)
     known = frequent[by_hash]
 
@@ -285,7 +313,7 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float, frequent: np.ndar
         from xxhash import xxh64_intdigest
 
         for batch in slices(batches):
-            nodes, sizes, parities, heads = [], [], [], []
+            nodes, sizes, fps, parities, heads = [], [], [], [], []
             for x in texts(column(batch, "text")):
                 own = shingle_set(x, shingle)
                 rank = np.zeros(len(own), np.int64)
@@ -295,17 +323,19 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float, frequent: np.ndar
                 head = own[np.argsort(rank, kind="stable")[: len(own) - least_shared(len(own), similarity) + 1]]
                 nodes.append(xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(len(own))
+                fps.append(majority(votes_of(own), len(own)))
                 parities.append(np.packbits(np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 == 1).tobytes())
-                heads.append(head.view(np.int64))
+                heads.append(head.view(np.int64) if len(own) else np.zeros(1, np.int64))
             edges = np.concatenate(([0], np.cumsum([len(x) for x in heads]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), pa.array(parities, pa.binary()), lists], ["id", "text_hash", "node", "n", "bits", "prefix"])
+            node, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), node, pa.array(np.array(sizes, np.int64)), fp, pa.array(parities, pa.binary()), lists], ["id", "text_hash", "node", "n", "fp", "bits", "prefix"])
 
-    return docs.mapInArrow(run, "id long, text_hash long, node long, n long, bits binary, prefix array<long>")
+    return docs.mapInArrow(run, "id long, text_hash long, node long, n long, fp long, bits binary, prefix array<long>")
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
-    """The rows (key, i, j, node, n) whose cell (key, i, j) has others."""
+    """The rows (key, i, j, node, n, fp) whose cell (key, i, j) has others."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, whose cell may go on
@@ -326,30 +356,26 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return deal(keyed, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, keyed.schema)
 
 
-def candidate_pairs(members: DataFrame, similarity: float, width: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of nodes in a cell, with different labels and sizes that allow the similarity; of rows
-    (key, i, j, node, n, label).  width: only with so many next in the order of size."""
+def candidate_pairs(members: DataFrame, similarity: float, radius: int, width: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of nodes in a cell whose fingerprints are within the radius, with different labels and with sizes
+    that allow the similarity; of rows (key, i, j, node, n, fp, label).  width: only with so many next in the order of size."""
     cells = (
-        members.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "n", "label")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
-        .filter("low <> high").select("members")
+        members.groupBy("key", "i", "j").agg(F.collect_list(F.struct("n", "node", "fp", "label")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+        .filter("low <> high").select(F.sort_array("members").alias("members"))
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 8192):
             lists = column(batch, "members")
-            group = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            node, n, label = (lists.flatten().field(x).to_numpy(zero_copy_only=False) for x in ("node", "n", "label"))
-            order = np.lexsort((node, n, group))
-            group, node, n, label = group[order], node[order], n[order], label[order]
-            i, shift = np.arange(len(node)), 0
-            while len(i) and (width is None or shift < width):
-                shift += 1
-                i = i[i + shift < len(node)]
-                i = i[(group[i] == group[i + shift]) & (n[i] >= similarity * n[i + shift] - 1e-9)]  # sizes rise, so none comes back
-                own = i[label[i] != label[i + shift]]
-                if len(own):
-                    a, b = node[own], node[own + shift]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            flat = lists.flatten()
+            n, node, fp, label = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("n", "node", "fp", "label"))
+            for group, rows in runs(np.diff(lists.offsets.to_numpy())):
+                for i, j in near_lanes(group, fp[rows].view(np.uint64), radius, width):
+                    i, j = rows[i], rows[j]
+                    own = (label[i] != label[j]) & (n[i] >= similarity * n[j] - 1e-9)
+                    if own.any():
+                        a, b = node[i[own]], node[j[own]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
@@ -383,56 +409,52 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle:
     key = F.coalesce("id", F.lit(0).cast("long"))
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "text_hash", "some"), "node")
     found = docs.select(key.alias("some"), "text_hash", "text").join(wanted, ["some", "text_hash"]).select("node", "text").mapInArrow(sets, "node long, own binary")
-    found = cut(found.dropDuplicates(["node"]))
+    found = cut(found.dropDuplicates(["node"]))  # a node's rows have equal sets
     both = pairs.join(found.withColumnRenamed("node", "a").hint("merge"), "a").join(found.select(F.col("node").alias("b"), F.col("own").alias("second")).hint("merge"), "b")
     return both.mapInArrow(compare, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, cell: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE, cell: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (id, text_hash, component, component_id) for each document; components are joined by pairs of texts whose sets of
     shingles have a Jaccard similarity of at least `similarity`, and by no others.
 
-    No pair is lost: under one order of all shingles, two such sets share a shingle among the first n - ceil(similarity * n) + 1
-    of each.  The order puts frequent shingles last, so few strangers meet.  Pairs of neighbours in size are compared
-    first; of what these don't join already, every pair is compared then.
+    Buckets lose no pair: under one order of all shingles, two such sets share a shingle among the first n - ceil(similarity * n)
+    + 1 of each.  The order puts frequent shingles last, so few strangers meet.  The fingerprints' radius is wide enough that
+    a pair beyond it is unlikely (WIDE).  Pairs of neighbours in size are compared first; of what these don't join already,
+    every pair within the radius is compared then.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     frequent, about = frequent_shingles(docs, shingle)
     rows = cut(prefixes(docs, shingle, similarity, frequent))
     some = F.min(F.struct("text_hash", F.coalesce("id", F.lit(0).cast("long")).alias("some"))).alias("_text")
     nodes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), some, F.first("n").alias("n"), F.first("bits").alias("bits")).select("node", "first", "_text.*", "n", "bits"))
-    keyed = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("node", "n", F.explode("prefix").alias("key"))
+    keyed = rows.groupBy("node").agg(*(F.first(x).alias(x) for x in ("n", "fp", "prefix"))).select("node", "n", "fp", F.explode("prefix").alias("key"))
     hot = [(int(k), int(np.ceil(x / cell))) for k, x in zip(frequent.view(np.int64), about) if x > cell]
     hot = docs.sparkSession.createDataFrame(hot, "key long, parts int")
     keyed = keyed.join(F.broadcast(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = cut(shared_keys(keyed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n")))
+    members = cut(shared_keys(keyed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "fp")))
     labelled, tested, links_ = members.withColumn("label", F.col("node")), None, None
     found = docs.sparkSession.createDataFrame([], "node long, root long")
     for width in (8, None):
-        pairs = candidate_pairs(labelled, similarity, width)
+        pairs = candidate_pairs(labelled, similarity, radius, width)
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
         if not pairs.isEmpty():
             new = cut(similar_pairs(pairs, docs, nodes, shingle, similarity))
             tested, links_ = pairs, links_.unionByName(new) if links_ else new
             found = cut(components(links_))
             labelled = members.join(found.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node"))
-    # components of several nodes, whose members are spread over salts; the rest stand for themselves
-    joined = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "first"), "node")
-    joined = cut(joined.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))))
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    joined = joined.join(smallest.hint("merge"), ["root", "salt"]).select("node", F.col("root").alias("component"), "component_id")
-    by_node = nodes.select("node", "first").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
-    return rows.select("id", "text_hash", "node").join(by_node, "node").select("id", "text_hash", "component", "component_id")
+    return rows.select("id", "text_hash", "node").join(by_component(found, nodes), "node").select("id", "text_hash", "component", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component of similar_documents() the one with the smallest doc_id."""
-    chosen = similar_documents(docs, shingle, similarity).filter(F.col("id").eqNullSafe(F.col("component_id"))).dropDuplicates(["component"])
-    key = lambda id_, h: F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("none")), h.cast("string"))
-    keys = chosen.select(key(F.col("id"), F.col("text_hash")).alias("_key"))
-    kept = docs.withColumn("_key", key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(keys, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    """The rows of docs without near-duplicates: of each component of similar_documents() the one with the smallest doc_id; of
+    several with that, by hashes of the text and of the row."""
+    chosen = similar_documents(docs, shingle, similarity).filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("of")).select("of")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash")).alias("key"))
+    kept = whole.join(chosen, F.col("key").eqNullSafe(F.col("of")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("doc")))
+    return kept.withColumn("place", first).filter("place = 1").select("doc.*")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

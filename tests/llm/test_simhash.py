@@ -59,7 +59,7 @@ def test_bit_sliced_distances():
     rng = np.random.default_rng(2)
     fp = rng.integers(0, 1 << 63, 300, np.uint64)
     fp[100:200] = fp[0] ^ (np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64))
-    for radius in (0, 1, 3, 4, 9):
+    for radius in (0, 1, 3, 4, 7, 8, 9, 24, 40, 63, 64):
         planes = bit_planes(fp, 300 // 64 + 2)
         for shift in (1, 63, 64, 65, 130, 299):
             lanes = np.zeros(planes.shape[1] * 64, np.uint8)
@@ -92,6 +92,8 @@ def test_one_of_each(spark):
     rng = random.Random(5)
     texts = [prose(rng, 200) for _ in range(30)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " end") for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (None, "only once and without a number")]
+    own = documents(spark, rows).selectExpr("*", "'a' AS _key", "'b' AS doc", "'c' AS of", "'d' AS place")
+    assert one_of_each(own).columns == own.columns and {tuple(x)[-4:] for x in one_of_each(own).collect()} == {("a", "b", "c", "d")}
     kept = one_of_each(documents(spark, rows))
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
     assert sorted(str(x["doc_id"]) for x in kept.collect()) == sorted([str(i) for i in range(30)] + ["None"])
