@@ -1,13 +1,15 @@
 """Line dedup: lines that many documents share stay in one of them.
 
-1.  Each task turns its texts into rows (hash of the line's key, document, position); no text is shuffled.
+1.  Each task turns its texts into rows (hash of the line's key, document, position); no text is shuffled for this.
 2.  The rows are range-partitioned by (hash, document, position) and sorted by hash, document from the largest down,
     and position.  Since the ranges cut by document too, a line that a third of all documents hold lies in many
     partitions, not in one.
 3.  Each partition streams its rows.  The first document of a key is the one that keeps it; a key is shared once enough
-    documents have passed.  Keys that lie across a partition's edge are at most one for each edge; their counts
-    and largest documents come from an aggregation before, and reach the tasks with the function.
+    documents have passed.  Until then only the rows of the documents behind the first are held, at most a partition's.
+    Keys that lie across a partition's edge are at most one for each edge; their counts and largest documents come
+    from an aggregation before, and reach the tasks with the function.
 4.  Dropped positions become one compressed bitmap for each document that loses lines.
+5.  Where the texts without these lines are wanted (apply_bitmaps), texts are joined with their bitmaps, which shuffles them once.
 
 A line's key is the line without white space at its ends, A-Z lower-cased.  Null and empty texts are one empty line.
 Rows with the same identifier count as one document; null identifiers count as one, the smallest.  Repeated rows get
@@ -81,36 +83,44 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, partit
         shared = {(x["h1"], x["h2"]): (x["id"], x["n"]) for x in found}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = dict(shared), None
+        carried, held = None, []  # the last key: (key, documents so far, the first, the last); rows of it that are not decided
         for batch in batches:
-            now = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if not now.num_rows:
+            if not batch.num_rows:
                 continue
-            now = now.combine_chunks()
-            h1, h2 = now["h1"].to_numpy(), now["h2"].to_numpy()
-            null, doc = now["id"].is_null().to_numpy(), now["id"].fill_null(0).to_numpy()
+            h1, h2 = (column(batch, x).to_numpy() for x in KEY)
+            ids = column(batch, "id")
+            null, doc = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
             new_key = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
             new_doc = new_key | np.r_[True, (doc[1:] != doc[:-1]) | (null[1:] != null[:-1])]
+            goes_on = carried is not None and carried[0] == (int(h1[0]), int(h2[0]))
+            if goes_on:
+                new_doc[0] = carried[3] != (int(doc[0]), bool(null[0]))
+            else:
+                held = []  # of a key that too few documents hold
             start = np.flatnonzero(new_key)
             group = np.cumsum(new_key) - 1
             count = np.add.reduceat(new_doc, start, dtype=np.int64)
             first, first_null = doc[start], null[start]
-            if known:
-                for g in np.flatnonzero(np.isin(h1[start], [k[0] for k in known])):
-                    if (entry := known.get((int(h1[start[g]]), int(h2[start[g]])))) is not None:
-                        first[g], first_null[g], count[g] = entry[0] or 0, entry[0] is None, entry[1]
-            last = (int(h1[-1]), int(h2[-1]))
-            held, end = None, len(h1)
-            if last not in known:
-                if count[-1] >= min_docs:  # decided; the rest of the key may be in the next batch
-                    known[last] = (None if first_null[-1] else int(first[-1]), int(count[-1]))
-                else:
-                    end = int(start[-1])
-                    held = now.slice(end)
-            drop = (count[group] >= min_docs) & ((doc != first[group]) | (null != first_null[group]))
-            at = np.flatnonzero(drop[:end])
-            if len(at):
-                yield now.select(["id", "text_hash", "position", "n_lines"]).take(pa.array(at)).combine_chunks().to_batches()[0]
+            if goes_on:
+                count[0] += carried[1]
+                first[0], first_null[0] = carried[2]
+            if shared:
+                for g in np.flatnonzero(np.isin(h1[start], [k[0] for k in shared])):
+                    if (entry := shared.get((int(h1[start[g]]), int(h2[start[g]])))) is not None:
+                        first[g], first_null[g], count[g] = entry[0] or 0, entry[0] is None, max(entry[1], count[g])
+            carried = (int(h1[-1]), int(h2[-1])), int(count[-1]), (int(first[-1]), bool(first_null[-1])), (int(doc[-1]), bool(null[-1]))
+            rows = batch.select(["id", "text_hash", "position", "n_lines"])
+            later = (doc != first[group]) | (null != first_null[group])
+            if held and count[0] >= min_docs:
+                yield from held
+                held = []
+            elif held and len(start) > 1:
+                held = []
+            open_ = (group == group[-1]) & (count[-1] < min_docs)
+            if (wait := later & open_).any():
+                held.append(rows.filter(pa.array(wait)))
+            if (drop := later & (count[group] >= min_docs)).any():
+                yield rows.filter(pa.array(drop))
 
     def bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +133,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, partit
             yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), column(batch, "n_lines"), pa.array(lost, pa.int32()), pa.array(keep, pa.binary())], ["id", "text_hash", "n_lines", "n_dropped", "keep"])
 
     dropped = rows.drop("part").mapInArrow(run, "id long, text_hash long, position int, n_lines int")
-    lists = dropped.groupBy("id", "text_hash").agg(F.first("n_lines").alias("n_lines"), F.collect_list("position").alias("positions"))  # at most a document's lines
+    lists = dropped.groupBy("id", "text_hash").agg(F.first("n_lines").alias("n_lines"), F.collect_set("position").alias("positions"))  # at most a document's lines
     return lists.mapInArrow(bitmaps, "id long, text_hash long, n_lines int, n_dropped int, keep binary")
 
 

@@ -43,6 +43,22 @@ def test_a_hot_line_lies_across_partitions(spark):
     assert run(spark, rows, partitions=7) == plain_line_dedup(rows)
 
 
+def test_batches_change_nothing(spark):
+    """Keys whose rows lie in many batches: one document's repeats, few documents, and many."""
+    line, few, many = ("a line that one document repeats", "a line of two documents and of a third", "a line that all documents have")
+    rows = [(i, "\n".join([many, f"own {i}"])) for i in range(40)] + [(100, "\n".join([line] * 50 + [few] * 30)), (99, "\n".join([few] * 40)), (98, few), (97, "\n".join([line] * 25))]
+    rows += [(None, "\n".join([few, line] * 20)), (None, many)]
+    expected = {k: v[:2] for k, v in plain_line_dedup([(-1 if i is None else i, t) for i, t in rows[:-2]] + [(-1, rows[-2][1])]).items()}
+    had = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "3", "7", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            found = run(spark, rows[:-1], partitions=3)
+            assert {-1 if k is None else k: v[:2] for k, v in found.items()} == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", had)
+
+
 def test_null_and_repeated_ids(spark):
     line = "a line of more than twenty characters"
     found = run(spark, [(None, line), (1, line), (1, line), (2, line)])
