@@ -20,11 +20,13 @@ PIECE = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors see: spark.checkpoint.dir.  A temporary one stands in where that is unset and executors are
+    threads of this process (local tests); on a cluster it must be set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        had = spark.sparkContext.getCheckpointDir()
-        folder = had or "file://" + tempfile.mkdtemp(prefix="brindle-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        folder = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -82,6 +84,14 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of df has."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def text_key(col: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes: together they tell texts apart (128 bits), in 16 bytes."""
     return F.xxhash64(col), F.xxhash64(F.lit("second"), col)

@@ -1,8 +1,9 @@
 """Quality rules: a table of thresholds, compiled into one projection of built-in functions.
 
 Every metric is an expression of the text alone, so rules need no shuffle, no user function and no second pass; a rule
-that is added to the table is one more comparison in the same projection.  Windows of words are compared by a 64-bit hash within
-one document.
+that is added to the table is one more comparison in the same projection.  Metrics that use one array several times are
+stacked, one projection on the other, in the same stage.  Windows of words are compared by a 64-bit hash of their words' hashes,
+within one document.
 
 A null text counts as empty: it has no words and fails the base rule.  Identifiers may be null or repeat.
 """
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_prefix, table
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -54,38 +55,41 @@ def count_of(text: Column, chars: str) -> Column:
 
 def measured(docs: DataFrame, text_col: str = "text", width: int = 5) -> DataFrame:
     """docs with the base counts and the metrics of RULES; each step's arrays are used by the next only."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("_text", text).withColumn("_words", F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
-    words = F.col("_words")
-    starts = F.sequence(F.lit(0), F.size(words) - width)
-    windows = F.when(F.size(words) >= width, F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(width))))).otherwise(F.array().cast("array<bigint>"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.length(without(x, WHITE)) > 0)
+    p = free_prefix(docs)  # of names that docs doesn't have
+    col = lambda name: F.col(p + name)
+    out = docs.withColumn(f"{p}text", F.coalesce(F.col(text_col), F.lit(""))).withColumn(f"{p}words", F.filter(F.split(col("text"), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
+    text, words = col("text"), col("words")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(without(x, WHITE)) > 0)
     stop = lambda x: F.lower(without(x, MARKS)).isin(STOP_WORDS)
     out = out.select(
         *docs.columns,
-        F.size(words).cast("long").alias("n_words"),
-        F.length(without(F.col("_text"), WHITE)).cast("long").alias("word_chars"),
-        count_of(F.col("_text"), SYMBOLS).alias("n_symbols"),
-        count_of(F.col("_text"), "!").alias("n_exclamations"),
-        count_of(F.col("_text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-        F.size(F.filter(words, stop)).cast("long").alias("n_stop_words"),
-        lines.alias("_lines"), windows.alias("_windows"),
+        F.size(words).cast("long").alias(f"{p}n_words"),
+        F.length(without(text, WHITE)).cast("long").alias(f"{p}word_chars"),
+        count_of(text, SYMBOLS).alias(f"{p}n_symbols"),
+        count_of(text, "!").alias(f"{p}n_exclamations"),
+        count_of(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias(f"{p}n_upper"),
+        F.size(F.filter(words, stop)).cast("long").alias(f"{p}n_stop_words"),
+        lines.alias(f"{p}lines"), F.transform(words, lambda x: F.xxhash64(x)).alias(f"{p}hashes"),
     )
+    hashes = col("hashes")
+    starts = F.sequence(F.lit(0), F.size(hashes) - width)
+    windows = F.when(F.size(hashes) >= width, F.transform(starts, lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(width))))).otherwise(F.array().cast("array<bigint>"))
+    out = out.withColumn(f"{p}windows", windows)
     # most texts repeat no window, and need no sorting
-    some = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    in_order = F.when(some, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    out = out.withColumn("_sorted", in_order).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    own = F.col("_sorted")
+    some = F.size(F.array_distinct(col("windows"))) < F.size(col("windows"))
+    in_order = F.when(some, F.sort_array(F.transform(col("windows"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    out = out.withColumn(f"{p}sorted", in_order).withColumn(f"{p}n_lines", F.size(col("lines")).cast("long")).withColumn(f"{p}n_dup_lines", (F.size(col("lines")) - F.size(F.array_distinct(col("lines")))).cast("long"))
+    own = col("sorted")
     repeated = F.filter(own, lambda x, k: F.coalesce(F.get(own, k + 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(own, k - 1)["h"] == x["h"], F.lit(False)))
-    out = out.withColumn("_at", F.sort_array(F.transform(repeated, lambda x: x["i"])))
-    at = F.col("_at")
+    out = out.withColumn(f"{p}at", F.sort_array(F.transform(repeated, lambda x: x["i"])))
+    at = col("at")
     covered = F.transform(at, lambda x, k: F.least(F.lit(width), F.coalesce(F.get(at, k + 1) - x, F.lit(width))))
     total = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
-    words_per = lambda c: F.try_divide(F.col(c), F.col("n_words"))
+    words_per = lambda c: F.try_divide(col(c), col("n_words"))
     return out.select(
-        *docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(total, F.lit(0).cast("long")).alias("n_repeat_words"),
+        *docs.columns, *(col(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")), F.coalesce(total, F.lit(0).cast("long")).alias("n_repeat_words"),
         words_per("word_chars").alias("mean_word_chars"), words_per("n_symbols").alias("symbols_per_word"), words_per("n_exclamations").alias("exclamations_per_word"),
-        F.try_divide("n_upper", "word_chars").alias("upper_share"), words_per("n_stop_words").alias("stop_word_share"), F.try_divide("n_dup_lines", "n_lines").alias("dup_line_share"),
+        F.try_divide(col("n_upper"), col("word_chars")).alias("upper_share"), words_per("n_stop_words").alias("stop_word_share"), F.try_divide(col("n_dup_lines"), col("n_lines")).alias("dup_line_share"),
     )
 
 
@@ -97,7 +101,9 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
 
 def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with their metrics, base_failed and kept; columns of docs with these names give way."""
-    docs = docs.drop(*(c for c in OUT if c != text_col))
+    if text_col in OUT:
+        raise ValueError(f"{text_col} is the name of a column that is added")
+    docs = docs.drop(*OUT)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measured(docs, text_col).withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules))
 

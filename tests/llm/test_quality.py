@@ -39,6 +39,14 @@ def test_counts(spark):
     assert not any(x["kept"] and x["base_failed"] for x in found)
 
 
+def test_columns_with_the_names_of_metrics(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    own = documents(spark, [(1, text)]).selectExpr("*", *(f"'{c}' AS {c}" for c in ("n_upper", "n_stop_words", "n_exclamations", "n_lines", "_words", "_at", "_text", "_", "__text", "hashes")))
+    found = apply_rules(own).first()
+    assert found["n_upper"] == "n_upper" and found["_words"] == "_words" and found["_"] == "_" and found["__text"] == "__text" and found["n_lines"] == "n_lines" and found["n_words"] == 11
+    assert set(own.columns) < set(apply_rules(own).columns)
+
+
 def test_rules(spark):
     rng = random.Random(2)
     clean = "It was the end of the day, and " + " ".join("".join(rng.choice("aeioulnrst") for _ in range(5)) + rng.choice(["", " the", " of"]) for _ in range(60)) + "."
