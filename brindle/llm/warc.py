@@ -4,10 +4,15 @@ Writing.  Equal payloads (SHA-256) of at least `least` bytes have one response r
 others become revisit records that refer to it.  Each record is a gzip member of its own.  Tasks write one archive each
 under a name of their own, renamed when complete.
 
-Reading.  An archive needs no index: it is cut into byte ranges, one row each, which Spark deals out.  A task looks for
+Reading.  An archive needs no index: it is cut into byte ranges, a row each, which Spark makes and deals out.  A task looks for
 gzip's magic bytes from the start of its range, and takes a hit for a member if what follows decodes and begins with a
 WARC version line; a hit that doesn't is data that only looks like a header.  A record belongs to the range that its
-first byte is in; its end may lie in a later range.  So every record is read once, whatever the ranges.
+first byte is in; its end may lie in a later range.
+
+A stored record may itself hold whole records, and a range that begins inside it can't tell them from others.  So each range of an
+archive with several is first walked (where) without being parsed, to learn at which byte its last member ends; a range then
+begins at the furthest such end of those before it.  What lies inside a member never begins a record, and every record is
+read once, whatever the ranges.  Each pass reads a range's bytes once, and what its last member has beyond it.
 
 Null html counts as empty.  Null identifiers are written as such, never become the response of a group that has others,
 and revisit it.  Rows that repeat the smallest identifier with the same payload are all responses.
@@ -23,6 +28,7 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as Spans
 from pyspark.sql import functions as F
 
 from .common import column, new_folder, slices, table, texts
@@ -84,46 +90,65 @@ def write_archives(planned: DataFrame, folder: str) -> DataFrame:
     return planned.select("id", "url", "html", "digest", "refers_to", "revisit").mapInArrow(run, "path string, bytes long, records long")
 
 
-def member(file, at: int, size: int, step: int = 1 << 16) -> tuple[bytes, int] | None:
-    """The decoded member at a position and where it ends, or None if there is none of a WARC record."""
-    unpack, out, checked = zlib.decompressobj(31), [], False
-    pos = at
+class Window:
+    """A part of a file that is read on as needed, each byte once, and let go from the front; pos is the first byte that counts."""
+
+    def __init__(self, file, at: int, step: int = 1 << 18):
+        self.file, self.at, self.step, self.data, self.pos = file, at, step, b"", 0
+        file.seek(at)
+
+    def more(self) -> bool:
+        """Reads on, as much as is held already if that is more than a step; False at the end of the file."""
+        held = self.data[self.pos :]
+        data = self.file.read(max(self.step, len(held)))
+        self.data, self.pos = held + data, 0
+        return bool(data)
+
+    def skip(self, n: int) -> None:
+        self.pos += n
+        self.at += n
+
+
+def member(window: Window, keep: bool = True) -> tuple[bytes, int] | None:
+    """The decoded member at the front of the window (no bytes of it, unless keep) and its length, or None if there is none of a
+    WARC record."""
+    unpack, out, head, size = zlib.decompressobj(31), [], b"", 0
     try:
         while not unpack.eof:
-            file.seek(pos)
-            data = file.read(min(step, size - pos))
-            if not data:
+            if window.pos + size == len(window.data) and not window.more():
                 return None  # cut short
-            out.append(unpack.decompress(data))
-            pos += len(data)
-            if not checked and sum(map(len, out)) >= 5:
-                if not b"".join(out).startswith(b"WARC/"):
+            data = window.data[window.pos + size : window.pos + size + (1 << 16)]
+            size += len(data)
+            data = unpack.decompress(data)
+            if len(head) < 5:
+                head += data[:5]
+                if not b"WARC/".startswith(head[:5]):
                     return None
-                checked = True
+            if keep:
+                out.append(data)
     except zlib.error:
         return None
-    data = b"".join(out)
-    return (data, pos - len(unpack.unused_data)) if data.startswith(b"WARC/") else None
+    return (b"".join(out), size - len(unpack.unused_data)) if len(head) >= 5 else None
 
 
-def members(file, start: int, end: int, step: int = 1 << 20) -> Iterator[bytes]:
-    """Decoded members that begin in [start, end), found without an index."""
-    size = file.size()
-    at = start
-    while at < end:
-        file.seek(at)
-        window = file.read(min(step, size - at))
-        if len(window) < 3:
-            return
-        for hit in MAGIC.finditer(window):
-            if at + hit.start() >= end:
+def members(file, start: int, end: int, keep: bool = True) -> Iterator[tuple[bytes, int]]:
+    """Decoded members that begin in [start, end), and the byte each ends at, found without an index."""
+    window = Window(file, start)
+    while window.at < end:
+        hit = MAGIC.search(window.data, window.pos)
+        if hit is None:
+            window.skip(max(0, len(window.data) - window.pos - 2))  # magic bytes may lie across two reads
+            if not window.more():
                 return
-            if (found := member(file, at + hit.start(), size)) is not None:
-                yield found[0]
-                at = found[1]
-                break
+            continue
+        window.skip(hit.start() - window.pos)
+        if window.at >= end:
+            return
+        if (found := member(window, keep)) is not None:
+            window.skip(found[1])
+            yield found[0], window.at
         else:
-            at += max(1, len(window) - 2)  # magic bytes may lie across windows
+            window.skip(1)
 
 
 def parse(data: bytes) -> dict:
@@ -148,9 +173,30 @@ def parse(data: bytes) -> dict:
 RECORD = "id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_archives(spark: SparkSession, folder: str, archives: list, split: int = 4 << 20, payloads: bool = True) -> DataFrame:
+#: Bytes of archives for each task, and tasks at most.
+TASK_BYTES, TASKS = 256 << 20, 100_000
+
+
+def read_archives(spark: SparkSession, folder: str, archives: list, split: int = 8 << 20, payloads: bool = True) -> DataFrame:
     """A row for each record of archives (path, bytes), read in ranges of `split` bytes."""
-    rows = [(x["path"], at, min(at + split, x["bytes"])) for x in archives for at in range(0, x["bytes"], split)]
+    total = sum(x["bytes"] for x in archives)
+    tasks = min(TASKS, max(2 * spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES)))
+    files = spark.createDataFrame([(x["path"], x["bytes"]) for x in archives if x["bytes"]], "path string, bytes long")
+    cuts = F.sequence(F.lit(0).cast("long"), F.expr(f"(bytes - 1) div {split}"))
+    ranges = files.repartition(tasks, "path").withColumn("part", F.explode(cuts)).select("path", "part", (F.col("part") * split).alias("start"), F.least((F.col("part") + 1) * split, F.col("bytes")).alias("end"), (F.col("bytes") > split).alias("several"))
+    ranges = ranges.repartition(tasks, "path", "part")
+
+    def ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = filesystem(folder)
+        for batch in batches:
+            out = []
+            for path, start, end in zip(*(column(batch, c).to_pylist() for c in ("path", "start", "end"))):
+                last = 0
+                with fs.open_input_file(path) as file:
+                    for _, last in members(file, start, end, keep=False):
+                        pass
+                out.append(last)
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("path", "start", "end")), pa.array(out, pa.int64())], ["path", "start", "end", "last"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(folder)
@@ -159,7 +205,7 @@ def read_archives(spark: SparkSession, folder: str, archives: list, split: int =
             for path, start, end in zip(*(column(batch, c).to_pylist() for c in ("path", "start", "end"))):
                 with fs.open_input_file(path) as file:
                     out, held = [], 0
-                    for data in members(file, start, end):
+                    for data, _ in members(file, start, end):
                         out.append(parse(data) if payloads else parse(data) | {"payload": None})
                         held += len(data)
                         if held > 4 << 20:
@@ -168,8 +214,11 @@ def read_archives(spark: SparkSession, folder: str, archives: list, split: int =
                     if out:
                         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    ranges = spark.createDataFrame(rows, "path string, start long, end long").repartition(max(1, len(rows)))
-    return ranges.mapInArrow(run, RECORD)
+    where = ranges.filter("several").select("path", "start", "end").mapInArrow(ends, "path string, start long, end long, last long")
+    before = Spans.partitionBy("path").orderBy("start").rowsBetween(Spans.unboundedPreceding, -1)  # a row for each range of one file
+    begin = F.greatest("start", F.coalesce(F.max("last").over(before), F.lit(0)))
+    found = where.select("path", begin.alias("start"), "end").filter("start < end").repartition(tasks, "path", "end")
+    return ranges.filter("NOT several").select("path", "start", "end").unionByName(found).mapInArrow(run, RECORD)
 
 
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

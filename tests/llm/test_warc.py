@@ -1,6 +1,7 @@
 """WARC archives: any ranges give the same records."""
 
 import hashlib
+import io
 import random
 
 import pytest
@@ -59,10 +60,43 @@ def test_false_members_are_passed_over(tmp_path):
 
     file = pa.OSFile(str(path))
     for step in (1, 7, 50, len(data)):
-        found = [parse(x)["id"] for at in range(0, len(data), step) for x in warc.members(file, at, min(at + step, len(data)))]
+        found = [parse(x)["id"] for at in range(0, len(data), step) for x, _ in warc.members(file, at, min(at + step, len(data)))]
         assert found == [1, 2, 3]
 
 
+def test_archives_inside_archives(spark, tmp_path):
+    """Stored records that hold whole archives: the records inside are none, in ranges of any size."""
+    own = lambda k, payload: record(k, "u", payload, hashlib.sha256(payload).hexdigest(), None, False)
+    inner = b"".join(gzip_member(own(90 + k, b"inside %d " % k * 20)) for k in range(5))
+    nested = b"".join([gzip_member(own(80, inner), 0), gzip_member(own(81, b"deep"))])
+    data = b"".join([gzip_member(own(1, inner), 0), gzip_member(own(2, b"two")), b"junk" + gzip_member(own(3, nested), 0), gzip_member(own(4, b"four" * 900)), gzip_member(own(5, inner), 0)])
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    archive = [{"path": f"{tmp_path}/a.warc.gz", "bytes": len(data)}]
+    for split in (len(data), 1500, 700, 300, 200, 64):
+        assert sorted(x["id"] for x in read_archives(spark, f"file://{tmp_path}", archive, split=split).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_bytes_are_read_once():
+    rng = random.Random(2)
+    data = b"".join(gzip_member(record(k, "u", p, hashlib.sha256(p).hexdigest(), None, False)) for k in range(1500) for p in [rng.randbytes(1300)])
+
+    class Counted(io.BytesIO):
+        total = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.total += len(out)
+            return out
+
+    for split in (1 << 30, 1 << 20):
+        read, found = 0, 0
+        for at in range(0, len(data), split):
+            file = Counted(data)
+            found += sum(1 for _ in warc.members(file, at, min(at + split, len(data))))
+            read += file.total
+        assert found == 1500 and read < 1.3 * len(data)
+
+
 def test_damage_is_noticed():
     good = record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None, False)
     with pytest.raises(ValueError):
