@@ -10,14 +10,16 @@ A shard is one file:
     footer   fixed size: offsets of index and filter, counts, width of an id, magic bytes
 
 Keys are 9 bytes: 0 for a null identifier or 1, then the identifier, big-endian, shifted to be unsigned; so null comes
-first and byte order is id order.  Documents with the same identifier lie next to each other, ordered by text.
+first and byte order is id order.  Documents with the same identifier lie next to each other, ordered by a hash of the text.
 
-Spark range-partitions and sorts by identifier, and each task streams one shard to the shared folder under a
-name of its own, renamed when complete: a repeated or speculative task replaces a shard by the same bytes.
+Spark range-partitions and sorts by identifier and hash, so that documents that share an identifier (or have none) may lie in
+several shards, and each task streams one shard to the shared folder under a name of its own, renamed when complete: a
+repeated or speculative task replaces a shard by the same bytes.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -46,7 +48,8 @@ SAFE_CUT = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n\S))")
 UNSAFE = re.compile(r"\s\s")
 #: A part as most are: perhaps a line end, letters (in any version of Unicode), perhaps ASCII marks; each a pretoken.
 USUAL = re.compile(r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)\Z")
-#: Kept parts in each worker; beyond that the long ones go, which seldom come again.
+INSIDE = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*[!-/:-@\[-`{-~]*\Z")
+#: Kept parts in each worker; beyond that the long ones go, which seldom come again.  No more than twice as many are ever kept.
 CACHE, SHORT = 600_000, 8
 
 
@@ -57,10 +60,23 @@ class Parts(dict):
         self.encode = encode
 
     def __missing__(self, part: str) -> bytes:
-        self[part] = ids = self.encode(part)
+        ids = self.encode(part)
+        if len(self) < 2 * CACHE:
+            self[part] = ids
         return ids
 
 
+def may_be_cut(tokenizer) -> bool:
+    """Whether a tokenizer is of the kind whose texts may be encoded in parts: byte-level BPE with the usual word pattern, nothing
+    before it, and no added token that could lie across a cut or inside a usual part."""
+    config = json.loads(tokenizer.to_str())
+    before, model = config["pre_tokenizer"] or {}, config["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and not config["normalizer"] and not config["truncation"]
+    bpe = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    added = config["added_tokens"]
+    return bool(plain and bpe and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) or INSIDE.match(x["content"]) for x in added))
+
+
 class Encoder:
     """Encodes texts with a tokenizer of the tokenizers library.
 
@@ -68,6 +84,7 @@ class Encoder:
     pretoken, and a line end there is one, so a text's ids are those of its parts cut there.  A part stands for
     itself behind a space, or begins with its line end.  Parts repeat, so their ids are kept in the worker process,
     across tasks.  The library encodes each new part; letters are one pretoken and go straight to its BPE model.
+    With a tokenizer of another kind (may_be_cut) the library encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -76,8 +93,9 @@ class Encoder:
 
         kept = tokenizers.__dict__.setdefault("_brindle", {})  # this module lives as long as the worker
         if path not in kept:
-            kept[path] = tokenizers.Tokenizer.from_file(path), Parts(None)
-        self.tokenizer, self.parts = kept[path]
+            tokenizer = tokenizers.Tokenizer.from_file(path)
+            kept[path] = tokenizer, Parts(None), may_be_cut(tokenizer)
+        self.tokenizer, self.parts, self.in_parts = kept[path]
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         # byte-level vocabularies write the bytes that aren't visible in Latin-1 as the characters from U+0100 on
@@ -106,6 +124,8 @@ class Encoder:
         return text.replace("\n", " \n").split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.in_parts:
+            return [self.ids(text) for text in texts]
         parts = self.parts
         if len(parts) > CACHE:
             short = {k: v for k, v in parts.items() if len(k) <= SHORT}
@@ -268,7 +288,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
         yield pa.RecordBatch.from_pylist([{"shard": context.partitionId(), "path": name, "docs": to.docs, "tokens": to.tokens, "first": first, "last": last}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("first", pa.binary()), ("last", pa.binary())]))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text")
     return rows.mapInArrow(run, "shard int, path string, docs long, tokens long, first binary, last binary")
 
 
