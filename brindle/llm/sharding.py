@@ -19,7 +19,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks_for, cut, hash_chunk, ranks, table, text_key
@@ -89,15 +89,33 @@ def balance(groups: DataFrame, k: int, bucket: int = 16_384) -> DataFrame:
     return others.unionByName(first)
 
 
-def shard(docs: DataFrame, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, shard, slot) of each document; equal texts share a shard."""
+def placed_documents(docs: DataFrame, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, size, text_crc32, h1, h2, shard, slot) of each document, by the hashes of its text; equal texts share a shard."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     h1, h2 = text_key(text)
     rows = cut(docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), h1.alias("h1"), h2.alias("h2")))
     groups = cut(rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes")))
     placed = rows.join(balance(groups, k), ["h1", "h2"]).withColumn("chunk", hash_chunk(F.col("id"), F.col("h1"), chunks=chunks_for(rows.count())))
     placed = ranks(cut(placed), ["shard"], "chunk", [F.col("id"), F.col("h1")], "slot")
-    return placed.select("id", "size", "text_crc32", "shard", "slot")
+    return placed.select("id", "size", "text_crc32", "h1", "h2", "shard", "slot")
+
+
+def shard(docs: DataFrame, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, size, text_crc32, shard, slot) of each document; equal texts share a shard."""
+    return placed_documents(docs, k, id_col, text_col).drop("h1", "h2")
+
+
+def sharded_documents(docs: DataFrame, k: int = 8) -> DataFrame:
+    """The rows of docs with their shard and slot; columns of docs with these names give way.  Texts are shuffled once."""
+    docs = docs.drop("shard", "slot")
+    h1, h2 = text_key(F.coalesce("text", F.lit("")))
+    key = ["null", "id", "h1", "h2"]
+    own = lambda id_: (id_.isNull().alias("null"), F.coalesce(id_, F.lit(0).cast("long")).alias("id"))
+    # rows with the same identifier and text are told apart by a number
+    number = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), *own(F.col("doc_id").cast("long")), h1.alias("h1"), h2.alias("h2")).withColumn("number", number(F.xxhash64("doc")))
+    placed = placed_documents(docs.select("doc_id", "text"), k).select(*own(F.col("id")), "h1", "h2", "shard", "slot").withColumn("number", number("slot"))
+    return whole.join(placed.hint("merge"), [*key, "number"]).select("doc.*", "shard", "slot")
 
 
 def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

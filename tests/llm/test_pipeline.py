@@ -32,7 +32,7 @@ def test_order():
 
 def test_columns(stages):
     assert all(df.columns == COLUMNS for df in stages[:-1])
-    assert {"doc_id", "shard", "slot"} <= set(stages[-1].columns)
+    assert stages[-1].columns == [*COLUMNS, "shard", "slot"]
 
 
 def test_toxicity(spark, sf_dir, stages):
@@ -69,7 +69,9 @@ def test_mixing_and_sharding(stages):
     rows = stages[4].collect()
     assert all(before[x["doc_id"]] == x["text"] for x in rows) and max(ids(stages[4]).count(i) for i in before) <= 3
     placed = stages[5].collect()
-    assert sorted(x["doc_id"] for x in placed) == ids(stages[4])
+    assert sorted(tuple(x)[:-2] for x in placed) == sorted(map(tuple, rows))
+    by_text = {}
+    assert all(by_text.setdefault(x["text"], x["shard"]) == x["shard"] for x in placed)
     for s in range(8):
         slots = sorted(x["slot"] for x in placed if x["shard"] == s)
         assert slots == list(range(len(slots)))

@@ -4,7 +4,7 @@ import random
 import zlib
 from itertools import product
 
-from brindle.llm.sharding import difference, op10_balanced_shards, shard
+from brindle.llm.sharding import difference, op10_balanced_shards, shard, sharded_documents
 
 SCHEMA = "doc_id long, text string, lang string, h1 string, shard int, slot long, bytes long, part int"
 
@@ -44,6 +44,25 @@ def test_differencing_is_tight():
     assert max(out) - min(out) <= 100
 
 
+def plain_difference(items, k):
+    """The bins' items, by merging lists: always the two partitions with the largest spread, the fullest bin with the emptiest."""
+    parts = [[[x]] + [[] for _ in range(k - 1)] for x in items]
+    while len(parts) > 1:
+        parts.sort(key=lambda bins: max(map(sum, bins)) - min(map(sum, bins)))
+        a, b = parts.pop(), parts.pop()
+        parts.append([x + y for x, y in zip(sorted(a, key=sum), sorted(b, key=sum, reverse=True))])
+    return sorted(sorted(own) for own in parts[0])
+
+
+def test_against_plain_differencing():
+    rng = random.Random(5)
+    for k in (2, 3, 8):
+        for n in (1, 5, 40, 150):
+            items = rng.sample(range(1, 10**9), n)
+            found = [x[0] for x in difference([[x] for x in items], k)]
+            assert sorted(sorted(x for x, b in zip(items, found) if b == own) for own in range(k)) == plain_difference(items, k)
+
+
 ROWS = [(i, f"text {i % 700} " * (i % 13)) for i in range(2500)] + [(None, "nobody"), (3, "three"), (3, "three"), (9000, None), (9001, ""), (9002, "ä" * 5000)]
 
 
@@ -80,6 +99,19 @@ def test_buckets(spark, monkeypatch):
     assert max(totals) - min(totals) < 0.01 * max(totals)  # though one group is half a shard
 
 
+def test_sharded_documents(spark):
+    """Whole rows, with the shards and slots of their identifiers and texts; repeated rows and names of its own."""
+    rows = [*ROWS, (None, "nobody"), (None, None), (None, None)]
+    own = documents(spark, rows).selectExpr("*", "'n' AS number", "'d' AS doc", "'i' AS id", "'u' AS `null`")
+    found = sharded_documents(own)
+    assert found.columns == [c for c in own.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    found = found.collect()
+    assert sorted(str(tuple(x)[:2]) for x in found) == sorted(str(r) for r in rows) and {(x["number"], x["doc"], x["id"], x["null"], x["h1"]) for x in found} == {("n", "d", "i", "u", "x")}
+    placed = sorted((str(x["id"]), x["text_crc32"], x["shard"], x["slot"]) for x in shard(own).collect())
+    assert placed == sorted((str(x["doc_id"]), zlib.crc32((x["text"] or "").encode()), x["shard"], x["slot"]) for x in found)
+    assert sharded_documents(documents(spark, [])).collect() == []
+
+
 def test_empty_table(spark):
     assert shard(documents(spark, [])).collect() == []
 
