@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from brindle.llm.common import new_folder, table
 from brindle.llm.decontaminate import clean_documents
 from brindle.llm.mixing import mixed_documents
-from brindle.llm.sharding import shard
+from brindle.llm.sharding import sharded_documents
 from brindle.llm.simhash import one_of_each
 from brindle.llm.toxicity import fit, keep_clean
 
@@ -34,8 +34,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's shard and slot."""
-    return shard(docs).withColumnRenamed("id", "doc_id")
+    """The documents with their shard and slot."""
+    return sharded_documents(docs)
 
 
 STAGES = [("toxicity", toxicity), ("simhash", simhash), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
