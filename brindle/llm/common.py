@@ -48,11 +48,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def deal(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash partitions by keys, as many as the session's shuffles have."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """UTF-8 bytes of each row, null as none.  One row at a time is copied out of Arrow's buffer."""
     if isinstance(column, pa.ChunkedArray):

@@ -15,9 +15,9 @@
 5.  Cells return a star of links for each group they find, not its pairs; components join them.
 
 The pipeline's stage (one_of_each) links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.  Its
-buckets are shingles: under one order of all shingles two such sets share one in their prefixes, so no pair is lost there.  In
-a bucket, the bit-sliced comparison of fingerprints of the sets, within a wide radius, leaves few of the strangers, and the
-sets of what it leaves are compared exactly, after their parities.
+buckets are BANDS bands of ROWS smallest hashes of the sets each, in which a pair at 0.8 meets but for one in 14,000.  In a
+bucket, the bit-sliced comparison of fingerprints of the sets, within a wide radius, leaves few of the strangers, and the
+sets of what it leaves are compared exactly, after their parities: no pair below 0.8 is linked.
 
 Null texts count as empty; texts without words have fingerprint 0 and are linked like any other.  Null doc_ids keep
 their rows; they never become a component_id unless the component has no other.  Repeated rows stay repeated.
@@ -33,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, components, cut, deal, slices, table, texts, words
+from .common import column, components, cut, slices, table, texts, words
 
 SEED = 42
 #: Parts of a component, when its rows are joined with what holds for all of it.
 SALTS = 16
 #: Fingerprints of sets with a similarity of 0.8 differ in some 10 bits, with a standard deviation of about 3.
 WIDE = 20
+#: 1 - (1 - 0.8 ** ROWS) ** BANDS is 0.99993.
+BANDS, ROWS = 24, 5
 #: Parities of a shingle set; two sets differ in as many shingles at least as in parities.
 BITS = 2048
 
@@ -282,85 +284,78 @@ def shingle_set(data: bytes, shingle: int = 5) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(data, shingle)]))
 
 
-def least_shared(size: int, similarity: float) -> int:
-    """Shingles that a set of this size shares at least with any set of that Jaccard similarity or more."""
-    return int(np.ceil(similarity * size - 1e-9))
-
-
-def frequent_shingles(docs: DataFrame, shingle: int, sample: int = 8000, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that several of about `sample` texts hold, the rarest first, and in how many documents each may be.
-    They only steer the order of prefixes and the sizes of cells."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for x in texts(column(batch, "text")):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x, shingle).view(np.int64))], ["h"])
+def bands_of(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A key for each band of a set of hashes: of its ROWS smallest members under as many orders.  first: odd multipliers, one for
+    each order.  An empty set has the keys of no other."""
+    from xxhash import xxh64_intdigest
 
-    share = min(1.0, sample / max(1, docs.count()))
-    drawn = docs.select("text").filter(F.pmod(F.xxhash64(F.lit("frequent"), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    counts = drawn.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(most)
-    found = counts.collect()[::-1]
-    return np.array([x["h"] for x in found], np.int64).view(np.uint64), np.array([x["n"] for x in found], np.int64) / share
+    least = np.full(len(first), np.iinfo(np.uint32).max, np.uint32)
+    high = (own >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), 1 << 11):
+        least = np.minimum(least, np.multiply.outer(first, high[at : at + (1 << 11)]).min(axis=1))
+    return np.array([xxh64_intdigest(least[k : k + ROWS].tobytes(), k) for k in range(0, len(least), ROWS)], np.uint64).view(np.int64)
 
 
-def prefixes(docs: DataFrame, shingle: int, similarity: float, frequent: np.ndarray) -> DataFrame:
-    """A row (id, text_hash, node, n, fp, bits, prefix) for each document: node is a hash of its shingle set, n the set's size, fp
-    its fingerprint, bits the parities of the numbers of shingles in BITS hash classes.  A set that is empty has the prefix 0."""
-    by_hash = np.argsort(frequent)
-    known = frequent[by_hash]
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """A row (id, text_hash, node, n, fp, bits, bands) for each document: node is a hash of its shingle set, n the set's size, fp
+    its fingerprint, bits the parities of the numbers of shingles in BITS hash classes, bands its keys."""
+    first = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in slices(batches):
-            nodes, sizes, fps, parities, heads = [], [], [], [], []
+            nodes, sizes, fps, parities, keys = [], [], [], [], []
             for x in texts(column(batch, "text")):
                 own = shingle_set(x, shingle)
-                rank = np.zeros(len(own), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    rank = np.where(known[at] == own, by_hash[at] + 1, 0)
-                head = own[np.argsort(rank, kind="stable")[: len(own) - least_shared(len(own), similarity) + 1]]
                 nodes.append(xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(len(own))
                 fps.append(majority(votes_of(own), len(own)))
                 parities.append(np.packbits(np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 == 1).tobytes())
-                heads.append(head.view(np.int64) if len(own) else np.zeros(1, np.int64))
-            edges = np.concatenate(([0], np.cumsum([len(x) for x in heads]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64)))
+                keys.append(bands_of(own, first))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
             node, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), node, pa.array(np.array(sizes, np.int64)), fp, pa.array(parities, pa.binary()), lists], ["id", "text_hash", "node", "n", "fp", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), node, pa.array(np.array(sizes, np.int64)), fp, pa.array(parities, pa.binary()), lists], ["id", "text_hash", "node", "n", "fp", "bits", "bands"])
 
-    return docs.mapInArrow(run, "id long, text_hash long, node long, n long, fp long, bits binary, prefix array<long>")
+    return docs.mapInArrow(run, "id long, text_hash long, node long, n long, fp long, bits binary, bands array<long>")
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """The rows (key, i, j, node, n, fp) whose cell (key, i, j) has others."""
+def pairs_of(group: np.ndarray, rows: dict[str, np.ndarray], similarity: float, radius: int, width: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of nodes of one group within the radius, with different labels and with sizes that allow the similarity; rows
+    lie group by group, in the order of size.  width: only those at most so many places apart."""
+    node, n, label = rows["node"], rows["n"], rows["label"]
+    for i, j in near_lanes(group, rows["fp"].view(np.uint64), radius, width):
+        own = (label[i] != label[j]) & (n[i] >= similarity * n[j] - 1e-9)
+        if own.any():
+            a, b = node[i[own]], node[j[own]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def neighbour_pairs(members: DataFrame, similarity: float, radius: int, width: int = 8) -> DataFrame:
+    """Distinct pairs among the next `width` in the order of size, of rows (key, node, n, fp).  Keys may lie across partitions, where
+    neighbours aren't seen; nothing else depends on it."""
+    fields = ("key", "n", "node", "fp")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row, whose cell may go on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            cells = np.stack([column(batch, x).to_numpy(zero_copy_only=False) for x in ("key", "i", "j")])
-            same = (cells[:, 1:] == cells[:, :-1]).all(axis=0)
-            keep = np.append(same, False) | np.append(False, same)
-            held = batch.slice(batch.num_rows - 1)
-            if keep[-1]:  # it may have been the last of all; a row that comes twice makes no pair
-                yield held
-            batch, keep = batch.slice(0, batch.num_rows - 1), keep[:-1]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return deal(keyed, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, keyed.schema)
-
-
-def candidate_pairs(members: DataFrame, similarity: float, radius: int, width: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of nodes in a cell whose fingerprints are within the radius, with different labels and with sizes
-    that allow the similarity; of rows (key, i, j, node, n, fp, label).  width: only with so many next in the order of size."""
+        held = {c: np.empty(0, np.int64) for c in fields}
+        for batch in slices(batches, 1 << 14):
+            now = {c: np.concatenate((held[c], column(batch, c).to_numpy())) for c in fields}
+            yield from pairs_of(np.cumsum(np.append(False, now["key"][1:] != now["key"][:-1])) if len(now["key"]) else now["key"], now | {"label": now["node"]}, similarity, radius, width)
+            held = {c: x[-width:] for c, x in now.items()}
+
+    order = ["key", "n", "node"]
+    return members.select(*fields).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+
+
+def other_pairs(members: DataFrame, similarity: float, radius: int, cell: int) -> DataFrame:
+    """Distinct pairs with different labels in the buckets, rows (key, node, n, fp, label), that have several labels."""
+    several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low <> high")
+    several = several.select("key", F.ceil(F.col("size") / F.lit(cell)).cast("int").alias("parts"))
     cells = (
-        members.groupBy("key", "i", "j").agg(F.collect_list(F.struct("n", "node", "fp", "label")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+        members.join(several.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .agg(F.collect_list(F.struct("n", "node", "fp", "label")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
         .filter("low <> high").select(F.sort_array("members").alias("members"))
     )
 
@@ -368,14 +363,9 @@ def candidate_pairs(members: DataFrame, similarity: float, radius: int, width: i
         for batch in slices(batches, 8192):
             lists = column(batch, "members")
             flat = lists.flatten()
-            n, node, fp, label = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("n", "node", "fp", "label"))
+            every = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("n", "node", "fp", "label")}
             for group, rows in runs(np.diff(lists.offsets.to_numpy())):
-                for i, j in near_lanes(group, fp[rows].view(np.uint64), radius, width):
-                    i, j = rows[i], rows[j]
-                    own = (label[i] != label[j]) & (n[i] >= similarity * n[j] - 1e-9)
-                    if own.any():
-                        a, b = node[i[own]], node[j[own]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                yield from pairs_of(group, {c: x[rows] for c, x in every.items()}, similarity, radius, None)
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
@@ -418,32 +408,26 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     """A row (id, text_hash, component, component_id) for each document; components are joined by pairs of texts whose sets of
     shingles have a Jaccard similarity of at least `similarity`, and by no others.
 
-    Buckets lose no pair: under one order of all shingles, two such sets share a shingle among the first n - ceil(similarity * n)
-    + 1 of each.  The order puts frequent shingles last, so few strangers meet.  The fingerprints' radius is wide enough that
-    a pair beyond it is unlikely (WIDE).  Pairs of neighbours in size are compared first; of what these don't join already,
-    every pair within the radius is compared then.
+    Bands and the fingerprints' radius are wide enough that a pair is unlikely to be missed (BANDS, WIDE).  Pairs of neighbours in
+    size are compared first, so that a large group costs no more than its members; of what these don't join already,
+    every pair is compared then.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    frequent, about = frequent_shingles(docs, shingle)
-    rows = cut(prefixes(docs, shingle, similarity, frequent))
+    rows = cut(sketches(docs, shingle))
     some = F.min(F.struct("text_hash", F.coalesce("id", F.lit(0).cast("long")).alias("some"))).alias("_text")
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), some, F.first("n").alias("n"), F.first("bits").alias("bits")).select("node", "first", "_text.*", "n", "bits"))
-    keyed = rows.groupBy("node").agg(*(F.first(x).alias(x) for x in ("n", "fp", "prefix"))).select("node", "n", "fp", F.explode("prefix").alias("key"))
-    hot = [(int(k), int(np.ceil(x / cell))) for k, x in zip(frequent.view(np.int64), about) if x > cell]
-    hot = docs.sparkSession.createDataFrame(hot, "key long, parts int")
-    keyed = keyed.join(F.broadcast(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = cut(shared_keys(keyed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "fp")))
-    labelled, tested, links_ = members.withColumn("label", F.col("node")), None, None
+    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), some, *(F.first(x).alias(x) for x in ("n", "fp", "bits", "bands"))).select("node", "first", "_text.*", "n", "fp", "bits", "bands"))
+    keyed = nodes.select("node", "n", "fp", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    members = cut(keyed.join(shared.hint("merge"), "key", "left_semi"))
+    nodes = nodes.drop("bands")
     found = docs.sparkSession.createDataFrame([], "node long, root long")
-    for width in (8, None):
-        pairs = candidate_pairs(labelled, similarity, radius, width)
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
-        if not pairs.isEmpty():
-            new = cut(similar_pairs(pairs, docs, nodes, shingle, similarity))
-            tested, links_ = pairs, links_.unionByName(new) if links_ else new
-            found = cut(components(links_))
-            labelled = members.join(found.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node"))
+    near = cut(neighbour_pairs(members, similarity, radius))
+    links_ = cut(similar_pairs(near, docs, nodes, shingle, similarity))
+    found = cut(components(links_))
+    labelled = members.join(found.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    others = cut(other_pairs(labelled, similarity, radius, cell).join(near, ["a", "b"], "left_anti"))
+    if not others.isEmpty():
+        found = cut(components(links_.unionByName(similar_pairs(others, docs, nodes, shingle, similarity))))
     return rows.select("id", "text_hash", "node").join(by_component(found, nodes), "node").select("id", "text_hash", "component", "component_id")
 
 
