@@ -17,7 +17,8 @@
 The pipeline's stage (one_of_each) links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.  Its
 buckets are BANDS bands of ROWS smallest hashes of the sets each, in which a pair at 0.8 meets but for one in 14,000.  In a
 bucket, the bit-sliced comparison of fingerprints of the sets, within a wide radius, leaves few of the strangers, and the
-sets of what it leaves are compared exactly, after their parities: no pair below 0.8 is linked.
+sets of what it leaves are compared exactly, after their parities: no pair below 0.8 is linked.  Pairs aren't written down; a
+bucket gives a forest of links.
 
 Null texts count as empty; texts without words have fingerprint 0 and are linked like any other.  Null doc_ids keep
 their rows; they never become a component_id unless the component has no other.  Repeated rows stay repeated.
@@ -42,6 +43,8 @@ SALTS = 16
 WIDE = 20
 #: 1 - (1 - 0.8 ** ROWS) ** BANDS is 0.99993.
 BANDS, ROWS = 24, 5
+#: Shingles of all sets in a part of a bucket.
+CELL_SHINGLES = 1 << 19
 #: Parities of a shingle set; two sets differ in as many shingles at least as in parities.
 BITS = 2048
 
@@ -297,27 +300,26 @@ def bands_of(own: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """A row (id, text_hash, node, n, fp, bits, bands) for each document: node is a hash of its shingle set, n the set's size, fp
-    its fingerprint, bits the parities of the numbers of shingles in BITS hash classes, bands its keys."""
+    """A row (id, text_hash, node, n, fp, bands) for each document: node is a hash of its shingle set, n the set's size, fp its
+    fingerprint, bands its keys."""
     first = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in slices(batches):
-            nodes, sizes, fps, parities, keys = [], [], [], [], []
+            nodes, sizes, fps, keys = [], [], [], []
             for x in texts(column(batch, "text")):
                 own = shingle_set(x, shingle)
                 nodes.append(xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(len(own))
                 fps.append(majority(votes_of(own), len(own)))
-                parities.append(np.packbits(np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 == 1).tobytes())
                 keys.append(bands_of(own, first))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
             node, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), node, pa.array(np.array(sizes, np.int64)), fp, pa.array(parities, pa.binary()), lists], ["id", "text_hash", "node", "n", "fp", "bits", "bands"])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), node, pa.array(np.array(sizes, np.int64)), fp, lists], ["id", "text_hash", "node", "n", "fp", "bands"])
 
-    return docs.mapInArrow(run, "id long, text_hash long, node long, n long, fp long, bits binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, text_hash long, node long, n long, fp long, bands array<long>")
 
 
 def pairs_of(group: np.ndarray, rows: dict[str, np.ndarray], similarity: float, radius: int, width: int | None) -> Iterator[pa.RecordBatch]:
@@ -331,7 +333,7 @@ def pairs_of(group: np.ndarray, rows: dict[str, np.ndarray], similarity: float,
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def neighbour_pairs(members: DataFrame, similarity: float, radius: int, width: int = 8) -> DataFrame:
+def neighbour_pairs(members: DataFrame, similarity: float, radius: int, width: int = 2) -> DataFrame:
     """Distinct pairs among the next `width` in the order of size, of rows (key, node, n, fp).  Keys may lie across partitions, where
     neighbours aren't seen; nothing else depends on it."""
     fields = ("key", "n", "node", "fp")
@@ -347,60 +349,108 @@ def neighbour_pairs(members: DataFrame, similarity: float, radius: int, width: i
     return members.select(*fields).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
 
-def other_pairs(members: DataFrame, similarity: float, radius: int, cell: int) -> DataFrame:
-    """Distinct pairs with different labels in the buckets, rows (key, node, n, fp, label), that have several labels."""
-    several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low <> high")
-    several = several.select("key", F.ceil(F.col("size") / F.lit(cell)).cast("int").alias("parts"))
+def parities(own: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 == 1)
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def cell_links(node: np.ndarray, n: np.ndarray, fp: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> list[tuple[int, int]]:
+    """Links that join all of a cell's nodes with different labels whose sets have the similarity, as a forest and not as pairs; rows
+    in the order of size."""
+    group = {x: x for x in label.tolist()}
+
+    def find(x: int) -> int:
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    bits, out = np.stack([parities(x) for x in sets]), []
+    for i, j in near_lanes(np.zeros(len(node), np.int64), fp.view(np.uint64), radius):
+        may = (label[i] != label[j]) & (n[i] >= similarity * n[j] - 1e-9)
+        i, j = i[may], j[may]
+        # sets differ in as many members at least as in parities
+        may = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) * (1 + similarity) <= (1 - similarity) * (n[i] + n[j]) + 1e-6
+        for a, b in zip(i[may].tolist(), j[may].tolist()):
+            x, y = find(int(label[a])), find(int(label[b]))
+            if x != y and alike(sets[a], sets[b], similarity):
+                group[max(x, y)] = min(x, y)
+                out.append((int(node[a]), int(node[b])))
+    return out
+
+
+def other_links(members: DataFrame, sets: DataFrame, similarity: float, radius: int, cell: int) -> DataFrame:
+    """Links (a, b) between nodes with different labels in the buckets, rows (key, node, n, fp, label), that have several labels: their
+    sets (node, own) go with them and are compared in the bucket, so that no pair need be written down.
+
+    Buckets of more than `cell` nodes, or of large sets, are dealt into parts, and every pair of parts is a cell of its own.
+    """
+    several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum("n").alias("all")).filter("low <> high")
+    several = several.select("key", F.greatest(F.ceil(F.col("size") / F.lit(cell)), F.ceil(F.col("all") / F.lit(CELL_SHINGLES))).cast("int").alias("parts"))
     cells = (
-        members.join(several.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        members.join(several.hint("merge"), "key").withColumn("own_part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .agg(F.collect_list(F.struct("n", "node", "fp", "label")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
-        .filter("low <> high").select(F.sort_array("members").alias("members"))
+        .select("key", F.least("own_part", "other").alias("i"), F.greatest("own_part", "other").alias("j"), "n", "node", "fp", "label")
+        .join(sets.hint("merge"), "node")
     )
+    order = ["key", "i", "j", "n", "node"]
+    names = [*order, "fp", "label"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 8192):
-            lists = column(batch, "members")
-            flat = lists.flatten()
-            every = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("n", "node", "fp", "label")}
-            for group, rows in runs(np.diff(lists.offsets.to_numpy())):
-                yield from pairs_of(group, {c: x[rows] for c, x in every.items()}, similarity, radius, None)
+        held: list[tuple[np.ndarray, list[bytes]]] = []  # rows of the cell that isn't complete
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+        def done() -> list[tuple[int, int]]:
+            rows, own = np.concatenate([x for x, _ in held], axis=1), [np.frombuffer(y, np.uint64) for _, x in held for y in x]
+            n, node, fp, label = rows[3:]
+            return cell_links(node, n, np.ascontiguousarray(fp), label, own, similarity, radius) if len(node) > 1 and label.min() < label.max() else []
 
+        def batch_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose sets, made from the texts again, have the Jaccard similarity."""
+        for batch in slices(batches):
+            rows = np.stack([column(batch, c).to_numpy().astype(np.int64) for c in names])
+            own = column(batch, "own").to_pylist()
+            edges = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
+            out = []
+            for a, b in zip([0, *edges], [*edges, rows.shape[1]]):
+                part = rows[:, a:b]
+                if held and (held[0][0][:3, 0] != part[:3, 0]).any():
+                    out += done()
+                    held.clear()
+                held.append((part, own[a:b]))
+            yield batch_of(out)
+        if held:
+            yield batch_of(done())
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.repartition(parts, "key", "i", "j").sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, own) with the set of each node that is wanted, made from its text again."""
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array([shingle_set(x, shingle).tobytes() for x in texts(column(batch, "text"))], pa.binary())], ["node", "own"])
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keep = []
-            for x, y in zip(column(batch, "own"), column(batch, "second")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    one = wanted.select("node").distinct().join(nodes.select("node", "text_hash", "some"), "node")
+    found = docs.select(F.coalesce("id", F.lit(0).cast("long")).alias("some"), "text_hash", "text").join(one, ["some", "text_hash"])
+    return found.select("node", "text").mapInArrow(run, "node long, own binary").dropDuplicates(["node"])  # a node's rows have equal sets
 
-    def may_be(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets have the Jaccard similarity."""
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("bits", "bits2"))
-            n = column(batch, "n").to_numpy() + column(batch, "n2").to_numpy()
-            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (1 + similarity) <= (1 - similarity) * n + 1e-6
+            keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in zip(column(batch, "own"), column(batch, "second"))]
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = nodes.select(F.col("node").alias("a"), "n", "bits")
-    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
-    pairs = cut(pairs.join(one, "a").join(two, "b").mapInArrow(may_be, "a long, b long"))
-    key = F.coalesce("id", F.lit(0).cast("long"))
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "text_hash", "some"), "node")
-    found = docs.select(key.alias("some"), "text_hash", "text").join(wanted, ["some", "text_hash"]).select("node", "text").mapInArrow(sets, "node long, own binary")
-    found = cut(found.dropDuplicates(["node"]))  # a node's rows have equal sets
-    both = pairs.join(found.withColumnRenamed("node", "a").hint("merge"), "a").join(found.select(F.col("node").alias("b"), F.col("own").alias("second")).hint("merge"), "b")
+    both = pairs.join(sets.withColumnRenamed("node", "a").hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("second")).hint("merge"), "b")
     return both.mapInArrow(compare, "a long, b long")
 
 
@@ -408,26 +458,25 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     """A row (id, text_hash, component, component_id) for each document; components are joined by pairs of texts whose sets of
     shingles have a Jaccard similarity of at least `similarity`, and by no others.
 
-    Bands and the fingerprints' radius are wide enough that a pair is unlikely to be missed (BANDS, WIDE).  Pairs of neighbours in
-    size are compared first, so that a large group costs no more than its members; of what these don't join already,
-    every pair is compared then.
+    Bands and the fingerprints' radius are wide enough that a pair is unlikely to be missed (BANDS, WIDE).  The next in the order of
+    size are compared first; of what these don't join already, every pair is compared then, inside its bucket.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     rows = cut(sketches(docs, shingle))
     some = F.min(F.struct("text_hash", F.coalesce("id", F.lit(0).cast("long")).alias("some"))).alias("_text")
-    nodes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), some, *(F.first(x).alias(x) for x in ("n", "fp", "bits", "bands"))).select("node", "first", "_text.*", "n", "fp", "bits", "bands"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), some, *(F.first(x).alias(x) for x in ("n", "fp", "bands")))
+    nodes = cut(nodes.select("node", "first", "_text.*", "n", "fp", "bands"))
     keyed = nodes.select("node", "n", "fp", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     members = cut(keyed.join(shared.hint("merge"), "key", "left_semi"))
     nodes = nodes.drop("bands")
-    found = docs.sparkSession.createDataFrame([], "node long, root long")
-    near = cut(neighbour_pairs(members, similarity, radius))
-    links_ = cut(similar_pairs(near, docs, nodes, shingle, similarity))
-    found = cut(components(links_))
+    sets = cut(sets_of(members, docs, nodes, shingle))
+    near = cut(similar_pairs(neighbour_pairs(members, similarity, radius), sets, similarity))
+    found = cut(components(near))
     labelled = members.join(found.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    others = cut(other_pairs(labelled, similarity, radius, cell).join(near, ["a", "b"], "left_anti"))
+    others = cut(other_links(labelled, sets, similarity, radius, cell))
     if not others.isEmpty():
-        found = cut(components(links_.unionByName(similar_pairs(others, docs, nodes, shingle, similarity))))
+        found = cut(components(near.unionByName(others)))
     return rows.select("id", "text_hash", "node").join(by_component(found, nodes), "node").select("id", "text_hash", "component", "component_id")
 
 
