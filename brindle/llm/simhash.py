@@ -361,23 +361,16 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 def cell_links(node: np.ndarray, n: np.ndarray, fp: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> list[tuple[int, int]]:
     """Links that join all of a cell's nodes with different labels whose sets have the similarity, as a forest and not as pairs; rows
     in the order of size."""
-    group = {x: x for x in label.tolist()}
-
-    def find(x: int) -> int:
-        while group[x] != x:
-            group[x] = x = group[group[x]]
-        return x
-
+    group = np.unique(label, return_inverse=True)[1]
     bits, out = np.stack([parities(x) for x in sets]), []
     for i, j in near_lanes(np.zeros(len(node), np.int64), fp.view(np.uint64), radius):
-        may = (label[i] != label[j]) & (n[i] >= similarity * n[j] - 1e-9)
+        may = (group[i] != group[j]) & (n[i] >= similarity * n[j] - 1e-9)
         i, j = i[may], j[may]
         # sets differ in as many members at least as in parities
         may = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) * (1 + similarity) <= (1 - similarity) * (n[i] + n[j]) + 1e-6
         for a, b in zip(i[may].tolist(), j[may].tolist()):
-            x, y = find(int(label[a])), find(int(label[b]))
-            if x != y and alike(sets[a], sets[b], similarity):
-                group[max(x, y)] = min(x, y)
+            if group[a] != group[b] and alike(sets[a], sets[b], similarity):
+                group[group == group[b]] = group[a]
                 out.append((int(node[a]), int(node[b])))
     return out
 
@@ -454,7 +447,7 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return both.mapInArrow(compare, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE, cell: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE, cell: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (id, text_hash, component, component_id) for each document; components are joined by pairs of texts whose sets of
     shingles have a Jaccard similarity of at least `similarity`, and by no others.
 
