@@ -22,7 +22,9 @@ sql("a15_kurtosis", "SELECT round(kurtosis(l_quantity), 6) AS k FROM {lineitem}"
 sql("a16_percentiles", "SELECT event_type, round(median(value), 6) AS m, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY value), 6) AS p90 FROM {events} GROUP BY event_type", "SELECT event_type, round(median(value), 6) AS m, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
 sql("a17_percentile_disc", "SELECT CAST(percentile_disc(0.25) WITHIN GROUP (ORDER BY p_size) AS INT) AS p25 FROM {part}", "SELECT CAST(quantile_disc(p_size, 0.25) AS INT) AS p25 FROM part")
 sql("a19_regression", "SELECT round(covar_samp(l_extendedprice, l_quantity), 4) AS c, round(covar_pop(l_extendedprice, l_quantity), 4) AS cp, round(regr_slope(l_extendedprice, l_quantity), 6) AS s, round(regr_intercept(l_extendedprice, l_quantity), 4) AS i, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2 FROM {lineitem}")
-sql("a20_mode_bool_and_max_by", "SELECT o_orderstatus, bool_and(o_totalprice > 0) AS positive, max_by(o_orderkey, o_totalprice) AS dearest, mode(o_custkey % 1) AS m FROM {orders} GROUP BY o_orderstatus")
+sql("a20_mode_bool_and_max_by", "SELECT o_orderstatus, bool_and(o_totalprice > 0) AS positive, max_by(o_orderkey, o_totalprice) AS dearest, mode() WITHIN GROUP (ORDER BY o_orderpriority) AS m FROM {orders} GROUP BY o_orderstatus",
+    """SELECT o_orderstatus, bool_and(o_totalprice > 0) AS positive, max_by(o_orderkey, o_totalprice) AS dearest,
+    (SELECT p FROM (SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1, 2) WHERE s = o_orderstatus ORDER BY n DESC, p LIMIT 1) AS m FROM orders GROUP BY o_orderstatus""")
 sql("a21_bool_or_bit_xor_min_by", "SELECT o_orderstatus, bool_or(o_totalprice > 30000) AS any_large, bit_xor(o_orderkey) AS x, bit_and(o_orderkey) AS a, bit_or(o_orderkey) AS o, min_by(o_orderkey, o_totalprice) AS cheapest, round(stddev_pop(o_totalprice), 4) AS sd FROM {orders} GROUP BY o_orderstatus")
 sql("a21_collect_set", "SELECT o_custkey, array_join(array_sort(collect_set(o_orderpriority)), ',') AS p FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS p FROM orders GROUP BY o_custkey")
 sql("a22_any_value", "SELECT k, any_value(v, true) AS v FROM (VALUES (1, NULL), (1, 5), (2, NULL), (3, 7)) AS t(k, v) GROUP BY k", "SELECT k, any_value(v) AS v FROM (VALUES (1, NULL), (1, 5), (2, NULL), (3, 7)) AS t(k, v) GROUP BY k")

@@ -40,6 +40,9 @@ sql("q14_promo_share", """
 SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 4) AS promo_revenue
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""")
 sql("q18_large_orders", """
+SELECT c_name, c_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice, qty
+FROM (SELECT l_orderkey, round(sum(l_quantity), 2) AS qty FROM {lineitem} GROUP BY l_orderkey HAVING sum(l_quantity) > 250)
+JOIN {orders} ON o_orderkey = l_orderkey JOIN {customer} ON c_custkey = o_custkey""", """
 SELECT c_name, c_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice, round(sum(l_quantity), 2) AS qty
 FROM {customer} JOIN {orders} ON c_custkey = o_custkey JOIN {lineitem} ON o_orderkey = l_orderkey
 WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey HAVING sum(l_quantity) > 250)

@@ -52,20 +52,24 @@ sql("f19_variant_and_to_json", "SELECT event_id, variant_get(parse_json(props),
 sql("f20_conversions", "SELECT try_cast(s AS INT) AS i, CAST('NaN' AS DOUBLE) = CAST('NaN' AS DOUBLE) AS nan_equal, s COLLATE UTF8_LCASE = 'ABC' AS folded, nullif(s, 'x') AS n, coalesce(NULL, s) AS c FROM (VALUES ('12'), ('x'), ('abc')) AS t(s)",
     "SELECT TRY_CAST(s AS INT) AS i, CAST('NaN' AS DOUBLE) = CAST('NaN' AS DOUBLE) AS nan_equal, lower(s) = 'abc' AS folded, nullif(s, 'x') AS n, s AS c FROM (VALUES ('12'), ('x'), ('abc')) AS t(s)")
 sql("f19_json_tuple", "SELECT event_id, CAST(t.k AS BIGINT) AS k FROM {events} LATERAL VIEW json_tuple(props, 'k') t AS k", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+sql("f08_timestamp_difference", "SELECT event_id, CAST(extract(DAY FROM ts - TIMESTAMP_NTZ'2024-01-01') AS INT) AS d, CAST(extract(HOUR FROM ts - TIMESTAMP_NTZ'2024-01-01') AS INT) AS h FROM {events}",
+    "SELECT event_id, CAST(extract(day FROM ts - TIMESTAMP '2024-01-01') AS INT) AS d, CAST(extract(hour FROM ts - TIMESTAMP '2024-01-01') AS INT) AS h FROM events")
+sql("f09_date_difference", "SELECT event_id, CAST(extract(DAY FROM CAST(ts AS DATE) - DATE'2023-12-25') AS INT) AS d FROM {events}", "SELECT event_id, CAST(CAST(ts AS DATE) - DATE '2023-12-25' AS INT) AS d FROM events")
+sql("f10_from_utc", "SELECT event_id, CAST(from_utc_timestamp(CAST(ts AS TIMESTAMP), 'Asia/Tokyo') AS TIMESTAMP_NTZ) AS t FROM {events}", "SELECT event_id, ts + INTERVAL 9 HOUR AS t FROM events")
+sql("f20_time", "SELECT r_regionkey, CAST(TIME'10:11:12' AS STRING) AS t, TIME'10:11:12' < TIME'10:11:13' AS earlier FROM {region}", "SELECT r_regionkey, CAST(TIME '10:11:12' AS VARCHAR) AS t, TIME '10:11:12' < TIME '10:11:13' AS earlier FROM region")
 sql("f20_urls", "SELECT page_id, parse_url(url, 'HOST') AS host FROM {pages}", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")
 sql("f22_hashes", "SELECT r_regionkey, sha2(r_name, 256) AS s, md5(r_name) AS m, base64(encode(r_name, 'UTF-8')) AS b, hex(r_name) AS h FROM {region}", "SELECT r_regionkey, sha256(r_name) AS s, md5(r_name) AS m, base64(encode(r_name)) AS b, hex(r_name) AS h FROM region")
 
 
 @query("f14_vector_products", """
-SELECT a.vec_id, b.vec_id AS other, CAST(round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS DECIMAL(9, 4)) AS dot, CAST(round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS DECIMAL(9, 4)) AS cosine
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 50 = 0""")
+WITH l AS (SELECT label, arg_min(embedding, vec_id) AS first FROM embeddings GROUP BY label)
+SELECT vec_id, CAST(round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(first AS DOUBLE[])), 4) AS DECIMAL(9, 4)) AS dot, CAST(round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(first AS DOUBLE[])), 4) AS DECIMAL(9, 4)) AS cosine
+FROM embeddings e JOIN l ON e.label = l.label""")
 def f14_vector_products(spark, sf_dir):
-    """Some vectors (a stated query set) with the others of their label."""
+    """Every vector with the first of its label."""
     e = table(spark, sf_dir, "embeddings")
-    a = e.filter("vec_id % 50 = 0")
-    b = e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("second"), "label")
-    pairs = a.join(b, "label").filter("vec_id < other")
-    return pairs.select("vec_id", "other", F.round(dot(F.col("embedding"), F.col("second")), 4).cast("decimal(9, 4)").alias("dot"), F.round(cosine(F.col("embedding"), F.col("second")), 4).cast("decimal(9, 4)").alias("cosine"))
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("first"))
+    return e.join(first, "label").select("vec_id", F.round(dot(F.col("embedding"), F.col("first")), 4).cast("decimal(9, 4)").alias("dot"), F.round(cosine(F.col("embedding"), F.col("first")), 4).cast("decimal(9, 4)").alias("cosine"))
 
 
 @query("f14_query_vectors", """

@@ -1,4 +1,4 @@
-"""A source and a sink written in Python: arithmetic sequences, and a table of line counts."""
+"""A source written in Python: arithmetic sequences."""
 
 from __future__ import annotations
 

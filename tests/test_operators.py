@@ -59,6 +59,12 @@ def test_range_join(spark):
     joined = range_join(p, r, "x", "low", "high", 7.0)
     expected = sorted((i, j) for i, x in points for j, a, b in ranges if None not in (x, a, b) and a <= x <= b)
     assert sorted((x["p"], x["r"]) for x in joined.collect()) == expected
+    plain = (F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high"))
+    for how in ("left", "left_semi", "left_anti"):
+        assert sorted(map(str, range_join(p, r, "x", "low", "high", 7.0, how).collect())) == sorted(map(str, p.join(r, plain, how).collect()))
+    for how in ("right", "full"):
+        with pytest.raises(ValueError):
+            range_join(p, r, "x", "low", "high", 7.0, how)
     assert "NestedLoop" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
@@ -71,6 +77,9 @@ def test_salted_join(spark):
     large = spark.createDataFrame([("hot", i) for i in range(500)] + [("cold", 1), (None, 2)], "k string, i int")
     small = spark.createDataFrame([("hot", 1.0), ("hot", 2.0), ("cold", 3.0), (None, 4.0)], "k string, w double")
     assert sorted(salted_join(large, small, ["k"], 7).collect()) == sorted(large.join(small, "k").collect())
+    small = small.unionByName(spark.createDataFrame([("nowhere", 5.0)], "k string, w double"))
+    for how in ("inner", "left", "right", "full", "left_semi", "left_anti"):
+        assert sorted(map(str, salted_join(large, small, ["k"], 7, how).collect())) == sorted(map(str, large.join(small, "k", how).collect())), how
 
 
 def test_windows(spark):
