@@ -183,12 +183,11 @@ def bit_planes(fp: np.ndarray, spare: int) -> np.ndarray:
     return out
 
 
-def near_lanes(group: np.ndarray, fp: np.ndarray, radius: int, width: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of places (i, j) of fingerprints of one group within the radius; rows lie group by group.
-    width: only those at most so many places apart."""
+def near_lanes(group: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places (i, j) of fingerprints of one group within the radius; rows lie group by group."""
     longest = int(np.bincount(np.unique(group, return_inverse=True)[1]).max(initial=0))
     planes = bit_planes(fp, longest // 64 + 2)
-    for shift in range(1, min(longest, 1 + (width or longest))):
+    for shift in range(1, longest):
         same = group[:-shift] == group[shift:]
         if not same.any():
             break
@@ -322,33 +321,6 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, text_hash long, node long, n long, fp long, bands array<long>")
 
 
-def pairs_of(group: np.ndarray, rows: dict[str, np.ndarray], similarity: float, radius: int, width: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of nodes of one group within the radius, with different labels and with sizes that allow the similarity; rows
-    lie group by group, in the order of size.  width: only those at most so many places apart."""
-    node, n, label = rows["node"], rows["n"], rows["label"]
-    for i, j in near_lanes(group, rows["fp"].view(np.uint64), radius, width):
-        own = (label[i] != label[j]) & (n[i] >= similarity * n[j] - 1e-9)
-        if own.any():
-            a, b = node[i[own]], node[j[own]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
-def neighbour_pairs(members: DataFrame, similarity: float, radius: int, width: int = 2) -> DataFrame:
-    """Distinct pairs among the next `width` in the order of size, of rows (key, node, n, fp).  Keys may lie across partitions, where
-    neighbours aren't seen; nothing else depends on it."""
-    fields = ("key", "n", "node", "fp")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {c: np.empty(0, np.int64) for c in fields}
-        for batch in slices(batches, 1 << 14):
-            now = {c: np.concatenate((held[c], column(batch, c).to_numpy())) for c in fields}
-            yield from pairs_of(np.cumsum(np.append(False, now["key"][1:] != now["key"][:-1])) if len(now["key"]) else now["key"], now | {"label": now["node"]}, similarity, radius, width)
-            held = {c: x[-width:] for c, x in now.items()}
-
-    order = ["key", "n", "node"]
-    return members.select(*fields).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
-
-
 def parities(own: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 == 1)
 
@@ -358,10 +330,9 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
-def cell_links(node: np.ndarray, n: np.ndarray, fp: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> list[tuple[int, int]]:
-    """Links that join all of a cell's nodes with different labels whose sets have the similarity, as a forest and not as pairs; rows
-    in the order of size."""
-    group = np.unique(label, return_inverse=True)[1]
+def cell_links(node: np.ndarray, n: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> list[tuple[int, int]]:
+    """Links that join all of a cell's nodes whose sets have the similarity, as a forest and not as pairs; rows in the order of size."""
+    group = np.arange(len(node))
     bits, out = np.stack([parities(x) for x in sets]), []
     for i, j in near_lanes(np.zeros(len(node), np.int64), fp.view(np.uint64), radius):
         may = (group[i] != group[j]) & (n[i] >= similarity * n[j] - 1e-9)
@@ -375,30 +346,30 @@ def cell_links(node: np.ndarray, n: np.ndarray, fp: np.ndarray, label: np.ndarra
     return out
 
 
-def other_links(members: DataFrame, sets: DataFrame, similarity: float, radius: int, cell: int) -> DataFrame:
-    """Links (a, b) between nodes with different labels in the buckets, rows (key, node, n, fp, label), that have several labels: their
-    sets (node, own) go with them and are compared in the bucket, so that no pair need be written down.
+def set_links(members: DataFrame, sets: DataFrame, similarity: float, radius: int, cell: int) -> DataFrame:
+    """Links (a, b) between nodes of the buckets, rows (key, node, n, fp): their sets (node, own) go with them and are compared in
+    the bucket, so that no pair need be written down.
 
     Buckets of more than `cell` nodes, or of large sets, are dealt into parts, and every pair of parts is a cell of its own.
     """
-    several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.sum("n").alias("all")).filter("low <> high")
-    several = several.select("key", F.greatest(F.ceil(F.col("size") / F.lit(cell)), F.ceil(F.col("all") / F.lit(CELL_SHINGLES))).cast("int").alias("parts"))
+    hot = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("all"))
+    hot = hot.select("key", F.greatest(F.ceil(F.col("size") / F.lit(cell)), F.ceil(F.col("all") / F.lit(CELL_SHINGLES))).cast("int").alias("parts")).filter("parts > 1")
     cells = (
-        members.join(several.hint("merge"), "key").withColumn("own_part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        members.join(hot.hint("merge"), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own_part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("own_part", "other").alias("i"), F.greatest("own_part", "other").alias("j"), "n", "node", "fp", "label")
+        .select("key", F.least("own_part", "other").alias("i"), F.greatest("own_part", "other").alias("j"), "n", "node", "fp")
         .join(sets.hint("merge"), "node")
     )
     order = ["key", "i", "j", "n", "node"]
-    names = [*order, "fp", "label"]
+    names = [*order, "fp"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, list[bytes]]] = []  # rows of the cell that isn't complete
 
         def done() -> list[tuple[int, int]]:
             rows, own = np.concatenate([x for x, _ in held], axis=1), [np.frombuffer(y, np.uint64) for _, x in held for y in x]
-            n, node, fp, label = rows[3:]
-            return cell_links(node, n, np.ascontiguousarray(fp), label, own, similarity, radius) if len(node) > 1 and label.min() < label.max() else []
+            n, node, fp = rows[3:]
+            return cell_links(node, n, np.ascontiguousarray(fp), own, similarity, radius) if len(node) > 1 else []
 
         def batch_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -435,24 +406,11 @@ def sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int)
     return found.select("node", "text").mapInArrow(run, "node long, own binary").dropDuplicates(["node"])  # a node's rows have equal sets
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets have the Jaccard similarity."""
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in zip(column(batch, "own"), column(batch, "second"))]
-            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.withColumnRenamed("node", "a").hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("second")).hint("merge"), "b")
-    return both.mapInArrow(compare, "a long, b long")
-
-
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE, cell: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (id, text_hash, component, component_id) for each document; components are joined by pairs of texts whose sets of
     shingles have a Jaccard similarity of at least `similarity`, and by no others.
 
-    Bands and the fingerprints' radius are wide enough that a pair is unlikely to be missed (BANDS, WIDE).  The next in the order of
-    size are compared first; of what these don't join already, every pair is compared then, inside its bucket.
+    Bands and the fingerprints' radius are wide enough that a pair is unlikely to be missed (BANDS, WIDE).
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     rows = cut(sketches(docs, shingle))
@@ -464,12 +422,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     members = cut(keyed.join(shared.hint("merge"), "key", "left_semi"))
     nodes = nodes.drop("bands")
     sets = cut(sets_of(members, docs, nodes, shingle))
-    near = cut(similar_pairs(neighbour_pairs(members, similarity, radius), sets, similarity))
-    found = cut(components(near))
-    labelled = members.join(found.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    others = cut(other_links(labelled, sets, similarity, radius, cell))
-    if not others.isEmpty():
-        found = cut(components(near.unionByName(others)))
+    found = cut(components(cut(set_links(members, sets, similarity, radius, cell))))
     return rows.select("id", "text_hash", "node").join(by_component(found, nodes), "node").select("id", "text_hash", "component", "component_id")
 
 
