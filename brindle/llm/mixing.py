@@ -27,7 +27,8 @@ from .common import WORD, chunks_for, cut, ranks, table
 
 BLOCK, MOST, WEIGHTS, SEED = 128, 3, (1, 2, 3), "mix"
 SHARD_SLOTS, ROUNDS = 1 << 13, 16
-STEP = 1 << 16
+#: Numbers that a row of `numbered` stands for, and about how many a task makes.
+STEP, TASK_NUMBERS = 1 << 13, 1 << 14
 #: Bits of the hashes: 15 hexadecimal digits.
 HASH_BITS = 60
 
@@ -59,10 +60,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return out.select("source_key", "source", "source_size", F.least("cap", F.col("weight") * F.lit(final["level"] if final else 0.0)).alias("target"))
 
 
-def numbered(counts: DataFrame, count: str, name: str, *keys: str) -> DataFrame:
-    """A row for each number from 0 to count - 1, made in two steps so that no task makes all of a large count."""
+def numbered(counts: DataFrame, count: str, name: str, total: int, *keys: str) -> DataFrame:
+    """A row for each number from 0 to count - 1, made in two steps so that no task makes all of a large count.
+
+    total: the sum of all counts.  The few rows before the second step look small enough for one task, which is why the
+    number of tasks comes from what they become.
+    """
     steps = counts.filter(F.col(count) > 0).withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {STEP}"))))
-    steps = steps.repartition(*keys, "_step")
+    most = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = steps.repartition(max(1, min(most, -(-total // TASK_NUMBERS))), *keys, "_step")
     end = F.least(F.col(count), (F.col("_step") + 1) * STEP) - 1
     return steps.withColumn(name, F.explode(F.sequence(F.col("_step") * STEP, end))).drop("_step")
 
@@ -117,11 +123,11 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))
 
 
-def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """(source_key, shard, n, first): how many slots of each source a shard has, by a draw for each slot, and the first of them."""
-    total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+def shard_counts(sources: DataFrame, total: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(source_key, shard, n, first): how many slots of each source a shard has, by a draw for each of the `total` slots, and the
+    first of them."""
     shards = max(1, -(-total // shard_slots))
-    slots_ = numbered(sources.select("source_key", "slots"), "slots", "slot", "source_key")
+    slots_ = numbered(sources.select("source_key", "slots"), "slots", "slot", total, "source_key")
     counts = slots_.select("source_key", F.pmod(drawn(F.lit("shard"), "source_key", "slot"), F.lit(shards)).alias("shard")).groupBy("source_key", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -130,8 +136,9 @@ def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFram
 def slots(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The mix itself: (shard, source_key, slot, block, words) with the block that each slot of each output shard takes, and how
     many of its words from the first on (null: all)."""
-    counts = shard_counts(sources, shard_slots).join(sources.select("source_key", "blocks", "slots", "last_words", "keys"), "source_key")
-    out = numbered(counts, "n", "k", "source_key", "shard").withColumn("slot", F.col("first") + F.col("k"))
+    total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    counts = shard_counts(sources, total, shard_slots).join(sources.select("source_key", "blocks", "slots", "last_words", "keys"), "source_key")
+    out = numbered(counts, "n", "k", total, "source_key", "shard").withColumn("slot", F.col("first") + F.col("k"))
     words = F.when(F.col("slot") == F.col("slots") - 1, F.col("last_words"))
     return out.select("shard", "source_key", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("keys")).alias("block"), words.alias("words"))
 
