@@ -346,16 +346,27 @@ def cell_links(node: np.ndarray, n: np.ndarray, fp: np.ndarray, sets: list[np.nd
     return out
 
 
-def set_links(members: DataFrame, sets: DataFrame, similarity: float, radius: int, cell: int) -> DataFrame:
-    """Links (a, b) between nodes of the buckets, rows (key, node, n, fp): their sets (node, own) go with them and are compared in
-    the bucket, so that no pair need be written down.
+def buckets(members: DataFrame, cell: int) -> DataFrame:
+    """(key, parts) of buckets with the rows (key, node, n); of buckets with the same nodes, which near copies have in many bands, one
+    is enough.  What tells them apart are two hashes of 64 bits, which partial aggregations combine.
 
-    Buckets of more than `cell` nodes, or of large sets, are dealt into parts, and every pair of parts is a cell of its own.
+    Buckets of more than `cell` nodes, or of large sets, have several parts.
+    """
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"same{k}") for k in (0, 1)]
+    each = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("all"), *same)
+    one = each.groupBy("size", "all", "same0", "same1").agg(F.min("key").alias("key"))
+    parts = F.greatest(F.ceil(F.col("size") / F.lit(cell)), F.ceil(F.col("all") / F.lit(CELL_SHINGLES)))
+    return one.select("key", parts.cast("int").alias("parts"))
+
+
+def set_links(members: DataFrame, sets: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) between nodes of the buckets, rows (key, parts, node, n, fp): their sets (node, own) go with them and are compared
+    in the bucket, so that no pair need be written down.
+
+    Buckets are dealt into their parts, and every pair of parts is a cell of its own.
     """
-    hot = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("all"))
-    hot = hot.select("key", F.greatest(F.ceil(F.col("size") / F.lit(cell)), F.ceil(F.col("all") / F.lit(CELL_SHINGLES))).cast("int").alias("parts")).filter("parts > 1")
     cells = (
-        members.join(hot.hint("merge"), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own_part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        members.withColumn("own_part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("key", F.least("own_part", "other").alias("i"), F.greatest("own_part", "other").alias("j"), "n", "node", "fp")
         .join(sets.hint("merge"), "node")
@@ -420,9 +431,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     keyed = nodes.select("node", "n", "fp", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     members = cut(keyed.join(shared.hint("merge"), "key", "left_semi"))
+    members = cut(members.join(buckets(members, cell).hint("merge"), "key"))
     nodes = nodes.drop("bands")
     sets = cut(sets_of(members, docs, nodes, shingle))
-    found = cut(components(cut(set_links(members, sets, similarity, radius, cell))))
+    found = cut(components(cut(set_links(members, sets, similarity, radius))))
     return rows.select("id", "text_hash", "node").join(by_component(found, nodes), "node").select("id", "text_hash", "component", "component_id")
 
 
