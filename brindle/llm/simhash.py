@@ -441,10 +441,14 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near-duplicates: of each component of similar_documents() the one with the smallest doc_id; of
     several with that, by hashes of the text and of the row."""
-    chosen = similar_documents(docs, shingle, similarity).filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("of")).select("of")
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash")).alias("key"))
-    kept = whole.join(chosen, F.col("key").eqNullSafe(F.col("of")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("doc")))
+    key = ["id", "nameless", "text_hash"]
+    ident = [F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.isnull("id").alias("nameless"), F.col("text_hash")]
+    found = similar_documents(docs, shingle, similarity).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    chosen = found.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("of")).select("of.*").select(*ident)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"))
+    # join and window have the same keys, none null, so that the documents are shuffled once
+    kept = whole.select("doc", *ident).join(chosen.hint("merge"), key, "left_semi")
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("doc")))
     return kept.withColumn("place", first).filter("place = 1").select("doc.*")
 
 
