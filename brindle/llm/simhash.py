@@ -414,7 +414,8 @@ def sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int)
 
     one = wanted.select("node").distinct().join(nodes.select("node", "text_hash", "some"), "node")
     found = docs.select(F.coalesce("id", F.lit(0).cast("long")).alias("some"), "text_hash", "text").join(one, ["some", "text_hash"])
-    return found.select("node", "text").mapInArrow(run, "node long, own binary").dropDuplicates(["node"])  # a node's rows have equal sets
+    found = found.dropDuplicates(["some", "text_hash"])  # repeated rows; in the partitions of the join
+    return found.select("node", "text").mapInArrow(run, "node long, own binary")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE, cell: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
