@@ -9,6 +9,7 @@ from .sharding import op10_balanced_shards
 from .simhash import op3_simhash_near_dedup
 from .tokens import op4_token_id_shards
 from .toxicity import op2_toxicity
+from .vectors import OP12_SQL, op12_near_vectors
 from .warc import OP5_SQL, op5_warc_round_trip
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_balanced_shards": op10_balanced_shards,
+    "op12_near_vectors": op12_near_vectors,
 }
 
 ORACLE_SQL = {
@@ -29,4 +31,5 @@ ORACLE_SQL = {
     "op7_quality_rules": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_mix_sources": OP9_SQL,
+    "op12_near_vectors": OP12_SQL,
 }

@@ -1,0 +1,137 @@
+"""Near-duplicate vectors against a comparison of all pairs."""
+
+import numpy as np
+import pytest
+from compare import of_duckdb, of_spark, oracle
+from pyspark.sql import functions as F
+
+from brindle.llm import vectors
+from brindle.llm.vectors import OP12_SQL, blocks_of, near_vectors, neighbours, op12_near_vectors, radius, rotation, unit
+
+SCHEMA = "vec_id long, embedding array<double>, label int"
+
+
+def plain(rows, cosine=0.98):
+    """By row number: (id, links, component's identifier)."""
+    n = len(rows)
+    fine = [e is not None and label is not None and len(e) > 0 and all(x is not None and np.isfinite(x) for x in e) and any(e) for _, e, label in rows]
+    links = [set() for _ in rows]
+    for i in range(n):
+        for j in range(i):
+            if fine[i] and fine[j] and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]):
+                a, b = (np.array(rows[k][1], float) for k in (i, j))
+                a, b = a / np.abs(a).max(), b / np.abs(b).max()
+                if a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) >= cosine:
+                    links[i].add(j)
+                    links[j].add(i)
+    out = []
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            todo += (new := links[todo.pop()] - seen)
+            seen |= new
+        ids = [rows[k][0] for k in seen if rows[k][0] is not None]
+        least = min(ids) if ids else None
+        out.append((rows[i][0], len(links[i]), least, rows[i][0] == least))
+    return sorted(out, key=repr)
+
+
+def found(spark, rows, cosine=0.98, schema=SCHEMA, **kw):
+    out = near_vectors(spark.createDataFrame(rows, schema), cosine, **kw)
+    return sorted((tuple(r) for r in out.select("id", "n_links", "component_id", "kept").collect()), key=repr)
+
+
+def near(rng, of, by):
+    return [float(x) for x in np.array(of) + rng.standard_normal(len(of)) * by]
+
+
+def some_rows(seed, d, clusters=6, each=12, spread=(0.005, 0.03)):
+    rng, rows = np.random.default_rng(seed), []
+    for c in range(clusters):
+        centre = rng.standard_normal(d) / np.sqrt(d) * rng.uniform(0.1, 9)
+        for _ in range(each):
+            rows.append((len(rows), near(rng, centre, rng.uniform(*spread) * np.linalg.norm(centre)), c % 2))
+    return [rows[i] for i in rng.permutation(len(rows))]
+
+
+def test_query_is_its_sql(spark, sf_dir):
+    assert of_spark(op12_near_vectors(spark, sf_dir)) == of_duckdb(oracle(sf_dir), OP12_SQL)
+
+
+@pytest.mark.parametrize("d", [1, 3, 17, 64])
+def test_all_pairs(spark, d):
+    rows = some_rows(d, d)
+    assert found(spark, rows) == plain(rows)
+
+
+def test_cosines_on_both_sides_of_the_limit(spark):
+    rng, rows = np.random.default_rng(5), []
+    for k in range(60):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        c = 0.98 + (k - 30) * 1e-5
+        rows += [(2 * k, [float(x) for x in a], k), (2 * k + 1, [float(x) for x in c * a + np.sqrt(1 - c * c) * b], k)]
+    got = found(spark, rows)
+    assert got == plain(rows) and {r[1] for r in got} == {0, 1}
+
+
+def test_a_hot_cell_is_dealt_into_tiles(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", 16)
+    monkeypatch.setattr(vectors, "STEP", 5)
+    rows = some_rows(9, 64, clusters=2, each=90, spread=(0.008, 0.016))
+    assert found(spark, rows) == plain(rows)
+    cells = vectors.tiled(vectors.placed(vectors.nodes_of(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding", "label")[1], 0.98, 16, 2))
+    sizes = [r["count"] for r in cells.groupBy("label", "d", "block", "cell", "tile", "other").count().collect()]
+    assert len(sizes) > 20 and max(sizes) <= 4 * 16
+
+
+def test_copies_are_not_compared(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [1.0, 2.0, 3.0], 1) for i in range(40)] + [(100 + i, near(rng, [2.0, 4.0, 6.0], 0.1), 1) for i in range(10)]
+    assert found(spark, rows) == plain(rows)
+    _, nodes = vectors.nodes_of(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding", "label")
+    assert nodes.count() == 11
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, [1.0, 0.0], 1), (2, [5.0, 0.01], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, [1.0, 0.0], None), (6, None, 1), (7, [], 1), (8, [], 1), (9, [0.0, 0.0], 1),
+        (10, [0.0, 0.0], 1), (11, [1.0, None], 1), (12, [1.0, nan], 1), (13, [inf, 1.0], 1), (14, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.02], 1), (None, [0.0, 1.0], 1), (2, [5.0, 0.01], 1),
+        (16, [-1.0, 0.0], 1), (17, [1e-200, 0.0], 1), (18, [1e300, 1e298], 1), (19, [-0.0, -2.0], 1), (20, [0.0, -2.0], 1), (None, None, None),
+    ]
+    assert found(spark, rows) == plain(rows)
+
+
+def test_empty_table_other_names_and_floats(spark):
+    assert found(spark, []) == []
+    rows = [(7, [1.0, 2.0], "a", 1, "x"), (5, [1.0, 2.01], "a", 2, "y"), (1, [1.0, 2.0], "b", 3, "z")]
+    df = spark.createDataFrame(rows, "node long, first array<float>, copies string, id int, k1 string")
+    got = near_vectors(df, id_col="node", vector_col="first", label_col="copies").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 1, True), (5, 1, 5, True), (7, 1, 5, False)]
+
+
+def test_a_third_of_rows_in_one_label_and_ranges_over_partitions(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    df = df.withColumn("label", F.when(F.col("vec_id") % 3 == 0, F.lit(0)).otherwise(F.col("label"))).unionByName(df.withColumn("vec_id", F.col("vec_id") + 10_000))
+    rows = [(r.vec_id, list(r.embedding), r.label) for r in df.collect()]
+    got = sorted((tuple(r) for r in near_vectors(df).select("id", "n_links", "component_id", "kept").collect()), key=repr)
+    assert got == plain(rows)
+
+
+def test_every_close_pair_meets_in_one_cell_of_some_block():
+    rng = np.random.default_rng(0)
+    a = unit(rng.standard_normal((300, 64)))
+    b = unit(a + rng.standard_normal((300, 64)) * 0.024)
+    a, b = a[(a * b).sum(1) >= 0.98], b[(a * b).sum(1) >= 0.98]
+    qa, qb = (np.rint(x @ rotation(64) * (1 << vectors.BITS)).astype(np.int64) for x in (a, b))
+    met = np.zeros(len(a), int)
+    for at in blocks_of(64, 16):
+        r = radius(0.98, 64, 16)
+        close = ((qa[:, at] - qb[:, at]) ** 2).sum(1) <= r * r
+        cells = [{(int(i), int(c)): h for i, c, h in zip(*neighbours(q[:, at][:, :3], 2 * r, r))} for q in (qa, qb)]
+        for i in np.flatnonzero(close):
+            own = [{c: h for (k, c), h in x.items() if k == i} for x in cells]
+            meets = [c for c in own[0].keys() & own[1].keys() if own[0][c] or own[1][c]]
+            assert len(meets) == 1
+        met += close
+    assert len(a) > 50 and (met > 0).all()
