@@ -1,5 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
+from .audit import OP11_SQL, op11_filter_audit
 from .decontaminate import op6_decontaminate
 from .lines import OP8_SQL, op8_line_dedup
 from .mixing import OP9_SQL, op9_mix_sources
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_balanced_shards": op10_balanced_shards,
+    "op11_filter_audit": op11_filter_audit,
     "op12_near_vectors": op12_near_vectors,
 }
 
@@ -31,5 +33,6 @@ ORACLE_SQL = {
     "op7_quality_rules": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_mix_sources": OP9_SQL,
+    "op11_filter_audit": OP11_SQL,
     "op12_near_vectors": OP12_SQL,
 }
