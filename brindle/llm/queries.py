@@ -1,5 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
+from .align import op13_align_tokens
 from .audit import OP11_SQL, op11_filter_audit
 from .decontaminate import op6_decontaminate
 from .lines import OP8_SQL, op8_line_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_balanced_shards": op10_balanced_shards,
     "op11_filter_audit": op11_filter_audit,
     "op12_near_vectors": op12_near_vectors,
+    "op13_align_tokens": op13_align_tokens,
 }
 
 ORACLE_SQL = {

@@ -85,17 +85,19 @@ class Encoder:
     itself behind a space, or begins with its line end.  Parts repeat, so their ids are kept in the worker process,
     across tasks.  The library encodes each new part; letters are one pretoken and go straight to its BPE model.
     With a tokenizer of another kind (may_be_cut) the library encodes whole texts.
+    plain: the strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         import tokenizers
 
         kept = tokenizers.__dict__.setdefault("_brindle", {})  # this module lives as long as the worker
-        if path not in kept:
+        if (path, plain) not in kept:
             tokenizer = tokenizers.Tokenizer.from_file(path)
-            kept[path] = tokenizer, Parts(None), may_be_cut(tokenizer)
-        self.tokenizer, self.parts, self.in_parts = kept[path]
+            tokenizer.encode_special_tokens = plain
+            kept[path, plain] = tokenizer, Parts(None), may_be_cut(tokenizer)
+        self.tokenizer, self.parts, self.in_parts = kept[path, plain]
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         # byte-level vocabularies write the bytes that aren't visible in Latin-1 as the characters from U+0100 on
