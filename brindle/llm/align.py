@@ -333,7 +333,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each document."""
     chunks = aligned(docs, path_a, path_b, id_col, text_col)
     entries = chunks.filter("place IS NOT NULL").select("chunk", "place", "a", "b")
-    answers = entries.join(pair_counts(chunks).hint("merge"), ["a", "b"]).select("chunk", "place", "count", "best")
+    answers = entries.join(pair_counts(chunks).hint("merge"), ["a", "b"]).select(F.col("chunk").alias("of"), "place", "count", "best")
 
     def run(documents: pa.Table, answers: pa.Table) -> pa.Table:
         place = answers["place"].to_numpy()
@@ -346,7 +346,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
         return pa.table(columns | {"n_best": total(often * best[at]), "count_sum": total(often * count[at])})
 
     documents = chunks.filter("place IS NULL").select("chunk", *NUMBERS, "places", "often")
-    out = documents.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, f"{DOCUMENT}, n_best long, count_sum long")
+    out = documents.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(run, f"{DOCUMENT}, n_best long, count_sum long")
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
