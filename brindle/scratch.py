@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -17,3 +17,11 @@ def folder(spark: SparkSession, name: str) -> str:
         shared = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def free_prefix(*frames: DataFrame) -> str:
+    """A prefix that no column of the frames has."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for df in frames for c in df.columns):
+        prefix += "_"
+    return prefix

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle import streaming as S
 from brindle.functions import cosine, dot, json_int, sample_skewness, word_count
-from brindle.operators.joins import asof_join, asof_join_matches, interval_join, range_join, salted_join
+from brindle.operators.joins import asof_join, asof_join_matches, interval_join, salted_join
 from brindle.operators.windows import over_groups, qualify, sessions, sum_excluding_current, top_k
 from brindle.sources import round_trip, write_bucketed, write_partitioned
 
@@ -51,23 +51,6 @@ def test_asof_join_tolerance(spark):
     assert {x["v"]: x["w"] for x in asof_join(left, right, ["k"], "ts", "ts", ["w"], tolerance="5 minutes").collect()} == {1: 7, 2: None}
 
 
-def test_range_join(spark):
-    rng = random.Random(2)
-    points = [(i, rng.uniform(-50, 50)) for i in range(200)] + [(900, 10.0), (901, None)]
-    ranges = [(i, a, a + rng.uniform(0, 30)) for i, a in enumerate(rng.uniform(-60, 50) for _ in range(60))] + [(99, 10.0, 10.0), (98, None, 5.0), (97, 5.0, 1.0)]
-    p, r = spark.createDataFrame(points, "p int, x double"), spark.createDataFrame(ranges, "r int, low double, high double").filter("low <= high")
-    joined = range_join(p, r, "x", "low", "high", 7.0)
-    expected = sorted((i, j) for i, x in points for j, a, b in ranges if None not in (x, a, b) and a <= x <= b)
-    assert sorted((x["p"], x["r"]) for x in joined.collect()) == expected
-    plain = (F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high"))
-    for how in ("left", "left_semi", "left_anti"):
-        assert sorted(map(str, range_join(p, r, "x", "low", "high", 7.0, how).collect())) == sorted(map(str, p.join(r, plain, how).collect()))
-    for how in ("right", "full"):
-        with pytest.raises(ValueError):
-            range_join(p, r, "x", "low", "high", 7.0, how)
-    assert "NestedLoop" not in joined._jdf.queryExecution().executedPlan().toString()
-
-
 def test_interval_join(spark):
     left, right = events(spark, [("a", 10, 1), (None, 10, 2)]), events(spark, [("a", 5, 1), ("a", 4, 2), ("a", 12, 3), ("b", 10, 4), (None, 10, 5)]).select("k", F.col("ts").alias("t"), F.col("v").alias("w"))
     assert sorted(x["w"] for x in interval_join(left, right, ["k"], "ts", "t", "5 minutes", "2 minutes").collect()) == [1, 3]
@@ -153,17 +136,6 @@ def test_query_vectors_meet_all_rows(spark, sf_dir):
     assert sorted(tuple(x)[::-1] for x in query_blocks(queries, rows, 2).collect()) == [(q, r) for q in range(7) for r in range(5)]
 
 
-def test_no_task_holds_a_whole_key(spark):
-    """As-of rows of one key lie in many groups, also where keys or times are null, and agree with a plain search."""
-    rng = random.Random(12)
-    right = [(None if rng.random() < 0.1 else 1, rng.randrange(500), k) for k in range(400)]
-    left = [(None if rng.random() < 0.1 else 1, rng.randrange(-5, 520), k) for k in range(400)]
-    df = lambda rows, v: spark.createDataFrame(rows, f"k int, t int, {v} int")
-    found = asof_join(df(left, "v"), df(right, "w"), ["k"], "t", "t", ["w"], chunks=16)
-    assert "_chunk" in found._jdf.queryExecution().executedPlan().toString()
-    assert {x["v"]: x["w"] for x in found.collect()} == {v: max(((s, w) for j, s, w in right if j == k and s <= t), default=(0, None))[1] for k, t, v in left}
-
-
 def test_pandas_gets_chunks_of_groups(spark, tmp_path, monkeypatch):
     from brindle.plans import udfs
 
