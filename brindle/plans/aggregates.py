@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from brindle.functions import sample_skewness
+from brindle.functions.sketches import in_all, in_first_only, merged, sketched
+from brindle.operators.scan import quantiles
 from brindle.plans import query, sql
+from brindle.scratch import folder
 from brindle.sources import table
 
 sql("a01_count_sum_avg", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM {orders} GROUP BY o_orderstatus")
@@ -19,8 +22,6 @@ sql("a11_cube", "SELECT p_brand, p_type, count(*) AS n, CAST(grouping_id() AS BI
 sql("a12_having", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) >= 15")
 sql("a13_spread", "SELECT event_type, round(stddev(value), 6) AS sd, round(var_pop(value), 6) AS vp, round(corr(value, user_id), 6) AS c FROM {events} GROUP BY event_type")
 sql("a15_kurtosis", "SELECT round(kurtosis(l_quantity), 6) AS k FROM {lineitem}", "SELECT round(kurtosis_pop(l_quantity), 6) AS k FROM lineitem")
-sql("a16_percentiles", "SELECT event_type, round(median(value), 6) AS m, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY value), 6) AS p90 FROM {events} GROUP BY event_type", "SELECT event_type, round(median(value), 6) AS m, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
-sql("a17_percentile_disc", "SELECT CAST(percentile_disc(0.25) WITHIN GROUP (ORDER BY p_size) AS INT) AS p25 FROM {part}", "SELECT CAST(quantile_disc(p_size, 0.25) AS INT) AS p25 FROM part")
 sql("a19_regression", "SELECT round(covar_samp(l_extendedprice, l_quantity), 4) AS c, round(covar_pop(l_extendedprice, l_quantity), 4) AS cp, round(regr_slope(l_extendedprice, l_quantity), 6) AS s, round(regr_intercept(l_extendedprice, l_quantity), 4) AS i, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2 FROM {lineitem}")
 sql("a20_mode_bool_and_max_by", "SELECT o_orderstatus, bool_and(o_totalprice > 0) AS positive, max_by(o_orderkey, o_totalprice) AS dearest, mode() WITHIN GROUP (ORDER BY o_orderpriority) AS m FROM {orders} GROUP BY o_orderstatus",
     """SELECT o_orderstatus, bool_and(o_totalprice > 0) AS positive, max_by(o_orderkey, o_totalprice) AS dearest,
@@ -35,6 +36,22 @@ sql("a27_unpivot", "SELECT * FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s
 sql("a28_stack", "SELECT r_name, stack(2, 'key', r_regionkey, 'next', r_regionkey + 1) AS (what, v) FROM {region}", "SELECT r_name, 'key' AS what, r_regionkey AS v FROM region UNION ALL SELECT r_name, 'next', r_regionkey + 1 FROM region")
 
 
+@query("a16_percentiles", "SELECT event_type, round(median(value), 6) AS m, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
+def a16_percentiles(spark, sf_dir):
+    """Places of a running count, where Spark's percentile holds a group's distinct values in one task."""
+    found = quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", {"m": 0.5, "p90": 0.9})
+    return found.select("event_type", F.round("m", 6).alias("m"), F.round("p90", 6).alias("p90"))
+
+
+@query("a17_percentile_disc", "SELECT CAST(quantile_disc(p_size, 0.25) AS INT) AS p25 FROM part")
+def a17_percentile_disc(spark, sf_dir):
+    return quantiles(table(spark, sf_dir, "part"), [], "p_size", {"p25": 0.25}, "disc").select(F.col("p25").cast("int").alias("p25"))
+
+
+sql("a16_percentiles_by_spark", "SELECT event_type, round(median(value), 6) AS m, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY value), 6) AS p90 FROM {events} GROUP BY event_type", "SELECT event_type, round(median(value), 6) AS m, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
+sql("a17_percentile_disc_by_spark", "SELECT CAST(percentile_disc(0.25) WITHIN GROUP (ORDER BY p_size) AS INT) AS p25 FROM {part}", "SELECT CAST(quantile_disc(p_size, 0.25) AS INT) AS p25 FROM part")
+
+
 @query("a14_skewness", "SELECT event_type, round(skewness(value), 6) AS s FROM events GROUP BY event_type")
 def a14_skewness(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(sample_skewness(F.col("value")), 6).alias("s"))
@@ -65,3 +82,18 @@ def a25_sketches(spark, sf_dir):
     )
     near = lambda c: F.abs(F.col(c) - F.col("n")) <= 0.05 * F.col("n")
     return found.select(near("hll").alias("hll"), near("theta").alias("theta"), F.col("kll").between(F.col("p")[0], F.col("p")[1]).alias("kll"), (F.col("bitmap") == F.col("lines")).alias("bitmap"))
+
+
+@query("a25_sketches_by_day", """
+WITH u AS (SELECT date_trunc('week', ts) AS week, user_id, bool_or(event_type = 'click') AS click, bool_or(event_type = 'purchase') AS purchase, bool_or(event_type = 'error') AS error, count(value) AS n FROM events GROUP BY ALL)
+SELECT CAST(week AS DATE) AS week, count(*) AS users, count(*) FILTER (WHERE click AND purchase) AS buyers_who_click, count(*) FILTER (WHERE click AND NOT purchase AND NOT error) AS only_click,
+CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY week""")
+def a25_sketches_by_day(spark, sf_dir):
+    """A sketch for each day is stored, and weeks are put together from those.  Below some thousand users a sketch holds all of them, so that
+    the estimates are the counts."""
+    types = ["click", "purchase", "error"]
+    daily = sketched(table(spark, sf_dir, "events"), [F.to_date("ts").alias("day")], "user_id", "value", {t: F.col("event_type") == t for t in types})
+    where = folder(spark, "sketches")
+    daily.write.parquet(where)
+    weeks = merged(spark.read.schema(daily.schema).parquet(where), [F.date_trunc("week", "day").cast("date").alias("week")], types)
+    return weeks.select("week", F.hll_sketch_estimate("items_hll").alias("users"), in_all("click", "purchase").alias("buyers_who_click"), in_first_only("click", "purchase", "error").alias("only_click"), F.kll_sketch_get_n_double("values_kll").alias("n"))

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from brindle.operators.windows import over_groups, sessions, sum_excluding_current, top_k
+from brindle.operators.scan import running
+from brindle.operators.windows import excluding, over_groups, sessions, sum_excluding_current, top_k
 from brindle.plans import query, sql
 from brindle.sources import table
 
@@ -32,6 +33,38 @@ def w11_exclude_current_row(spark, sf_dir):
     return out.select("event_id", F.round("s", 6).alias("s"))
 
 
+def excluded(name: str, kind: str, frame: str, exclude: str) -> None:
+    """Quantities by supplier in the order of shipping dates, where several lines share a date."""
+    key = ", l_orderkey, l_linenumber, l_partkey, l_extendedprice" if frame == "rows" and exclude == "current row" else ""
+    text = f"SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, {kind}(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate{key} {frame.upper()} BETWEEN 2 PRECEDING AND 3 FOLLOWING EXCLUDE {exclude.upper()}) AS x FROM lineitem"
+
+    @query(name, text)
+    def run(spark, sf_dir):
+        order = ["l_shipdate", *key.split(", ")[1:]]
+        return excluding(table(spark, sf_dir, "lineitem"), ["l_suppkey"], order, kind, F.col("l_quantity"), 2, 3, exclude, "x", frame).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "x")
+
+
+excluded("w11_exclude_group_max", "max", "groups", "group")
+excluded("w11_exclude_ties_min", "min", "groups", "ties")
+excluded("w11_exclude_current_row_max", "max", "rows", "current row")
+excluded("w11_exclude_no_others_count", "count", "groups", "no others")
+
+
+@query("w11_exclude_rows_group", "SELECT event_id, max(value) OVER w AS x, min(value) OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts), event_id ROWS BETWEEN 4 PRECEDING AND 2 FOLLOWING EXCLUDE TIES) AS y FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND 2 FOLLOWING EXCLUDE GROUP)")
+def w11_exclude_rows_group(spark, sf_dir):
+    out = excluding(table(spark, sf_dir, "events"), ["user_id"], ["ts"], "max", F.col("value"), 4, 2, "group", "x")
+    out = out.withColumn("day", F.date_trunc("day", "ts"))
+    return excluding(out, ["user_id"], ["day", "event_id"], "min", F.col("value"), 4, 2, "ties", "y").select("event_id", "x", "y")
+
+
+@query("w14_running_aggregates", "SELECT event_id, round(sum(value) OVER w, 4) AS total, count(*) OVER w AS n, max(value) OVER w AS top, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER w AS click FROM events WINDOW w AS (PARTITION BY event_type = 'view' ORDER BY ts, event_id)")
+def w14_running_aggregates(spark, sf_dir):
+    """Two keys hold all events: each is dealt into chunks of time."""
+    events = table(spark, sf_dir, "events").withColumn("view", F.col("event_type") == "view")
+    aggregates = {"total": ("sum", F.col("value")), "n": ("count", F.lit(1)), "top": ("max", F.col("value")), "click": ("last", F.when(F.col("event_type") == "click", F.col("event_id")))}
+    return running(events, ["view"], ["ts", "event_id"], aggregates).select("event_id", F.round("total", 4).alias("total"), "n", "top", "click")
+
+
 @query("o04_top_k_per_group", "SELECT c_nationkey, c_custkey, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) t WHERE rank <= 3")
 def o04_top_k_per_group(spark, sf_dir):
     return top_k(table(spark, sf_dir, "customer"), ["c_nationkey"], [F.desc("c_acctbal"), F.col("c_custkey")], 3).select("c_nationkey", "c_custkey", "rank")
