@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from brindle.plans import query, sql
-from brindle.sources import FORMATS, round_trip, table, text_round_trip, write_bucketed, write_partitioned
+from brindle.scratch import folder
+from brindle.sources import FORMATS, parts, round_trip, table, text_round_trip, write_bucketed, write_partitioned
 from brindle.sources.sequence import register
+from brindle.streaming import arriving, events
 
 sql("s01_parquet_scan", "SELECT l_orderkey, l_quantity FROM {lineitem} WHERE l_quantity > 49")
 sql("s04_inline_rows", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) AS t(a, b)")
@@ -33,6 +35,35 @@ def s06_python_source(spark, sf_dir):
     return spark.read.format("sequence").option("count", 1000).option("step", 7).load()
 
 
+@query("s06_python_sink", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+def s06_python_sink(spark, sf_dir):
+    """Written by one Python source and read by it again."""
+    parts.register(spark)
+    orders, where = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"), folder(spark, "parts")
+    orders.write.format("brindle_parts").mode("append").save(where)
+    return spark.read.format("brindle_parts").schema(orders.schema).load(where)
+
+
+@query("s06_python_stream_sink", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
+def s06_python_stream_sink(spark, sf_dir):
+    """A stream from the Python feed to the Python sink, whose batches count once each."""
+    parts.register(spark)
+    stream, where = arriving(events(spark, sf_dir), "ts").select("event_type", "value"), folder(spark, "parts")
+    query = stream.writeStream.format("brindle_parts").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").start()
+    query.processAllAvailable()
+    query.stop()
+    out = spark.read.format("brindle_parts").schema(stream.schema).load(f"{where}/out")
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("s08_dynamic_pruning", "SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 GROUP BY n_name")
+def s08_dynamic_pruning(spark, sf_dir):
+    """A table in folders by nation; which folders are read is known when the nations have been filtered."""
+    customers = write_partitioned(table(spark, sf_dir, "customer").select("c_acctbal", "c_nationkey"), ["c_nationkey"])
+    nations = table(spark, sf_dir, "nation").filter("n_regionkey = 2").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return customers.join(nations, "c_nationkey").groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
 @query("s08_partitioned_write", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority")
 def s08_partitioned_write(spark, sf_dir):
     """The filter on the partition column reads one folder only."""

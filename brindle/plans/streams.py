@@ -1,5 +1,7 @@
 """Streams, each run over all events in several micro-batches."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from brindle import streaming as S
@@ -12,8 +14,20 @@ def ntz(c: str) -> F.Column:
     return F.col(c).cast("timestamp_ntz")
 
 
-def all_events(spark, sf_dir):
-    return S.arriving(S.events(spark, sf_dir), "ts")
+def all_events(spark, sf_dir, checkpoint=None):
+    return S.arriving(S.events(spark, sf_dir), "ts", "event_id", checkpoint=checkpoint)
+
+
+@contextmanager
+def rocksdb(spark):
+    """The state store that named state needs."""
+    key, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, own)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 @query("s09_file_stream", "SELECT event_id, event_type FROM events")
@@ -68,13 +82,8 @@ def t08_state(spark, sf_dir):
 
 @query("t09_named_state", TOTALS)
 def t09_named_state(spark, sf_dir):
-    key, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(key)
-    spark.conf.set(key, own)
-    try:
+    with rocksdb(spark):
         out = S.finish(S.running_totals_named(all_events(spark, sf_dir)), "update")
-    finally:
-        spark.conf.set(key, before)
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
 
 
@@ -94,3 +103,41 @@ def t10_late_events(spark, sf_dir):
 @query("t11_stream_static_join", "SELECT c_mktsegment, count(*) AS n FROM events JOIN customer ON user_id = c_custkey GROUP BY c_mktsegment")
 def t11_stream_static_join(spark, sf_dir):
     return S.finish(S.with_static(all_events(spark, sf_dir), table(spark, sf_dir, "customer")), "complete")
+
+
+@query("t12_stopped_and_resumed", """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n FROM events GROUP BY ALL
+HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)""")
+def t12_stopped_and_resumed(spark, sf_dir):
+    """T2 broken off twice, between the writing of a batch and its end, and started again from its checkpoint: no row is lost or doubled."""
+    rows = S.events(spark, sf_dir)
+    where = S.folder(spark, "arriving")
+    rows.repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(where)
+    out = S.in_runs(spark, lambda checkpoint: S.tumbling(S.replayed(spark, where, rows.schema, 6, checkpoint), "1 hour"), "append", broken=(1, 3))
+    return out.select(ntz("window.start").alias("started"), "event_type", "n")
+
+
+@query("t13_closed_sessions", """
+WITH m AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM m),
+g AS (SELECT user_id, session, min(ts) AS started, max(ts) AS ended, count(*) AS n, lead(min(ts)) OVER (PARTITION BY user_id ORDER BY session) AS next FROM s GROUP BY user_id, session)
+SELECT user_id, started, ended, n FROM g WHERE next IS NOT NULL OR date_trunc('millisecond', ended) + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)""")
+def t13_closed_sessions(spark, sf_dir):
+    """Own state with event-time timers: what is still open at the end isn't given out."""
+    with rocksdb(spark):
+        out = S.finish(S.closed_sessions(all_events(spark, sf_dir), 6 * 3_600_000), "append")
+    return out.select("user_id", ntz("started").alias("started"), ntz("ended").alias("ended"), "n")
+
+
+@query("t10_disordered_events", """
+WITH a AS (SELECT *, row_number() OVER (ORDER BY ts + CASE WHEN event_id % 5 = 0 THEN INTERVAL 5 DAY ELSE INTERVAL 0 DAY END, event_id) - 1 AS i, count(*) OVER () AS total FROM events),
+b AS (SELECT *, i // ((total + 9) // 10) AS batch FROM a),
+w AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS seen FROM b GROUP BY batch)
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, count(*) AS n FROM b JOIN w USING (batch)
+WHERE seen IS NULL OR time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR > date_trunc('millisecond', seen) - INTERVAL 1 DAY GROUP BY 1""")
+def t10_disordered_events(spark, sf_dir):
+    """A fifth of the events arrives five days late, when the watermark has closed most of their windows.  It stands a day behind the
+    latest event of the batches before the last one."""
+    stream = S.disordered(S.events(spark, sf_dir), "ts", F.expr("CASE WHEN event_id % 5 = 0 THEN INTERVAL '5' DAY ELSE INTERVAL '0' DAY END"), "event_id")
+    counts = stream.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
+    return S.finish(counts, "update").groupBy(ntz("window.start").alias("started")).agg(F.max("n").alias("n"))

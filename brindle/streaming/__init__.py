@@ -1,48 +1,96 @@
-"""Streams over files: windows, deduplication, joins and state, run until all files are read.
+"""Streams over tables: windows, deduplication, joins, state and timers, run until all rows are read.
 
 Results go to Parquet through foreachBatch: appended rows as they come, complete results batch over batch.  Nothing passes
-through the driver, and a restarted batch overwrites what it wrote before.
+through the driver, and a batch that is run again overwrites what it wrote before, so that a stream that is stopped and
+started again has each batch once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brindle.scratch import folder
+from brindle.sources import feed
 
+#: Rows that a task of a stream reads at most.
+TASK_ROWS = 1 << 17
 
-def arriving(df: DataFrame, time: str, files: int = 4, per_batch: int = 1) -> DataFrame:
-    """A stream of df's rows in the order of time, from `files` files, `per_batch` of them in each micro-batch; rows
-    without a time come first.  A feed for tests and examples: one task writes each file.
 
-    time must be a timestamp with a zone; watermarks take no other.
-    """
-    spark, where = df.sparkSession, folder(df.sparkSession, "arriving")
-    low, high = df.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
-    for k in range(files):  # one after the other: a file source goes by the files' age
-        edge = [low + (high + 1 - low) * i // files for i in (k, k + 1)] if low is not None else [0, 0]
-        own = (F.unix_micros(time) >= edge[0]) & (F.unix_micros(time) < edge[1])
-        part = df.filter(own | F.col(time).isNull() if k == 0 else own)
-        part.coalesce(1).write.mode("append").parquet(where)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(where)
-
-
-def finish(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream until all that is there is read; its rows (append, update) or its last result (complete)."""
-    spark, where = stream.sparkSession, folder(stream.sparkSession, "stream")
+def arriving(df: DataFrame, *order: str, batches: int = 4, checkpoint: str | None = None) -> DataFrame:
+    """A stream of df's rows in an order, usually of time, in about `batches` micro-batches; nulls come first.
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/rows/batch={0 if mode == 'complete' else number}")
-
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{where}/rows").drop("batch")
+    The rows are sorted by many tasks, and each batch is read by many tasks (brindle.sources.feed); no task has more than a
+    part of the range or TASK_ROWS rows.  checkpoint: the stream's checkpoint folder, if it is to go on where it was stopped.
+    For watermarks, times must be timestamps with a zone.
+    """
+    spark = df.sparkSession
+    where = folder(spark, "arriving")
+    by = [F.col(c).asc_nulls_first() for c in order]
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(where)
+    return replayed(spark, where, df.schema, batches, checkpoint)
+
+
+def replayed(spark: SparkSession, where: str, schema, batches: int, checkpoint: str | None = None) -> DataFrame:
+    """The rows of a folder of Parquet files, in the order of files and rows."""
+    feed.register(spark)
+    rows = spark.read.schema(schema).parquet(where).count()
+    stream = spark.readStream.format("brindle_feed").schema(schema).option("rowsPerBatch", max(1, -(-rows // batches))).option("rowsPerTask", TASK_ROWS)
+    return (stream.option("checkpoint", checkpoint) if checkpoint else stream).load(where)
+
+
+def finish(stream: DataFrame, mode: str, timed: bool = False) -> DataFrame:
+    """Runs the stream until all that is there is read; its rows (append, update) or its last result (complete).  timed: it has
+    processing time."""
+    return in_runs(stream.sparkSession, lambda _: stream, mode, timed=timed)
+
+
+def read_all(query: StreamingQuery, timed: bool) -> None:
+    """Waits until all rows are read.  A stream with processing time always has a next batch, since its timers may expire; it is done
+    when a batch had no rows after others had some."""
+    while timed and query.isActive and query.exception() is None:
+        rows = [p["numInputRows"] for p in query.recentProgress]
+        if any(rows) and not rows[-1]:
+            return
+        time.sleep(0.05)
+    query.processAllAvailable()
+
+
+def in_runs(spark: SparkSession, make: Callable[[str], DataFrame], mode: str, broken: tuple[int, ...] = (), progress: list | None = None, timed: bool = False) -> DataFrame:
+    """The result of a stream that breaks off in each of the batches `broken`, after it has written its rows and before the batch
+    is known to be done, and is started again from its checkpoint each time.  make gets the checkpoint's path and gives the
+    stream.  progress: a list that gets what the runs report of their batches.
+    """
+    where = folder(spark, "stream")
+    checkpoint, schema = f"{where}/checkpoint", None
+    for k in [*broken, None]:
+        stream = make(checkpoint)
+        schema = stream.schema
+
+        def write(batch: DataFrame, number: int, k: int | None = k) -> None:
+            batch.write.mode("overwrite").parquet(f"{where}/rows/batch={0 if mode == 'complete' else number}")
+            if number == k:
+                raise InterruptedError(f"broken off in batch {k}")
+
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).start()
+        try:
+            read_all(query, timed)
+        except StreamingQueryException as e:
+            if "broken off in batch" not in str(e):
+                raise
+        finally:
+            if progress is not None:
+                progress += query.recentProgress
+            query.stop()
+    return spark.read.schema(schema).parquet(f"{where}/rows").drop("batch")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +142,13 @@ def running_totals(stream: DataFrame) -> DataFrame:
 
 
 class Totals(StatefulProcessor):
-    """The same with a named state variable."""
+    """The same with a named state variable; with ttl_ms, one that is forgotten when it isn't written for so long."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("totals", "n long, total double")
+        self.state = handle.getValueState("totals", "n long, total double", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n, total = self.state.get() if self.state.exists() else (0, 0.0)
@@ -110,6 +161,66 @@ class Totals(StatefulProcessor):
         pass
 
 
-def running_totals_named(stream: DataFrame) -> DataFrame:
+def running_totals_named(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Needs the RocksDB state store."""
-    return stream.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Totals(), outputStructType="user_id long, n long, total double", outputMode="Update", timeMode="None")
+    mode = "ProcessingTime" if ttl_ms else "None"
+    return stream.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Totals(ttl_ms), outputStructType="user_id long, n long, total double", outputMode="Update", timeMode=mode)
+
+
+class Inactivity(StatefulProcessor):
+    """A key's sessions, each given out when it is closed: by a later event of the key, or by a timer when the watermark has passed
+    its last event by the gap.  The state is the open session; times are microseconds."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", "started long, ended long, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        times = np.sort(np.concatenate([pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) for pdf in rows]))
+        edges = np.flatnonzero(np.diff(times) >= self.gap_ms * 1000) + 1
+        found = [(int(x[0]), int(x[-1]), len(x)) for x in np.split(times, edges)]
+        if self.state.exists():
+            found.append(tuple(map(int, self.state.get())))
+        merged: list[tuple[int, int, int]] = []
+        for started, ended, n in sorted(found):
+            if merged and started - merged[-1][1] < self.gap_ms * 1000:
+                last = merged.pop()
+                started, ended, n = last[0], max(last[1], ended), last[2] + n
+            merged.append((started, ended, n))
+        *closed, now = merged
+        self.state.update(now)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(now[1] // 1000 + self.gap_ms)
+        if closed:
+            yield self.rows_of(key, closed, "event")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            now = tuple(map(int, self.state.get()))
+            self.state.clear()
+            yield self.rows_of(key, [now], "timer")
+
+    @staticmethod
+    def rows_of(key, sessions: list[tuple[int, int, int]], by: str) -> pd.DataFrame:
+        started, ended, n = zip(*sessions)
+        times = lambda x: pd.to_datetime(np.array(x), unit="us", utc=True)
+        return pd.DataFrame({"user_id": [key[0]] * len(n), "started": times(started), "ended": times(ended), "n": n, "closed_by": by})
+
+    def close(self) -> None:
+        pass
+
+
+def closed_sessions(stream: DataFrame, gap_ms: int, late: str = "1 day") -> DataFrame:
+    """Sessions of each user as they are closed.  Needs the RocksDB state store."""
+    return stream.select("user_id", "ts").withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=Inactivity(gap_ms), outputStructType="user_id long, started timestamp, ended timestamp, n long, closed_by string", outputMode="Append", timeMode="EventTime"
+    )
+
+
+def disordered(df: DataFrame, at: str, delay: Column, *then: str, batches: int = 10) -> DataFrame:
+    """A stream of df's rows in the order in which they arrive, `delay` behind their time."""
+    return arriving(df.withColumn("_arrival", F.col(at) + delay), "_arrival", *then, batches=batches).drop("_arrival")
