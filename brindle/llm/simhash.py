@@ -16,9 +16,12 @@
 
 The pipeline's stage (one_of_each) links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.  Its
 buckets are BANDS bands of ROWS smallest hashes of the sets each, in which a pair at 0.8 meets but for one in 14,000.  In a
-bucket, the bit-sliced comparison of fingerprints of the sets, within a wide radius, leaves few of the strangers, and the
-sets of what it leaves are compared exactly, after their parities: no pair below 0.8 is linked.  Pairs aren't written down; a
-bucket gives a forest of links.
+bucket, the bit-sliced comparison of fingerprints of the sets, within a wide radius, leaves few of the strangers (sets of at most
+SMALL shingles, whose fingerprints tell less, are all compared), and parities of the sets rule out most of those.  What goes into buckets is
+a few hundred bytes a text, whatever its length.  The rest is found in rounds: each text asks, in each of its buckets, for its first
+candidates of other components (with smaller numbers, `most` of them, four times as many in each round).  The sets of what is asked
+for are made from the texts again and compared exactly, so that no pair below 0.8 is linked; links join components, refusals are
+remembered, and the rounds end when nobody has a candidate.  So no bucket writes down its pairs, and sets travel only for comparisons.
 
 Null texts count as empty; texts without words have fingerprint 0 and are linked like any other.  Null doc_ids keep
 their rows; they never become a component_id unless the component has no other.  Repeated rows stay repeated.
@@ -27,14 +30,14 @@ their rows; they never become a component_id unless the component has no other.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, components, cut, slices, table, texts, words
+from .common import column, components, cut, slices, table, texts, words, written
 
 SEED = 42
 #: Parts of a component, when its rows are joined with what holds for all of it.
@@ -43,10 +46,12 @@ SALTS = 16
 WIDE = 20
 #: 1 - (1 - 0.8 ** ROWS) ** BANDS is 0.99993.
 BANDS, ROWS = 24, 5
-#: Shingles of all sets in a part of a bucket.
-CELL_SHINGLES = 1 << 19
+#: Sets of at most so many shingles are compared whatever their fingerprints.
+SMALL = 20
 #: Parities of a shingle set; two sets differ in as many shingles at least as in parities.
-BITS = 2048
+BITS = 1024
+#: Rows of keys that are broadcast at most (24 bytes each); more are joined by merge.
+FEW = 4_000_000
 
 
 def votes_of(hashes: np.ndarray) -> np.ndarray:
@@ -299,26 +304,27 @@ def bands_of(own: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """A row (id, text_hash, node, n, fp, bands) for each document: node is a hash of its shingle set, n the set's size, fp its
-    fingerprint, bands its keys."""
+    """A row (id, text_hash, node, n, fp, par, bands) for each document: node is a hash of its shingle set, n the set's size, fp its
+    fingerprint, par its parities, bands its keys."""
     first = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in slices(batches):
-            nodes, sizes, fps, keys = [], [], [], []
+            nodes, sizes, fps, keys, pars = [], [], [], [], []
             for x in texts(column(batch, "text")):
                 own = shingle_set(x, shingle)
                 nodes.append(xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(len(own))
                 fps.append(majority(votes_of(own), len(own)))
                 keys.append(bands_of(own, first))
+                pars.append(parities(own).tobytes())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
             node, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), node, pa.array(np.array(sizes, np.int64)), fp, lists], ["id", "text_hash", "node", "n", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), node, pa.array(np.array(sizes, np.int64)), fp, pa.array(pars, pa.binary()), lists], ["id", "text_hash", "node", "n", "fp", "par", "bands"])
 
-    return docs.mapInArrow(run, "id long, text_hash long, node long, n long, fp long, bands array<long>")
+    return docs.mapInArrow(run, "id long, text_hash long, node long, n long, fp long, par binary, bands array<long>")
 
 
 def parities(own: np.ndarray) -> np.ndarray:
@@ -330,127 +336,203 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
-def cell_links(node: np.ndarray, n: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> list[tuple[int, int]]:
-    """Links that join all of a cell's nodes whose sets have the similarity, as a forest and not as pairs; rows in the order of size."""
-    group = np.arange(len(node))
-    bits, out = np.stack([parities(x) for x in sets]), []
-    for i, j in near_lanes(np.zeros(len(node), np.int64), fp.view(np.uint64), radius):
-        may = (group[i] != group[j]) & (n[i] >= similarity * n[j] - 1e-9)
+def first_asked(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (a, b), the `most` smallest b of each a."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b = a[new], b[new]
+    begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+    place = np.arange(len(a)) - np.repeat(begin, np.diff(np.append(begin, len(a))))
+    return a[place < most], b[place < most]
+
+
+def cell_asks(cell: dict[str, np.ndarray], refused: list[list[int]], across: bool, similarity: float, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of a cell's nodes, which lie in their order: a asks for b, the smaller one."""
+    node, n, fp, par, component, own = (cell[c] for c in ("node", "n", "fp", "par", "component", "own"))
+    size, small = len(node), np.flatnonzero(n <= SMALL)
+    no = [(k, x) for k, own_no in enumerate(refused) for x in own_no]
+    if no:
+        a, b = np.array(no, np.int64).T
+        at = np.minimum(np.searchsorted(node, b), size - 1)
+        no = np.sort((a * size + at)[node[at] == b])
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    near = near_lanes(np.zeros(size, np.int64), fp.view(np.uint64), radius)
+    few = ((small[i], small[j]) for i, j in near_lanes(np.zeros(len(small), np.int64), fp[small].view(np.uint64), 64))
+    todo, waiting = [], 0
+
+    def reduced() -> tuple[np.ndarray, np.ndarray]:
+        return first_asked(*(np.concatenate(x) for x in zip(held, *todo)), most)
+
+    for i, j in chain(near, few):
+        may = component[i] != component[j]
+        if across:
+            may &= own[i] != own[j]
         i, j = i[may], j[may]
+        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        may = low >= similarity * high - 1e-9
+        i, j, both = i[may], j[may], (low + high)[may]
         # sets differ in as many members at least as in parities
-        may = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) * (1 + similarity) <= (1 - similarity) * (n[i] + n[j]) + 1e-6
-        for a, b in zip(i[may].tolist(), j[may].tolist()):
-            if group[a] != group[b] and alike(sets[a], sets[b], similarity):
-                group[group == group[b]] = group[a]
-                out.append((int(node[a]), int(node[b])))
-    return out
+        may = np.bitwise_count(par[i] ^ par[j]).sum(axis=1, dtype=np.int64) * (1 + similarity) <= (1 - similarity) * both + 1e-6
+        a, b = np.maximum(i, j)[may], np.minimum(i, j)[may]
+        if len(no) and len(a):
+            key = a * size + b
+            new = no[np.minimum(np.searchsorted(no, key), len(no) - 1)] != key
+            a, b = a[new], b[new]
+        if len(a):
+            todo.append((a, b))
+            waiting += len(a)
+            if waiting > 1 << 20:
+                held, todo, waiting = reduced(), [], 0
+    return reduced()
 
 
 def buckets(members: DataFrame, cell: int) -> DataFrame:
-    """(key, parts) of buckets with the rows (key, node, n); of buckets with the same nodes, which near copies have in many bands, one
-    is enough.  What tells them apart are two hashes of 64 bits, which partial aggregations combine.
-
-    Buckets of more than `cell` nodes, or of large sets, have several parts.
+    """(key, parts) of buckets with the rows (key, node); of buckets with the same nodes, which near copies have in many bands, one
+    is enough.  What tells them apart are two hashes of 64 bits, which partial aggregations combine.  Buckets of more than `cell`
+    nodes have several parts.
     """
     same = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"same{k}") for k in (0, 1)]
-    each = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("all"), *same)
-    one = each.groupBy("size", "all", "same0", "same1").agg(F.min("key").alias("key"))
-    parts = F.greatest(F.ceil(F.col("size") / F.lit(cell)), F.ceil(F.col("all") / F.lit(CELL_SHINGLES)))
-    return one.select("key", parts.cast("int").alias("parts"))
+    each = members.groupBy("key").agg(F.count("*").alias("size"), *same)
+    one = each.groupBy("size", "same0", "same1").agg(F.min("key").alias("key"))
+    return one.select("key", F.ceil(F.col("size") / F.lit(cell)).cast("int").alias("parts"))
 
 
-def set_links(members: DataFrame, sets: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """Links (a, b) between nodes of the buckets, rows (key, parts, node, n, fp): their sets (node, own) go with them and are compared
-    in the bucket, so that no pair need be written down.
+def cells_of(members: DataFrame, cell: int) -> DataFrame:
+    """(key, i, j, own, node): buckets are dealt into their parts, and every pair of parts is a cell of its own."""
+    dealt = members.join(buckets(members, cell).hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return other.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
 
-    Buckets are dealt into their parts, and every pair of parts is a cell of its own.
-    """
-    cells = (
-        members.withColumn("own_part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("own_part", "other").alias("i"), F.greatest("own_part", "other").alias("j"), "n", "node", "fp")
-        .join(sets.hint("merge"), "node")
-    )
-    order = ["key", "i", "j", "n", "node"]
-    names = [*order, "fp"]
+
+def asks(cells: DataFrame, state: DataFrame, similarity: float, radius: int, most: int) -> DataFrame:
+    """(key, i, j, a, b): in which cell node a asks for node b.  state: (node, n, fp, par, component, refused)."""
+    place, numbers = ["key", "i", "j"], ["own", "node", "n", "fp", "component"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, list[bytes]]] = []  # rows of the cell that isn't complete
+        held: list[pa.RecordBatch] = []  # rows of the cell that isn't complete
+
+        def done() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            cell = {c: rows[c].to_numpy().astype(np.int64) for c in numbers}
+            cell["par"] = np.frombuffer(b"".join(rows["par"].to_pylist()), np.uint8).reshape(len(rows), -1)
+            where = [rows[c][0].as_py() for c in place]
+            a, b = cell_asks(cell, [x or [] for x in rows["refused"].to_pylist()], where[1] != where[2], similarity, radius, most) if len(rows) > 1 else (np.zeros(0, np.int64),) * 2
+            same = [pa.array([x] * len(a), kind) for x, kind in zip(where, (pa.int64(), pa.int32(), pa.int32()))]
+            return pa.RecordBatch.from_arrays([*same, pa.array(cell["node"][a]), pa.array(cell["node"][b])], [*place, "a", "b"])
+
+        for batch in slices(batches, 4096):
+            at = np.stack([column(batch, c).to_numpy().astype(np.int64) for c in place])
+            edges = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+            for x, y in zip([0, *edges], [*edges, batch.num_rows]):
+                part = batch.slice(x, y - x)
+                if held and any(column(held[0], c)[0].as_py() != column(part, c)[0].as_py() for c in place):
+                    yield done()
+                held.append(part)
+        if held:
+            yield done()
 
-        def done() -> list[tuple[int, int]]:
-            rows, own = np.concatenate([x for x, _ in held], axis=1), [np.frombuffer(y, np.uint64) for _, x in held for y in x]
-            n, node, fp = rows[3:]
-            return cell_links(node, n, np.ascontiguousarray(fp), own, similarity, radius) if len(node) > 1 else []
+    rows = cells.join(state.hint("merge"), "node").select(*place, *numbers, "par", "refused")
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *place).sortWithinPartitions(*place, "node").mapInArrow(run, "key long, i int, j int, a long, b long")
 
-        def batch_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        for batch in slices(batches):
-            rows = np.stack([column(batch, c).to_numpy().astype(np.int64) for c in names])
-            own = column(batch, "own").to_pylist()
-            edges = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
-            out = []
-            for a, b in zip([0, *edges], [*edges, rows.shape[1]]):
-                part = rows[:, a:b]
-                if held and (held[0][0][:3, 0] != part[:3, 0]).any():
-                    out += done()
-                    held.clear()
-                held.append((part, own[a:b]))
-            yield batch_of(out)
-        if held:
-            yield batch_of(done())
-
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells.repartition(parts, "key", "i", "j").sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def small(df: DataFrame, n: int) -> DataFrame:
+    """df, to be broadcast if it has few rows, and else joined by merge."""
+    return F.broadcast(df) if n <= FEW else df.hint("merge")
 
 
-def sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, own) with the set of each node that is wanted, made from its text again."""
+def sets_of(wanted: DataFrame, n: int, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, own) with the set of each of the n nodes that are wanted, made from its text again."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array([shingle_set(x, shingle).tobytes() for x in texts(column(batch, "text"))], pa.binary())], ["node", "own"])
 
-    one = wanted.select("node").distinct().join(nodes.select("node", "text_hash", "some"), "node")
-    found = docs.select(F.coalesce("id", F.lit(0).cast("long")).alias("some"), "text_hash", "text").join(one, ["some", "text_hash"])
-    found = found.dropDuplicates(["some", "text_hash"])  # repeated rows; in the partitions of the join
-    return found.select("node", "text").mapInArrow(run, "node long, own binary")
+    one = nodes.select("node", "text_hash", "some").join(small(wanted, n), "node")
+    found = docs.select(F.coalesce("id", F.lit(0).cast("long")).alias("some"), "text_hash", "text").join(small(one, n), ["some", "text_hash"])
+    return found.dropDuplicates(["some", "text_hash"]).select("node", "text").mapInArrow(run, "node long, own binary")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE, cell: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compared(pairs: DataFrame, n: int, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The n pairs (a, b) with whether their sets have the similarity.  An often asked b is a hot key of the second join, which
+    adaptive execution splits."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = written(sets_of(wanted, 2 * n, docs, nodes, shingle), "sets")
+    first = small(pairs, n).join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = zip(*([np.frombuffer(v.as_buffer(), np.uint64) for v in column(batch, c)] for c in "xy"))
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array([alike(x, y, similarity) for x, y in sets], pa.bool_())], ["a", "b", "same"])
+
+    return both.mapInArrow(run, "a long, b long, same boolean")
+
+
+def set_links(cells: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """(node, root): components of the nodes of the cells whose sets have the similarity."""
+    spark, sketch = cells.sparkSession, nodes.select("node", "n", "fp", "par")
+    found, results, most = spark.createDataFrame([], "node long, root long"), None, 1
+    while True:
+        refused = results.filter("NOT same").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused")) if results is not None else None
+        state = sketch.join(found.withColumnRenamed("root", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        state = state.join(refused, "node", "left") if refused is not None else state.withColumn("refused", F.lit(None).cast("array<long>"))
+        asked = written(asks(cells, state, similarity, radius, most), "asks")
+        pairs = written(asked.select("a", "b").distinct(), "pairs")
+        n = pairs.count()
+        if not n:
+            return found
+        now = written(compared(pairs, n, docs, nodes, shingle, similarity), "compared")
+        results = now if results is None else results.unionByName(now)
+        if not now.filter("same").isEmpty():
+            found = written(components(results.filter("same").select("a", "b")), "roots")
+        # a cell in which nobody asked has no candidates, and will have none
+        active = asked.select("key", "i", "j").distinct()
+        cells = written(cells.join(active.hint("merge"), ["key", "i", "j"], "left_semi"), "cells")
+        most *= 4
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE, cell: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row (id, text_hash, component, component_id) for each document; components are joined by pairs of texts whose sets of
     shingles have a Jaccard similarity of at least `similarity`, and by no others.
 
     Bands and the fingerprints' radius are wide enough that a pair is unlikely to be missed (BANDS, WIDE).
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    rows = cut(sketches(docs, shingle))
+    rows = written(sketches(docs, shingle), "sketches")
     some = F.min(F.struct("text_hash", F.coalesce("id", F.lit(0).cast("long")).alias("some"))).alias("_text")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), some, *(F.first(x).alias(x) for x in ("n", "fp", "bands")))
-    nodes = cut(nodes.select("node", "first", "_text.*", "n", "fp", "bands"))
-    keyed = nodes.select("node", "n", "fp", F.explode("bands").alias("key"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), some, *(F.first(x).alias(x) for x in ("n", "fp", "par", "bands")))
+    nodes = written(nodes.select("node", "first", "_text.*", "n", "fp", "par", "bands"), "nodes")
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    members = cut(keyed.join(shared.hint("merge"), "key", "left_semi"))
-    members = cut(members.join(buckets(members, cell).hint("merge"), "key"))
-    nodes = nodes.drop("bands")
-    sets = cut(sets_of(members, docs, nodes, shingle))
-    found = cut(components(cut(set_links(members, sets, similarity, radius))))
+    members = written(keyed.join(shared.hint("merge"), "key", "left_semi"), "members")
+    cells = written(cells_of(members, cell), "cells")
+    found = set_links(cells, nodes.drop("bands"), docs, shingle, similarity, radius)
     return rows.select("id", "text_hash", "node").join(by_component(found, nodes), "node").select("id", "text_hash", "component", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near-duplicates: of each component of similar_documents() the one with the smallest doc_id; of
-    several with that, by hashes of the text and of the row."""
+    several with that, by hashes of the text and of the row.
+
+    Only the keys of documents that go, or of which one of several rows stays, are joined with the documents.
+    """
     key = ["id", "nameless", "text_hash"]
     ident = [F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.isnull("id").alias("nameless"), F.col("text_hash")]
-    found = similar_documents(docs, shingle, similarity).filter(F.col("id").eqNullSafe(F.col("component_id")))
-    chosen = found.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("of")).select("of.*").select(*ident)
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"))
-    # join and window have the same keys, none null, so that the documents are shuffled once
-    kept = whole.select("doc", *ident).join(chosen.hint("merge"), key, "left_semi")
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("doc")))
-    return kept.withColumn("place", first).filter("place = 1").select("doc.*")
+    found = written(similar_documents(docs, shingle, similarity), "similar")
+    chosen = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("of")).select("of.*").select(*ident, F.lit(True).alias("stays"))
+    odd = found.select(*ident).groupBy(*key).agg(F.count("*").alias("n")).join(chosen.hint("merge"), key, "left").filter("stays IS NULL OR n > 1")
+    odd = written(odd.select(*key, F.coalesce("stays", F.lit(False)).alias("stays")), "verdicts")
+    n, several = odd.agg(F.count("*"), F.coalesce(F.max("stays"), F.lit(False))).first()
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash")).select("doc", *ident)
+    kept = whole.join(small(odd.select(*key), n), key, "left_anti").select("doc.*")
+    if several:  # one row of each key, without a task that has all of them
+        rows = whole.join(small(odd.filter("stays").select(*key), n), key).groupBy(*key).agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+        kept = kept.unionAll(rows.select("doc.*"))
+    return kept
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
