@@ -87,6 +87,14 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def identifier(df: DataFrame, name: str) -> Column:
+    """A column of identifiers as long; other types than whole numbers are refused."""
+    kind = df.schema[name].dataType
+    if kind.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"identifiers must be whole numbers, and {name} is {kind.simpleString()}: number the rows first, and join the names to the result")
+    return F.col(name).cast("long")
+
+
 def free_prefix(df: DataFrame) -> str:
     """A prefix that no column of df has."""
     prefix = "_"

@@ -14,12 +14,21 @@ archive with several is first walked (where) without being parsed, to learn at w
 begins at the furthest such end of those before it.  What lies inside a member never begins a record, and every record is
 read once, whatever the ranges.  Each pass reads a range's bytes once, and what its last member has beyond it.
 
+Archives of other writers.  A record's identifier is read as it stands (record_id); id is the number of those written here, else
+null.  Digests are checked by the algorithm they name (SHA-1, SHA-256, MD5, in hexadecimal or base 32); digest_ok says with what result,
+and is null where there is none to check.  Records of any type are read: what is HTTP is parted from its head, of all
+else the block is the payload.  Identifiers of pages are whole numbers.
+
+URLs are written as they are.  Only one that a header can't hold (with line ends, or white space or angle brackets at its ends) is percent-encoded,
+and a header of its own (ENCODED) says so.
+
 Null html counts as empty.  Null identifiers are written as such, never become the response of a group that has others,
 and revisit it.  Rows that repeat the smallest identifier with the same payload are all responses.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -31,19 +40,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as Spans
 from pyspark.sql import functions as F
 
-from .common import column, new_folder, slices, table, texts
+from .common import column, identifier, new_folder, slices, table, texts
 from .tokens import filesystem
 
 MAGIC = re.compile(rb"\x1f\x8b\x08")
 #: Fixed value: the profile of revisit records for equal payloads.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_ID = "none"
+#: The header of records whose URL had to be encoded.
+ENCODED = "X-Target-URI-Encoding"
+HASHES = {"sha1": hashlib.sha1, "sha256": hashlib.sha256, "md5": hashlib.md5}
 
 
 def plan_records(pages: DataFrame, least: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, html, digest, refers_to, revisit) of each page."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
+    rows = pages.select(identifier(pages, id_col).alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     groups = rows.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     rows = rows.join(groups, "digest", "left")
     revisit = F.col("n").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
@@ -55,7 +67,9 @@ def record(id_: int | None, url: str | None, payload: bytes, digest: str, refers
     status = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = status if revisit else status + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{NO_ID if id_ is None else id_}>", "WARC-Date: 1970-01-01T00:00:00Z"]
-    head += [f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%')}"] if url is not None else []
+    if url is not None:
+        odd = url != url.strip() or not url or any(c in url for c in "\r\n") or (url[:1], url[-1:]) == ("<", ">")
+        head += [f"WARC-Target-URI: {quote(url, safe='') if odd else url}"] + ([f"{ENCODED}: percent"] if odd else [])
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{NO_ID if refers_to is None else refers_to}>"] if revisit else []
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -151,26 +165,52 @@ def members(file, start: int, end: int, keep: bool = True) -> Iterator[tuple[byt
             window.skip(1)
 
 
+def digest_ok(given: str, data: bytes) -> bool | None:
+    """Whether a digest, algorithm:value, is that of the data; None if the algorithm isn't known."""
+    name, _, value = given.partition(":")
+    make = HASHES.get(name.strip().lower().replace("-", ""))
+    if not make:
+        return None
+    own = make(data)
+    return value.strip().lower() == own.hexdigest() or value.strip().upper().rstrip("=") == base64.b32encode(own.digest()).decode().rstrip("=")
+
+
+def number_of(record_id: str | None) -> int | None:
+    """The page of an identifier written here."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", record_id or "")
+    return int(found[1]) if found else None
+
+
 def parse(data: bytes) -> dict:
-    """Headers of a record, in lower case, and its payload."""
+    """Headers of a record and its payload."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
-    block = rest[: int(headers["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
-    id_ = lambda x: None if (x := x.strip("<>").rpartition(":")[2]) == NO_ID else int(x)
-    revisit = headers["warc-type"] == "revisit"
-    digest = hashlib.sha256(payload).hexdigest()
-    if not revisit and headers["warc-payload-digest"] != f"sha256:{digest}":
-        raise ValueError(f"the payload of {headers['warc-record-id']} doesn't match its digest")
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")[1:]
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    length = headers.get("content-length", "")
+    block = rest[: int(length)] if length.isdigit() else rest
+    kind, about = headers.get("warc-type", ""), headers.get("content-type", "")
+    http, _, payload = block.partition(b"\r\n\r\n") if about.lower().startswith("application/http") else (b"", b"", block)
+    revisit, given = kind == "revisit", headers.get("warc-payload-digest")
+    # a revisit's head says how long the payload was
+    was = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
+    url = headers.get("warc-target-uri")
+    own_kind, _, value = (given or "").partition(":")
+    own = None if revisit else hashlib.sha256(payload).hexdigest()
+    if given is None or revisit:
+        fine = None
+    else:
+        fine = value.lower() == own or digest_ok(given, payload) if own_kind == "sha256" else digest_ok(given, payload)
     return {
-        "id": id_(headers["warc-record-id"]), "url": unquote(headers["warc-target-uri"]) if "warc-target-uri" in headers else None, "payload": None if revisit else payload,
-        "payload_bytes": int(length[1]) if revisit else len(payload), "payload_digest": headers["warc-payload-digest"].partition(":")[2] if revisit else digest,
-        "record_type": headers["warc-type"], "refers_to": id_(headers["warc-refers-to"]) if revisit else None,
+        "id": number_of(headers.get("warc-record-id")), "record_id": headers.get("warc-record-id"), "url": unquote(url) if url is not None and ENCODED.lower() in headers else url[1:-1] if url and (url[:1], url[-1:]) == ("<", ">") else url,
+        "content_type": about or None, "payload": None if revisit else payload, "payload_bytes": (int(was[1]) if was else None) if revisit else len(payload),
+        "payload_digest": (value.lower() if own_kind == "sha256" else given) if revisit else own, "digest_ok": fine, "record_type": kind or None,
+        "refers_to": number_of(headers.get("warc-refers-to")), "refers_to_id": headers.get("warc-refers-to"),
     }
 
 
-RECORD = "id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORD = "id long, record_id string, url string, content_type string, payload binary, payload_bytes long, payload_digest string, digest_ok boolean, record_type string, refers_to long, refers_to_id string"
+#: The same for Arrow.
+FIELDS = pa.schema([(name, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}[kind]) for name, kind in map(str.split, RECORD.split(", "))])
 
 
 #: Bytes of archives for each task, and tasks at most.
@@ -200,7 +240,6 @@ def read_archives(spark: SparkSession, folder: str, archives: list, split: int =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(folder)
-        schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
         for batch in batches:
             for path, start, end in zip(*(column(batch, c).to_pylist() for c in ("path", "start", "end"))):
                 with fs.open_input_file(path) as file:
@@ -209,10 +248,10 @@ def read_archives(spark: SparkSession, folder: str, archives: list, split: int =
                         out.append(parse(data) if payloads else parse(data) | {"payload": None})
                         held += len(data)
                         if held > 4 << 20:
-                            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                            yield pa.RecordBatch.from_pylist(out, schema=FIELDS)
                             out, held = [], 0
                     if out:
-                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        yield pa.RecordBatch.from_pylist(out, schema=FIELDS)
 
     where = ranges.filter("several").select("path", "start", "end").mapInArrow(ends, "path string, start long, end long, last long")
     before = Spans.partitionBy("path").orderBy("start").rowsBetween(Spans.unboundedPreceding, -1)  # a row for each range of one file
@@ -225,6 +264,8 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     archives = write_archives(plan_records(table(spark, sf_dir, "pages")), folder).collect()  # a row for each archive
     out = read_archives(spark, folder, archives, payloads=False)
+    damaged = F.raise_error(F.concat(F.lit("a payload doesn't match its digest: "), "record_id")).cast("boolean")
+    out = out.filter(F.when(F.coalesce("digest_ok", F.lit(True)), F.lit(True)).otherwise(damaged))
     return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

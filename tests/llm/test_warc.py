@@ -97,10 +97,60 @@ def test_bytes_are_read_once():
         assert found == 1500 and read < 1.3 * len(data)
 
 
-def test_damage_is_noticed():
+def test_damage_is_noticed(spark, tmp_path, monkeypatch):
     good = record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None, False)
-    with pytest.raises(ValueError):
-        parse(good.replace(b"payload\r\n\r\n", b"payloaf\r\n\r\n"))
+    assert parse(good)["digest_ok"] is True and parse(good.replace(b"payload\r\n\r\n", b"payloaf\r\n\r\n"))["digest_ok"] is False
+    spark.createDataFrame([(1, "u", "payload")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(warc, "record", lambda *x: record(*x).replace(b"payload\r\n\r\n", b"payloaf\r\n\r\n"))
+    with pytest.raises(Exception, match="doesn't match its digest"):
+        warc.op5_warc_round_trip(spark, str(tmp_path)).collect()
+
+
+URLS = ["http://a/b%20c?q=1%2F2", "http://a/b c", "http://a/ä?ü=%C3%BC", "http://a/100%", "", " http://a/ ", "a\r\nX: y", "line\nend", "%0D%0A", "x\u2028y", "<http://a/>x", "<http://a/>", "<", ">", None]
+
+
+def test_urls_come_back_as_they_were(spark):
+    folder, made = archives(spark, [(i, u, f"page {i}") for i, u in enumerate(URLS)])
+    found = read_archives(spark, folder, made).collect()
+    assert [x["url"] for x in sorted(found, key=lambda x: x["id"])] == URLS
+    plain = parse(record(1, URLS[0], b"", hashlib.sha256().hexdigest(), None, False))
+    assert plain["url"] == URLS[0] and b"WARC-Target-URI: " + URLS[0].encode() in record(1, URLS[0], b"", "", None, False)
+
+
+def foreign(kind, id_, head, block):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{id_}>", "WARC-Date: 2024-01-01T00:00:00Z", *head, f"Content-Length: {len(block)}"]
+    return gzip_member("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_an_archive_of_another_writer(spark, tmp_path):
+    """Other types, identifiers, digests and headers; none of them ends the job."""
+    import base64
+
+    page = b"<html>a page</html>"
+    sha1 = base64.b32encode(hashlib.sha1(page).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page
+    response = "Content-Type: application/http; msgtype=response"
+    rows = [
+        foreign("warcinfo", "i", ["Content-Type: application/warc-fields"], b"software: some crawler\r\n"),
+        foreign("request", "q", ["WARC-Target-URI: http://a/", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        foreign("response", "r", ["WARC-Target-URI: <http://a/%7Ex>", f"WARC-Payload-Digest: sha1:{sha1}", response], http),
+        foreign("response", "w", ["WARC-Target-URI: http://a/\r\n folded", "WARC-Payload-Digest: sha1:" + "A" * 32, response], http),
+        foreign("response", "u", ["WARC-Payload-Digest: blake3:00", response], http),
+        foreign("resource", "s", ["WARC-Target-URI: ftp://a/", f"WARC-Payload-Digest: md5:{hashlib.md5(page).hexdigest().upper()}", "Content-Type: text/html"], page),
+        foreign("revisit", "v", ["WARC-Target-URI: http://a/", f"WARC-Payload-Digest: sha1:{sha1}", "WARC-Refers-To: <urn:uuid:r>", response], b"HTTP/1.1 200 OK\r\n\r\n"),
+        foreign("metadata", "m", ["X-\xff: odd"], b""),
+    ]
+    data = b"".join(rows)
+    (tmp_path / "b.warc.gz").write_bytes(data)
+    archive = [{"path": f"{tmp_path}/b.warc.gz", "bytes": len(data)}]
+    for split in (1 << 20, 100):
+        found = {x["record_id"][10:-1]: x for x in read_archives(spark, f"file://{tmp_path}", archive, split=split).collect()}
+        assert list(map(found.__contains__, "iqrwusvm")) == [True] * 8 and all(x["id"] is None for x in found.values())
+        assert [found[k]["digest_ok"] for k in "iqrwusvm"] == [None, None, True, False, None, True, None, None]
+        assert [bytes(found[k]["payload"]) for k in "rwus"] == [page] * 4 and bytes(found["i"]["payload"]).startswith(b"software") and found["v"]["payload"] is None
+        assert found["r"]["url"] == "http://a/%7Ex" and found["w"]["url"] == "http://a/ folded" and found["s"]["content_type"] == "text/html"
+        assert (found["v"]["refers_to"], found["v"]["refers_to_id"], found["v"]["payload_digest"], found["v"]["payload_bytes"]) == (None, "<urn:uuid:r>", f"sha1:{sha1}", None)
+        assert {x["record_type"] for x in found.values()} == {"warcinfo", "request", "response", "resource", "revisit", "metadata"}
 
 
 def test_empty_table(spark):
@@ -110,3 +160,8 @@ def test_empty_table(spark):
 
 def test_query(spark, sf_dir):
     assert of_spark(warc.op5_warc_round_trip(spark, sf_dir)) == of_duckdb(oracle(sf_dir), warc.OP5_SQL)
+
+
+def test_identifiers_are_numbers(spark):
+    with pytest.raises(TypeError, match="whole numbers"):
+        plan_records(spark.createDataFrame([("a-1", "u", "x")], "page_id string, url string, html string"))
