@@ -10,8 +10,10 @@ for each block.  Documents aren't shuffled.  All items pass through the driver,
 for a second corpus.
 
 Items of fewer than `least_chars` characters are searched for with the same budget, int(m * rate), which may be 0, but their
-passages begin and end with whole words.  Only items of one or two words match no more than documents that equal them.  In scripts
-written without spaces each character counts as a word.
+passages begin and end with whole words.  Items of one or two words are searched for too, without edits; since such words occur in many
+documents that have nothing to do with the test, what they match is marked (few_words) unless the document has no other words.  In
+scripts written without spaces each character counts as a word.  clean_documents() keeps documents with marked matches only, unless
+it is told not to.
 Null or empty texts match nothing, null or empty items neither.  Repeated rows give repeated results.
 """
 
@@ -27,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, slices, table
+from .common import column, identifier, slices, table
 
 BREAK = re.compile(r"[\W_]+")
 WORDS = re.compile(r"[^\W_]+")
 #: Characters of scripts written without spaces: Thai, Lao, Burmese, Khmer, Japanese, Chinese.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-#: Items of so many words, if they are short, match whole documents only.
+#: Short items of so many words are searched for without edits, and what they match is marked.
 FEW_WORDS = 2
-MATCH = "id long, item_id long, distance int, start long, end long"
+MATCH = "id long, item_id long, distance int, start long, end long, few_words boolean"
 
 
 def plain(text: str) -> str:
@@ -114,32 +116,30 @@ class Items:
     def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int):
         import ahocorasick
 
-        self.automaton, self.whole, self.items = ahocorasick.Automaton(), defaultdict(list), []
+        self.automaton, self.items = ahocorasick.Automaton(), []
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             short = len(text) < least_chars
-            if short and word_count(text) <= FEW_WORDS:
-                self.whole[text].append(item_id)
-                continue
-            budget = int(len(text) * rate)
+            few = short and word_count(text) <= FEW_WORDS
+            budget = 0 if few else int(len(text) * rate)
             for at, piece in pieces(text, budget):
                 places[piece].append((len(self.items), at))
-            self.items.append((item_id, text, budget, short))
+            self.items.append((item_id, text, budget, short, few))
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.searchable = bool(places)
         self.automaton.make_automaton()
 
-    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, start, end) in the plain text, the best passage of each item found."""
-        out = [(i, 0, 0, len(text)) for i in self.whole.get(text, ())] if text else []
+    def matches(self, text: str) -> list[tuple[int, int, int, int, bool]]:
+        """(item_id, distance, start, end, few_words) in the plain text, the best passage of each item found."""
+        out = []
         if not self.searchable:
             return out
         regions: dict[int, list[list[int]]] = {}
         starts: dict[int, set[int]] = {}  # of short items
         for end, (n, where) in self.automaton.iter(text):
             for k, at in where:
-                _, item, budget, short = self.items[k]
+                _, item, budget, short, _ = self.items[k]
                 from_ = end + 1 - n - at
                 if short:
                     if places := borders(text, from_ - budget, from_ + budget):
@@ -152,7 +152,7 @@ class Items:
                 else:
                     own.append([lo, hi])
         for k, own in regions.items():
-            item_id, item, budget, _ = self.items[k]
+            item_id, item, budget, *_ = self.items[k]
             best = None
             for lo, hi in own:
                 if (found := myers(item, text[lo:hi], budget)) and (best is None or found[0] < best[0]):
@@ -160,11 +160,11 @@ class Items:
             if best:
                 begin = max(0, best[1] - len(item) - budget)
                 _, length = myers(item[::-1], text[begin : best[1]][::-1], best[0])
-                out.append((item_id, best[0], best[1] - length, best[1]))
+                out.append((item_id, best[0], best[1] - length, best[1], False))
         for k, places in starts.items():
-            item_id, item, budget, _ = self.items[k]
+            item_id, item, budget, _, few = self.items[k]
             if found := whole_words(item, text, sorted(places), budget):
-                out.append((item_id, *found))
+                out.append((item_id, *found, few and found[1:] != (0, len(text))))
         return sorted(out, key=lambda x: (x[0] is not None, *(v or 0 for v in x)))
 
 
@@ -191,7 +191,7 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
 
 def item_blocks(items: DataFrame, block_chars: int, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     block, held = [], 0
-    for row in items.select(id_col, text_col).filter(F.col(text_col).isNotNull()).toLocalIterator():
+    for row in items.select(identifier(items, id_col), text_col).filter(F.col(text_col).isNotNull()).toLocalIterator():
         if text := plain(row[1]):
             if block and held + len(text) > block_chars:
                 yield block
@@ -203,36 +203,36 @@ def item_blocks(items: DataFrame, block_chars: int, id_col: str, text_col: str)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.08, least_chars: int = 40, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, item_id, distance, start, end): a row for each document and item that it holds within the budget."""
+    """(id, item_id, distance, start, end, few_words): a row for each document and item that it holds within the budget."""
 
     def search(block: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Items(block, rate, least_chars)
-            schema = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+            schema = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("few_words", pa.bool_())])
             for batch in slices(batches, 256):
                 out = []
                 for doc_id, text in zip(column(batch, "id").to_pylist(), column(batch, "text")):
                     text = text.as_py() or ""
                     if found := own.matches(plain(text)):
-                        spans = original_spans(text, [x[2:] for x in found])
-                        out += [{"id": doc_id, "item_id": i, "distance": d, "start": a, "end": b} for (i, d, _, _), (a, b) in zip(found, spans)]
+                        spans = original_spans(text, [x[2:4] for x in found])
+                        out += [{"id": doc_id, "item_id": i, "distance": d, "start": a, "end": b, "few_words": few} for (i, d, _, _, few), (a, b) in zip(found, spans)]
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
         return rows.mapInArrow(run, MATCH)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(identifier(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     found = [search(block) for block in item_blocks(items, block_chars, item_id_col, item_text_col)]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], MATCH)
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, rate: float = 0.08, least_chars: int = 40, block_chars: int = 4_000_000) -> DataFrame:
-    """The rows of docs that hold no item."""
+def clean_documents(docs: DataFrame, items: DataFrame, rate: float = 0.08, least_chars: int = 40, block_chars: int = 4_000_000, few_words: bool = False) -> DataFrame:
+    """The rows of docs that hold no item; few_words: nor words of an item of one or two."""
     for block in item_blocks(items, block_chars, "item_id", "text"):
 
         def run(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             own = Items(block, rate, least_chars)
             for batch in slices(batches, 256):
-                yield batch.filter(pa.array([not own.matches(plain(x.as_py() or "")) for x in column(batch, "text")], pa.bool_()))
+                yield batch.filter(pa.array([all(m[4] and not few_words for m in own.matches(plain(x.as_py() or ""))) for x in column(batch, "text")], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -62,7 +62,7 @@ def test_nothing_within_the_budget_is_lost():
         k = rng.randrange(6)
         text = plain(" ".join(word() for _ in range(20)) + " " + edited(rng, tests[k][1], rng.randint(0, len(tests[k][1]) // 8)) + " " + word())
         expected = [(i, d) for i, t in tests if (d := closest(t, text)) <= int(len(t) * 0.1)]
-        assert [(i, d) for i, d, _, _ in own.matches(text)] == expected
+        assert [(i, d) for i, d, *_ in own.matches(text)] == expected
 
 
 def test_spans():
@@ -86,7 +86,8 @@ def test_documents(spark):
     rows = [(1, f"before. {ITEM.upper().replace(' ', ',  ')}! after"), (2, f"x {ITEM.replace('nobody', 'nobodi')} y"), (3, "quite another text " * 2000), (4, None), (5, ""), (None, ITEM), (1, ITEM), (6, "Tiny item"), (7, "a tiny item inside")]
     tests = [(10, ITEM), (11, "tiny item"), (12, None), (13, ""), (10, ITEM), (None, "a test without a number, which is long enough to be told")]
     found = contaminated(documents(spark, rows), items(spark, tests)).collect()
-    assert sorted({(str(x["id"]), x["item_id"], x["distance"]) for x in found}) == [("1", 10, 0), ("2", 10, 1), ("6", 11, 0), ("None", 10, 0)]
+    assert sorted({(str(x["id"]), x["item_id"], x["distance"]) for x in found}) == [("1", 10, 0), ("2", 10, 1), ("6", 11, 0), ("7", 11, 0), ("None", 10, 0)]
+    assert {x["id"]: x["few_words"] for x in found if x["item_id"] == 11} == {6: False, 7: True}
     few = contaminated(documents(spark, rows), items(spark, tests), block_chars=30).collect()  # a block for each item
     assert sorted(map(str, few)) == sorted(map(str, found))
     kept = clean_documents(documents(spark, rows), items(spark, tests))
@@ -97,7 +98,7 @@ def test_short_items_inside_documents(spark):
     tests = [(1, "What is the capital of Peru?"), (2, "Who is he?"), (3, "tiny item"), (4, "秘鲁的首都是什么")]
     rows = [(1, "asked: WHAT is the capital of Peru -- Lima"), (2, "so what is the capitol of peru then"), (3, "what is the capital of Peruvians"), (4, "and who is he now"), (5, "who is hers"), (6, "a tiny item inside"), (7, "tiny, item"), (8, "请问秘鲁的首都是什么呢"), (9, "nothing of that"), (10, "somewhat is the capital of peru")]
     found = contaminated(documents(spark, rows), items(spark, tests)).collect()
-    assert sorted((x["id"], x["item_id"], x["distance"]) for x in found) == [(1, 1, 0), (2, 1, 1), (4, 2, 0), (7, 3, 0), (8, 4, 0)]
+    assert sorted((x["id"], x["item_id"], x["distance"]) for x in found) == [(1, 1, 0), (2, 1, 1), (4, 2, 0), (6, 3, 0), (7, 3, 0), (8, 4, 0)]
     assert {x["id"]: (x["start"], x["end"]) for x in found}[1] == (7, 34)
     kept = clean_documents(documents(spark, rows), items(spark, tests))
     assert sorted(x["doc_id"] for x in kept.collect()) == [3, 5, 6, 9, 10]
@@ -116,7 +117,32 @@ def test_no_short_item_within_the_budget_is_lost():
             words.append((at, at + len(w)))
             at += len(w) + 1
         least = min(distance(item, text[a:b]) for k, (a, _) in enumerate(words) for _, b in words[k:])
-        assert [d for _, d, _, _ in Items([(1, item)], 0.08, 40).matches(text)] == ([least] if least <= int(len(item) * 0.08) else [])
+        assert [d for _, d, *_ in Items([(1, item)], 0.08, 40).matches(text)] == ([least] if least <= int(len(item) * 0.08) else [])
+
+
+def test_items_of_one_or_two_words(spark):
+    """Found as whole words anywhere, without edits, and marked where the document has other words; against a plain search."""
+    rng = random.Random(9)
+    vocabulary = ["zanzibar", "quux", "zanzibars", "quu", "x", "the", "秘鲁", "鲁"]
+    tests = [(1, "Zanzibar quux"), (2, "quux"), (3, "the"), (4, "秘鲁"), (5, "x")]
+    rows = [(i, rng.choice([" ", "-", ""]).join(rng.choice(vocabulary) for _ in range(rng.randint(1, 6)))) for i in range(200)]
+    rows += [(900, "some text with zanzibar quux inside it"), (901, "ZANZIBAR, quux!"), (902, "zanzibar quuxes")]
+    found = contaminated(documents(spark, rows), items(spark, tests)).collect()
+    edge = lambda text, p: p in (0, len(text)) or " " in text[p - 1 : p + 1] or any("一" <= c <= "鿿" for c in text[p - 1 : p + 1])
+    expected = set()
+    for i, text in rows:
+        text = plain(text)
+        for k, item in tests:
+            item = plain(item)
+            if any(text.startswith(item, p) and edge(text, p) and edge(text, p + len(item)) for p in range(len(text))):
+                expected.add((i, k, 0, text != item))
+    assert {(x["id"], x["item_id"], x["distance"], x["few_words"]) for x in found} == expected and len(expected) > 100
+    assert {(900, 1, 0, True), (901, 1, 0, False)} <= expected
+    marked, others = {x[0] for x in expected}, {x[0] for x in expected if not x[3]}
+    kept = {x["doc_id"] for x in clean_documents(documents(spark, rows), items(spark, tests)).collect()}
+    assert kept == {i for i, _ in rows} - others
+    strict = {x["doc_id"] for x in clean_documents(documents(spark, rows), items(spark, tests), few_words=True).collect()}
+    assert strict == {i for i, _ in rows} - marked
 
 
 def distance(a, b):
@@ -166,3 +192,13 @@ def test_query(spark, sf_dir, tmp_path):
             expected |= {(i, k): d for (i, _), d in zip(docs, least_distances([t for _, t in docs], item, budget)) if d <= budget}
         assert {(x["doc_id"], x["item_id"]): x["distance"] for x in op6_decontaminate(spark, str(folder)).collect()} == expected
         assert len(set(expected.values())) >= least
+
+
+def test_identifiers_are_numbers(spark):
+    import pytest
+
+    named = spark.createDataFrame([("gsm8k/9", ITEM)], "item_id string, text string")
+    with pytest.raises(TypeError, match="whole numbers"):
+        contaminated(documents(spark, [(1, ITEM)]), named)
+    with pytest.raises(TypeError, match="whole numbers"):
+        contaminated(spark.createDataFrame([("a-1", ITEM)], "doc_id string, text string"), items(spark, [(1, ITEM)]))
