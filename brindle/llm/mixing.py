@@ -7,9 +7,10 @@
     the others by weight.  In the order of (cap / weight) the sources at their cap come first, so one running sum
     gives the final level.
 3.  Drawing.  A source has as many slots as blocks are needed for its target, the last one perhaps for a part of its block.
-    Every slot draws its output shard; the counts by shard and source are multinomial, conditioned on each source's
-    total, so that targets are met and not only expected.  The counts then say which slots a shard has: the
-    first shard has a source's first ones, and so on.
+    Each output shard has SHARD_SLOTS slots (the last one what is left) and draws how many of them go to each source: a
+    multinomial draw, conditioned on what every source has left, so that targets are met and not only expected.  All these draws
+    together are one order of all slots by a hash, cut into runs of SHARD_SLOTS.  The counts then say which slots a shard has:
+    the first shard has a source's first ones, and so on.
 4.  Mapping.  Slot number n of a source with b blocks takes block permutation(n mod b), so blocks are repeated only when all
     have been taken.  The permutation is a keyed bijection of 0 to b - 1 (swap-or-not rounds), and needs no sorting.
 5.  Slots and blocks are joined by the block's index, and each document counts the words that its blocks' slots take.
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, chunks_for, cut, ranks, table
+from .common import WORD, chunks_for, cut, identifier, ranks, table
 
 BLOCK, MOST, WEIGHTS, SEED = 128, 3, (1, 2, 3), "mix"
 SHARD_SLOTS, ROUNDS = 1 << 13, 16
@@ -106,7 +107,7 @@ def pack(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col:
     source = F.col(source_col).cast("string")
     text_hash = drawn(F.lit("text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), source.alias("source"), source_key(source).alias("source_key"),
+        identifier(docs, id_col).alias("id"), source.alias("source"), source_key(source).alias("source_key"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), text_hash.alias("text_hash"),
     ).withColumn("order", drawn(F.lit("order"), "id", "text_hash"))
     rows = cut(rows)
@@ -124,11 +125,12 @@ def source_key(source: Column) -> Column:
 
 
 def shard_counts(sources: DataFrame, total: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """(source_key, shard, n, first): how many slots of each source a shard has, by a draw for each of the `total` slots, and the
-    first of them."""
-    shards = max(1, -(-total // shard_slots))
-    slots_ = numbered(sources.select("source_key", "slots"), "slots", "slot", total, "source_key")
-    counts = slots_.select("source_key", F.pmod(drawn(F.lit("shard"), "source_key", "slot"), F.lit(shards)).alias("shard")).groupBy("source_key", "shard").agg(F.count("*").alias("n"))
+    """(source_key, shard, n, first): how many of a shard's slots each source draws, and the first of its slots there."""
+    hashed = numbered(sources.select("source_key", "slots"), "slots", "slot", total, "source_key").select("source_key", "slot", drawn(F.lit("shard"), "source_key", "slot").alias("hash"))
+    bits = chunks_for(total).bit_length() - 1
+    ordered = hashed.withColumn("chunk", F.shiftright("hash", HASH_BITS - bits)).withColumn("_all", F.lit(0))
+    ordered = ranks(ordered, ["_all"], "chunk", [F.col("hash"), F.col("source_key"), F.col("slot")], "place")
+    counts = ordered.groupBy("source_key", F.expr(f"place div {shard_slots}").alias("shard")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
@@ -167,7 +169,7 @@ def mix(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: s
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of docs, each repeated as the mix takes it: taken / size times, the rest of that by a draw."""
-    key = F.struct(F.col("doc_id").cast("long").alias("id"), source_key(F.col("source").cast("string")).alias("source_key"), drawn(F.lit("text"), F.md5(F.coalesce("text", F.lit("")))).alias("text_hash"))
+    key = F.struct(identifier(docs, "doc_id").alias("id"), source_key(F.col("source").cast("string")).alias("source_key"), drawn(F.lit("text"), F.md5(F.coalesce("text", F.lit("")))).alias("text_hash"))
     times = mix(docs, block).filter("taken > 0").groupBy("id", "source_key", "text_hash").agg((F.sum("taken") / F.sum("size")).alias("share"))  # rows that are the same have the same share
     part = F.pmod(drawn(F.lit("rest"), "id", "text_hash"), F.lit(1 << 20)) / F.lit(1 << 20)
     times = times.select(F.struct("id", "source_key", "text_hash").alias("of"), F.floor(F.col("share") + part).cast("int").alias("times")).filter("times > 0")
@@ -207,7 +209,7 @@ taking AS (SELECT m.k, m.i, m.block, p.blocks, p.passes, p.goal - p.passes * p.s
     OVER (PARTITION BY m.k ORDER BY m.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, CASE WHEN m.block = p.blocks - 1 THEN {BLOCK} - p.lacks ELSE {BLOCK} END AS words FROM mapped m JOIN passes p ON m.k = p.k),
 uses AS (SELECT k, block, i + pass * blocks AS slot, CASE WHEN pass < passes THEN words ELSE least(words, rest) END AS words
     FROM (SELECT *, unnest(range(passes + 1)) AS pass FROM taking) WHERE pass < passes OR rest > 0),
-drawn AS (SELECT k, {hash_sql("'shard'", "k", "CAST(slot AS VARCHAR)")} % greatest(1, ((SELECT count(*) FROM uses) + {SHARD_SLOTS - 1}) // {SHARD_SLOTS}) AS shard FROM uses),
+drawn AS (SELECT k, (row_number() OVER (ORDER BY hash, k, slot) - 1) // {SHARD_SLOTS} AS shard FROM (SELECT k, slot, {hash_sql("'shard'", "k", "CAST(slot AS VARCHAR)")} AS hash FROM uses)),
 shares AS (SELECT *, lead(first, 1, 9223372036854775807) OVER (PARTITION BY k ORDER BY shard) AS next FROM (SELECT k, shard, coalesce(sum(count(*)) OVER (PARTITION BY k ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM drawn GROUP BY k, shard)),
 dealt AS (SELECT u.*, s.shard FROM uses u JOIN shares s ON u.k = s.k AND u.slot >= s.first AND u.slot < s.next),
 met AS (SELECT k, place, shard, least(start + size, block * {BLOCK} + words) - greatest(start, block * {BLOCK}) AS n

@@ -82,9 +82,10 @@ def plain_mix(rows, shard_slots, block=128):
             slots_of[s].append(words)
             left -= len(words)
     shards = max(1, -(-sum(map(len, slots_of.values())) // shard_slots))
+    order = sorted((number("shard", key, k), key, k) for s, own in slots_of.items() for key in ["n" if s is None else f"s{s}"] for k in range(len(own)))
     out = []
     for s, own in sources.items():
-        drawn = sorted(number("shard", "n" if s is None else f"s{s}", k) % shards for k in range(len(slots_of[s])))
+        drawn = [at // shard_slots for at, (_, key, _) in enumerate(order) if key == ("n" if s is None else f"s{s}")]
         taken, first = Counter(), {}
         for words, shard in zip(slots_of[s], drawn):
             for w in words:
@@ -117,7 +118,13 @@ def test_every_slot_has_a_block(spark):
         uses = Counter(x["block"] for x in own)
         assert not uses or set(uses.values()) <= {s["slots"] // s["blocks"], s["slots"] // s["blocks"] + 1} and set(uses) <= set(range(s["blocks"]))
     per_shard = Counter(x["shard"] for x in found)
-    assert len(per_shard) > 1 and max(per_shard.values()) < 2 * min(per_shard.values())
+    *full, last = (per_shard[k] for k in range(len(per_shard)))
+    assert len(full) > 5 and set(full) == {64} and 0 < last <= 64
+    # what a shard draws from a source goes about its share
+    for s in sources.collect():
+        counts = [sum(x["source_key"] == s["source_key"] and x["shard"] == k for x in found) for k in range(len(full))]
+        share = s["slots"] / len(found)
+        assert all(abs(n - 64 * share) <= 5 * (64 * share * (1 - share)) ** 0.5 + 1 for n in counts)
 
 
 def test_mixed_documents(spark):
@@ -163,3 +170,8 @@ def test_the_plan_draws_shards_and_has_no_python(spark, sf_dir):
     plan = op9_mix_sources(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     assert "shard" in op9_mix_sources(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_identifiers_are_numbers(spark):
+    with pytest.raises(TypeError, match="whole numbers"):
+        mix(spark.createDataFrame([("a-1", "x", "s")], "doc_id string, text string, source string"))
