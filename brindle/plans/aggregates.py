@@ -29,6 +29,7 @@ sql("a20_mode_bool_and_max_by", "SELECT o_orderstatus, bool_and(o_totalprice > 0
 sql("a21_bool_or_bit_xor_min_by", "SELECT o_orderstatus, bool_or(o_totalprice > 30000) AS any_large, bit_xor(o_orderkey) AS x, bit_and(o_orderkey) AS a, bit_or(o_orderkey) AS o, min_by(o_orderkey, o_totalprice) AS cheapest, round(stddev_pop(o_totalprice), 4) AS sd FROM {orders} GROUP BY o_orderstatus")
 sql("a21_collect_set", "SELECT o_custkey, array_join(array_sort(collect_set(o_orderpriority)), ',') AS p FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS p FROM orders GROUP BY o_custkey")
 sql("a22_any_value", "SELECT k, any_value(v, true) AS v FROM (VALUES (1, NULL), (1, 5), (2, NULL), (3, 7)) AS t(k, v) GROUP BY k", "SELECT k, any_value(v) AS v FROM (VALUES (1, NULL), (1, 5), (2, NULL), (3, 7)) AS t(k, v) GROUP BY k")
+sql("a22_any_value_that_is_not_null", "SELECT o_custkey, any_value(CASE WHEN o_orderstatus = 'F' THEN c_name END, true) AS name FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY o_custkey", "SELECT o_custkey, any_value(CASE WHEN o_orderstatus = 'F' THEN c_name END) AS name FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey")
 sql("a23_ordered_string_agg", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
 sql("a24_array_agg", "SELECT n_regionkey, size(array_agg(n_nationkey)) AS n, array_max(array_agg(n_nationkey)) AS top FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, CAST(len(array_agg(n_nationkey)) AS INT) AS n, list_max(array_agg(n_nationkey)) AS top FROM nation GROUP BY n_regionkey")
 sql("a26_pivot", "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_orderkey FROM {lineitem}) PIVOT (count(l_orderkey) FOR l_linestatus IN ('O' AS open, 'F' AS full))", "SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'O') AS open, count(*) FILTER (WHERE l_linestatus = 'F') AS full FROM lineitem GROUP BY l_returnflag")

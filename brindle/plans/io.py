@@ -11,6 +11,8 @@ from brindle.streaming import arriving, events
 sql("s01_parquet_scan", "SELECT l_orderkey, l_quantity FROM {lineitem} WHERE l_quantity > 49")
 sql("s04_inline_rows", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) AS t(a, b)")
 sql("s04_range", "SELECT id * id AS sq FROM range(0, 1000, 3)", "SELECT range * range AS sq FROM range(0, 1000, 3)")
+sql("s04_inline_rows_joined", "SELECT name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} JOIN (VALUES ('F', 'filled'), ('O', 'open'), ('P', 'partly')) AS s(code, name) ON o_orderstatus = code GROUP BY name")
+sql("s04_range_joined", "SELECT r.id AS line, count(l_orderkey) AS n FROM range(0, 12) r LEFT JOIN {lineitem} ON l_linenumber = r.id GROUP BY r.id", "SELECT r.id AS line, count(l_orderkey) AS n FROM range(0, 12) r(id) LEFT JOIN lineitem ON l_linenumber = r.id GROUP BY r.id")
 sql("s05_sample_rows", "SELECT count(*) AS n FROM (SELECT * FROM {customer} TABLESAMPLE (10 ROWS))", "SELECT count(*) AS n FROM (SELECT * FROM customer LIMIT 10)")
 
 

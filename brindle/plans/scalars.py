@@ -103,3 +103,9 @@ def f21_texts(spark, sf_dir):
 @query("f21_conversation_turns", "SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, CAST(max(turn) AS BIGINT) AS longest FROM conversations GROUP BY role")
 def f21_conversation_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.max("turn").alias("longest"))
+
+
+sql("f20_conversions_of_columns", """SELECT event_id, try_cast(get_json_object(props, '$.k') AS INT) AS k, try_cast(event_type AS DOUBLE) IS NULL AS no_number, event_type COLLATE UTF8_LCASE = 'CLICK' AS click,
+    isnan(CASE WHEN event_type = 'error' THEN double('NaN') ELSE value END) AS nan, CASE WHEN event_type = 'error' THEN double('NaN') ELSE value END = CASE WHEN event_type = 'error' THEN double('NaN') ELSE 0D END AS same FROM {events}""",
+    """SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k, TRY_CAST(event_type AS DOUBLE) IS NULL AS no_number, lower(event_type) = 'click' AS click,
+    isnan(CASE WHEN event_type = 'error' THEN 'NaN'::DOUBLE ELSE value END) AS nan, CASE WHEN event_type = 'error' THEN 'NaN'::DOUBLE ELSE value END = CASE WHEN event_type = 'error' THEN 'NaN'::DOUBLE ELSE 0 END AS same FROM events""")
