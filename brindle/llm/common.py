@@ -49,7 +49,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what written() made, once nothing will read it any more."""
+    for df in tables:
+        remove(df.sparkSession, df.written_to)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

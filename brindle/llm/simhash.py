@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, components, cut, slices, table, texts, words, written
+from .common import column, components, cut, discard, slices, table, texts, words, written
 
 SEED = 42
 #: Parts of a component, when its rows are joined with what holds for all of it.
@@ -457,8 +457,8 @@ def sets_of(wanted: DataFrame, n: int, docs: DataFrame, nodes: DataFrame, shingl
 
 
 def compared(pairs: DataFrame, n: int, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The n pairs (a, b) with whether their sets have the similarity.  An often asked b is a hot key of the second join, which
-    adaptive execution splits."""
+    """The n pairs (a, b) with whether their sets have the similarity (same), written.  An often asked b is a hot key of the second
+    join, which adaptive execution splits."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = written(sets_of(wanted, 2 * n, docs, nodes, shingle), "sets")
     first = small(pairs, n).join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
@@ -469,11 +469,13 @@ def compared(pairs: DataFrame, n: int, docs: DataFrame, nodes: DataFrame, shingl
             sets = zip(*([np.frombuffer(v.as_buffer(), np.uint64) for v in column(batch, c)] for c in "xy"))
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array([alike(x, y, similarity) for x, y in sets], pa.bool_())], ["a", "b", "same"])
 
-    return both.mapInArrow(run, "a long, b long, same boolean")
+    out = written(both.mapInArrow(run, "a long, b long, same boolean"), "compared")
+    discard(sets)
+    return out
 
 
 def set_links(cells: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
-    """(node, root): components of the nodes of the cells whose sets have the similarity."""
+    """(node, root): components of the nodes of the cells whose sets have the similarity.  The cells are discarded."""
     spark, sketch = cells.sparkSession, nodes.select("node", "n", "fp", "par")
     found, results, most = spark.createDataFrame([], "node long, root long"), None, 1
     while True:
@@ -484,20 +486,22 @@ def set_links(cells: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
         pairs = written(asked.select("a", "b").distinct(), "pairs")
         n = pairs.count()
         if not n:
+            discard(cells, asked, pairs)
             return found
-        now = written(compared(pairs, n, docs, nodes, shingle, similarity), "compared")
+        now = compared(pairs, n, docs, nodes, shingle, similarity)
         results = now if results is None else results.unionByName(now)
         if not now.filter("same").isEmpty():
             found = written(components(results.filter("same").select("a", "b")), "roots")
         # a cell in which nobody asked has no candidates, and will have none
         active = asked.select("key", "i", "j").distinct()
-        cells = written(cells.join(active.hint("merge"), ["key", "i", "j"], "left_semi"), "cells")
-        most *= 4
+        fewer = written(cells.join(active.hint("merge"), ["key", "i", "j"], "left_semi"), "cells")
+        discard(cells, asked, pairs)
+        cells, most = fewer, 4 * most
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WIDE, cell: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row (id, text_hash, component, component_id) for each document; components are joined by pairs of texts whose sets of
-    shingles have a Jaccard similarity of at least `similarity`, and by no others.
+    """A row (id, text_hash, component, component_id) for each document, written; components are joined by pairs of texts whose sets
+    of shingles have a Jaccard similarity of at least `similarity`, and by no others.
 
     Bands and the fingerprints' radius are wide enough that a pair is unlikely to be missed (BANDS, WIDE).
     """
@@ -510,8 +514,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     members = written(keyed.join(shared.hint("merge"), "key", "left_semi"), "members")
     cells = written(cells_of(members, cell), "cells")
+    discard(members)
     found = set_links(cells, nodes.drop("bands"), docs, shingle, similarity, radius)
-    return rows.select("id", "text_hash", "node").join(by_component(found, nodes), "node").select("id", "text_hash", "component", "component_id")
+    out = written(rows.select("id", "text_hash", "node").join(by_component(found, nodes), "node").select("id", "text_hash", "component", "component_id"), "similar")
+    discard(rows, nodes)
+    return out
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -522,10 +529,11 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     """
     key = ["id", "nameless", "text_hash"]
     ident = [F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.isnull("id").alias("nameless"), F.col("text_hash")]
-    found = written(similar_documents(docs, shingle, similarity), "similar")
+    found = similar_documents(docs, shingle, similarity)
     chosen = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("of")).select("of.*").select(*ident, F.lit(True).alias("stays"))
     odd = found.select(*ident).groupBy(*key).agg(F.count("*").alias("n")).join(chosen.hint("merge"), key, "left").filter("stays IS NULL OR n > 1")
     odd = written(odd.select(*key, F.coalesce("stays", F.lit(False)).alias("stays")), "verdicts")
+    discard(found)
     n, several = odd.agg(F.count("*"), F.coalesce(F.max("stays"), F.lit(False))).first()
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash")).select("doc", *ident)
     kept = whole.join(small(odd.select(*key), n), key, "left_anti").select("doc.*")

@@ -88,6 +88,24 @@ def test_odd_documents(spark, sf_dir):
         docs.collect()
 
 
+def test_without_labels_and_benchmark(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, f"document number {i} has words of its own {i * i}", "en", "ab"[i % 2], 5) for i in range(40)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.toxicity(spark, docs, str(tmp_path)).count() == 41
+    assert corpus_pipeline.decontamination(spark, docs, str(tmp_path)).count() == 41
+
+
+def test_run_keeps_its_last_stage_only(spark, sf_dir):
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.count() > 100 and out.columns == [*COLUMNS, "shard", "slot"]
+    files = {f.rsplit("/", 2)[1] for f in out.inputFiles()}
+    folder = out.inputFiles()[0].rsplit("/", 2)[0]
+    left = [x.getPath().getName() for x in spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder))]
+    assert files == set(left) == {"4-sharding"}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 300)] + [(1000 + rng.randrange(200), 1000 + rng.randrange(200)) for _ in range(150)] + [(5, 5), (7, 6)]

@@ -133,6 +133,59 @@ def test_similarity_decides(spark):
     assert kept == sorted({c for _, c in expected})
 
 
+def test_small_sets_and_many_rounds(spark):
+    """Sets of a few shingles, whose fingerprints lie far apart; a bucket in which many candidates are refused before one is a link."""
+    rng = random.Random(11)
+    rows = []
+    for n in (5, 6, 7, 8, 9, 10, 14):
+        for _ in range(12):
+            base = prose(rng, n).split()
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base, "end"])), (len(rows) + 2, " ".join(["begin", *base]))]
+    template = prose(rng, 60).split()
+    for i in range(40):  # neighbours are alike, others are not
+        own = [f"v{i // 8}x{k}" if 6 * (i // 8) <= k < 6 * (i // 8) + 6 else w for k, w in enumerate(template)]
+        rows.append((len(rows), " ".join(own + [f"e{i % 8}"])))
+    sets, group = [grams(t) for _, t in rows], list(range(len(rows)))
+    links = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                links += 1
+                a, b = sorted((group[i], group[j]))
+                group = [a if x == b else x for x in group]
+    found = {x["id"]: x["component_id"] for x in similar_documents(documents(spark, rows), cell=8).collect()}
+    missed = sum(found[i] != group[i] for i in range(len(rows)))
+    assert links > 100 and all(group[i] == group[found[i]] for i in found) and missed <= 0.01 * len(rows)
+
+
+def test_recall_against_all_pairs(spark, sf_dir):
+    """All pairs of distinct texts of a table, found by shingles they share."""
+    rows = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").collect()
+    sets, by = {x["doc_id"]: grams(x["text"]) for x in rows}, {}
+    for i, s in sets.items():
+        for g in s:
+            by.setdefault(g, []).append(i)
+    shared = {}
+    for ids in by.values():
+        for a in range(len(ids)):
+            for b in range(a):
+                shared[ids[b], ids[a]] = shared.get((ids[b], ids[a]), 0) + 1
+    links = [p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    found = {x["id"]: x["component"] for x in similar_documents(spark.createDataFrame([tuple(x) for x in rows], "doc_id long, text string")).collect()}
+    assert len(links) > 20 and sum(found[a] == found[b] for a, b in links) >= 0.99 * len(links)
+    group = {i: i for i in sets}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        group[b] = a
+    assert len(set(found.values())) >= len({root(i) for i in sets})  # nothing else is united
+
+
 def test_query(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     found = op3_simhash_near_dedup(spark, sf_dir).collect()
