@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, components, cut, discard, slices, table, texts, words, written
+from .common import column, components, cut, discard, slices, table, texts, trimmed, words, written
 
 SEED = 42
 #: Parts of a component, when its rows are joined with what holds for all of it.
@@ -324,18 +324,13 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
             node, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
             yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_hash"), node, pa.array(np.array(sizes, np.int64)), fp, pa.array(pars, pa.binary()), lists], ["id", "text_hash", "node", "n", "fp", "par", "bands"])
 
-    return docs.mapInArrow(run, "id long, text_hash long, node long, n long, fp long, par binary, bands array<long>")
+    return docs.mapInArrow(trimmed(run), "id long, text_hash long, node long, n long, fp long, par binary, bands array<long>")
 
 
 def parities(own: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1 == 1)
 
 
-def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= similarity * (len(x) + len(y) - both) - 1e-9
-
-
 def first_asked(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Of pairs (a, b), the `most` smallest b of each a."""
     order = np.lexsort((b, a))
@@ -436,7 +431,7 @@ def asks(cells: DataFrame, state: DataFrame, similarity: float, radius: int, mos
 
     rows = cells.join(state.hint("merge"), "node").select(*place, *numbers, "par", "refused")
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *place).sortWithinPartitions(*place, "node").mapInArrow(run, "key long, i int, j int, a long, b long")
+    return rows.repartition(parts, *place).sortWithinPartitions(*place, "node").mapInArrow(trimmed(run), "key long, i int, j int, a long, b long")
 
 
 def small(df: DataFrame, n: int) -> DataFrame:
@@ -449,11 +444,13 @@ def sets_of(wanted: DataFrame, n: int, docs: DataFrame, nodes: DataFrame, shingl
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array([shingle_set(x, shingle).tobytes() for x in texts(column(batch, "text"))], pa.binary())], ["node", "own"])
+            sets = [shingle_set(x, shingle).view(np.int64) for x in texts(column(batch, "text"))]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *sets])))], ["node", "own"])
 
     one = nodes.select("node", "text_hash", "some").join(small(wanted, n), "node")
     found = docs.select(F.coalesce("id", F.lit(0).cast("long")).alias("some"), "text_hash", "text").join(small(one, n), ["some", "text_hash"])
-    return found.dropDuplicates(["some", "text_hash"]).select("node", "text").mapInArrow(run, "node long, own binary")
+    return found.dropDuplicates(["some", "text_hash"]).select("node", "text").mapInArrow(trimmed(run), "node long, own array<long>")
 
 
 def compared(pairs: DataFrame, n: int, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -464,12 +461,9 @@ def compared(pairs: DataFrame, n: int, docs: DataFrame, nodes: DataFrame, shingl
     first = small(pairs, n).join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = zip(*([np.frombuffer(v.as_buffer(), np.uint64) for v in column(batch, c)] for c in "xy"))
-            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array([alike(x, y, similarity) for x, y in sets], pa.bool_())], ["a", "b", "same"])
-
-    out = written(both.mapInArrow(run, "a long, b long, same boolean"), "compared")
+    shared = F.size(F.array_intersect("x", "y"))
+    same = shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9
+    out = written(both.select("a", "b", same.alias("same")), "compared")
     discard(sets)
     return out
 
