@@ -122,3 +122,40 @@ def test_query(spark, sf_dir):
     assert found.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     totals = check(rows, found.withColumnRenamed("doc_id", "id").collect())
     assert max(totals) - min(totals) < 0.03 * max(totals)
+
+
+def plain_parts(parts, k):
+    """Bins (sum, labels) by merging lists: the two partitions with the largest spread, the older of equal ones first."""
+    full = lambda bins: sorted([*bins, *[(0, [])] * (k - len(bins))], key=lambda b: -b[0])
+    made = {n: full(bins) for n, bins in enumerate(parts)}
+    after = len(made)
+    while len(made) > 1:
+        a, b = sorted(made, key=lambda n: (made[n][-1][0] - made[n][0][0], n))[:2]
+        x, y = made.pop(a), made.pop(b)
+        made[after] = full([(x[i][0] + y[k - 1 - i][0], x[i][1] + y[k - 1 - i][1]) for i in range(k)])
+        after += 1
+    return next(iter(made.values()), full([]))
+
+
+def test_query_against_a_plain_version(spark, sf_dir):
+    """Every document's shard: the groups of equal texts by plain differencing, the small ones around what the large ones left."""
+    from xxhash import xxh64_intdigest
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    k, rows = 8, [tuple(x) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    groups = {}
+    for _, t in rows:
+        groups[t] = groups.get(t, 0) + len(t.encode()) + 1
+    order = sorted(groups, key=lambda t: (-groups[t], signed(xxh64_intdigest(t.encode(), 42)), signed(xxh64_intdigest(t.encode(), xxh64_intdigest(b"second", 42)))))
+    large = sum(groups.values()) // 16_384
+    shards, held = {}, []
+    for b, (n, own) in enumerate(plain_parts([[(groups[t], [t])] for t in order if groups[t] > large], k)):
+        held.append(n)
+        shards |= dict.fromkeys(own, b)
+    rest = [t for t in order if groups[t] <= large]
+    if rest:
+        for _, own in plain_parts([[(n, [b]) for b, n in enumerate(held)], *([(groups[t], [t])] for t in rest)], k):
+            b = next(x for x in own if isinstance(x, int))
+            shards |= {t: b for t in own if isinstance(t, str)}
+    found = {x["doc_id"]: x["shard"] for x in op10_balanced_shards(spark, sf_dir).collect()}
+    assert found == {i: shards[t] for i, t in rows} and len(shards) > 100
