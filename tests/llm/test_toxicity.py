@@ -155,3 +155,54 @@ def test_query(spark):
     assert area(np.array([x["score"] for x in held]), np.array([labels[x["doc_id"]] for x in held])) > 0.95
     assert sum(x["predicted"] for x in held if labels[x["doc_id"]]) > 0.85 * sum(labels[x["doc_id"]] for x in held)
     assert sum(x["predicted"] for x in held if not labels[x["doc_id"]]) < 0.02 * len(held)
+
+
+def test_a_step_follows_the_gradient():
+    """One step of training over all rows, against the slope of the loss by finite differences; without epochs the model is what it began as."""
+    rng = np.random.default_rng(4)
+    words = ["you", "are", "vile", "kind", "stupid", "the", "day", "fine", "awful", "people", "sehr", "gut"]
+    rows = [" ".join(rng.choice(words, rng.integers(3, 12))).encode() for _ in range(40)]
+    labels = np.array([int(b"vile" in r or b"awful" in r) for r in rows])
+    own = [i for i, r in enumerate(rows) if zlib.crc32(r) % 5 > 0]
+    before, after = train(rows, labels, epochs=0), train(rows, labels, epochs=1, batch=10**6, rate=1e-4)
+    n = np.bincount(labels[own], minlength=2)
+    weight = np.array([1.0, min(4.0, n[0] / n[1])])
+
+    def loss():
+        logits, _ = before.logits([rows[i] for i in own])
+        y = labels[own]
+        return float(np.sum(weight[y] * (np.log1p(np.exp(logits)) - y * logits)) / len(own))
+
+    def slope(array, at, by=1e-4):
+        held = array[at]
+        array[at] = held + by
+        up = loss()
+        array[at] = held - by
+        down = loss()
+        array[at] = held
+        return (up - down) / (2 * by)
+
+    def near(x, y):
+        assert abs(x - y) <= 2e-3 * max(1e-2, abs(y)), (x, y)
+
+    for at in rng.choice(len(before.out), 8, replace=False):
+        near((before.out[at] - after.out[at]) / 1e-4 - 1e-3 * before.out[at], slope(before.out, at))
+    checked = 0
+    for f, g, b, c in zip(before.filters, after.filters, before.bias, after.bias):
+        steps = (f - g) / 1e-4 - 1e-3 * f
+        for at in [np.unravel_index(k, f.shape) for k in np.argsort(-np.abs(steps).ravel())[:4]]:
+            near(steps[at], slope(f, at))
+            checked += 1
+        at = int(np.abs(b - c).argmax())
+        # a filter may stand exactly at zero, where the slopes of both sides differ
+        held, now, sides = b[at], loss(), []
+        for by in (-1e-6, 1e-6):
+            b[at] = held + by
+            sides.append((loss() - now) / by)
+        b[at] = held
+        assert min(sides) - 1e-4 <= (b[at] - c[at]) / 1e-4 <= max(sides) + 1e-4
+    assert checked == 12
+    held, before.offset = before.offset, before.offset + 1e-4
+    up = loss()
+    before.offset = held - 1e-4
+    near((held - after.offset) / 1e-4, (up - loss()) / 2e-4)
