@@ -82,8 +82,9 @@ def f14_query_vectors(spark, sf_dir):
     return query_blocks(e.filter("vec_id % 100 = 0").select("vec_id", "embedding"), b).select("vec_id", "other", F.round(dot(F.col("embedding"), F.col("second")), 4).cast("decimal(9, 4)").alias("dot"), F.round(cosine(F.col("embedding"), F.col("second")), 4).cast("decimal(9, 4)").alias("cosine"))
 
 
-def query_blocks(queries, rows, size=1000):
-    """Each row with each of the queries; these go to the tasks by blocks of about `size`."""
+def query_blocks(queries, rows, size=50_000):
+    """Each row with each of the queries; these go to the tasks by blocks of about `size`, with one scan of the rows for each (of vectors of
+    64 floats a block has some 15 MB)."""
     blocks = max(1, -(-queries.count() // size))
     part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     return reduce(DataFrame.unionByName, (rows.crossJoin(F.broadcast(queries.filter(part == k))) for k in range(blocks)))

@@ -179,7 +179,7 @@ class Inactivity(StatefulProcessor):
         self.state = handle.getValueState("open", "started long, ended long, n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = np.sort(np.concatenate([pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) for pdf in rows]))
+        times = np.sort(np.concatenate([pdf["us"].to_numpy() for pdf in rows]))
         edges = np.flatnonzero(np.diff(times) >= self.gap_ms * 1000) + 1
         found = [(int(x[0]), int(x[-1]), len(x)) for x in np.split(times, edges)]
         if self.state.exists():
@@ -207,18 +207,19 @@ class Inactivity(StatefulProcessor):
     @staticmethod
     def rows_of(key, sessions: list[tuple[int, int, int]], by: str) -> pd.DataFrame:
         started, ended, n = zip(*sessions)
-        times = lambda x: pd.to_datetime(np.array(x), unit="us", utc=True)
-        return pd.DataFrame({"user_id": [key[0]] * len(n), "started": times(started), "ended": times(ended), "n": n, "closed_by": by})
+        return pd.DataFrame({"user_id": [key[0]] * len(n), "started": started, "ended": ended, "n": n, "closed_by": by})
 
     def close(self) -> None:
         pass
 
 
 def closed_sessions(stream: DataFrame, gap_ms: int, late: str = "1 day") -> DataFrame:
-    """Sessions of each user as they are closed.  Needs the RocksDB state store."""
-    return stream.select("user_id", "ts").withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=Inactivity(gap_ms), outputStructType="user_id long, started timestamp, ended timestamp, n long, closed_by string", outputMode="Append", timeMode="EventTime"
+    """Sessions of each user as they are closed.  Needs the RocksDB state store.  Times go to Python as microseconds, whatever the
+    session's time zone."""
+    out = stream.select("user_id", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=Inactivity(gap_ms), outputStructType="user_id long, started long, ended long, n long, closed_by string", outputMode="Append", timeMode="EventTime"
     )
+    return out.withColumns({c: F.timestamp_micros(c) for c in ("started", "ended")})
 
 
 def disordered(df: DataFrame, at: str, delay: Column, *then: str, batches: int = 10) -> DataFrame:
