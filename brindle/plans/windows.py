@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from brindle.operators.scan import running
+from brindle.operators.scan import framed, running
 from brindle.operators.windows import excluding, over_groups, sessions, sum_excluding_current, top_k
 from brindle.plans import query, sql
 from brindle.sources import table
@@ -65,6 +65,14 @@ def w14_running_aggregates(spark, sf_dir):
     return running(events, ["view"], ["ts", "event_id"], aggregates).select("event_id", F.round("total", 4).alias("total"), "n", "top", "click")
 
 
+@query("w15_rows_frame_of_hot_keys", "SELECT event_id, round(sum(value) OVER w, 4) AS total, max(value) OVER w AS top, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type = 'view' ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND 2 FOLLOWING)")
+def w15_rows_frame_of_hot_keys(spark, sf_dir):
+    """The frame of W8 where two keys hold all events."""
+    events = table(spark, sf_dir, "events").withColumn("view", F.col("event_type") == "view")
+    out = framed(events, ["view"], ["ts", "event_id"], {"total": ("sum", F.col("value")), "top": ("max", F.col("value")), "n": ("count", F.lit(1))}, 4, 2)
+    return out.select("event_id", F.round("total", 4).alias("total"), "top", "n")
+
+
 @query("o04_top_k_per_group", "SELECT c_nationkey, c_custkey, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) t WHERE rank <= 3")
 def o04_top_k_per_group(spark, sf_dir):
     return top_k(table(spark, sf_dir, "customer"), ["c_nationkey"], [F.desc("c_acctbal"), F.col("c_custkey")], 3).select("c_nationkey", "c_custkey", "rank")
