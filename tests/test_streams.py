@@ -66,7 +66,7 @@ def test_a_failed_task_leaves_nothing_to_be_seen(spark):
     assert parts_left(where) == before and read_parts(spark, where, "id long").count() == 1000
 
 
-@pytest.mark.parametrize("batches,task", [(1, 1000), (3, 7), (50, 4)])
+@pytest.mark.parametrize("batches,task", [(1, 1000), (3, 7), (20, 4)])
 def test_feed_gives_each_row_once_in_order(spark, monkeypatch, batches, task):
     monkeypatch.setattr(S, "TASK_ROWS", task)
     df = spark.createDataFrame([(None if i % 17 == 0 else (i * 37) % 101, i, "x" * (i % 3)) for i in range(100)], "t int, i int, s string")
@@ -108,9 +108,8 @@ def test_broken_off_and_resumed(spark, mode):
     df = spark.createDataFrame([(START + timedelta(minutes=i), "ab"[i % 2]) for i in range(600)], "ts timestamp, event_type string")
     where = folder(spark, "rows")
     df.repartitionByRange("ts").sortWithinPartitions("ts").write.parquet(where)
-    make = lambda broken: S.in_runs(spark, lambda c: S.tumbling(S.replayed(spark, where, df.schema, 8, c), "1 hour", "1 hour"), mode, broken)
-    assert rows_of(make((0, 3, 3 + 1))) == rows_of(make(()))
-    assert rows_of(make((2, 2))) == rows_of(make(()))
+    make = lambda broken: S.in_runs(spark, lambda c: S.tumbling(S.replayed(spark, where, df.schema, 5, c), "1 hour", "1 hour"), mode, broken)
+    assert rows_of(make((0, 3, 3))) == rows_of(make(()))
 
 
 def test_other_failures_are_not_taken_for_breaks(spark):
