@@ -149,3 +149,16 @@ def test_pandas_gets_chunks_of_groups(spark, tmp_path, monkeypatch):
     spreads = udfs.x03_pandas_aggregate(spark, str(tmp_path))
     assert "chunk" in spreads._jdf.queryExecution().executedPlan().toString()
     assert {x["event_type"]: x["s"] for x in spreads.collect()} == {t: max(v) - min(v) for t, v in values.items()}
+
+
+def test_recursion_has_no_limit_of_rows(spark, sf_dir):
+    """Spark's limit is a million rows; here it is set below the number of parts."""
+    from brindle.catalog import QUERIES
+
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 50)
+    try:
+        depths = QUERIES["p15_recursive_tree"](spark, sf_dir).collect()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey > 0").count()
+    assert sum(x["n"] for x in depths) == parts > 50
