@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from brindle.functions import sample_skewness
-from brindle.functions.sketches import in_all, in_first_only, merged, sketched
+from brindle.functions.sketches import bitmaps, bitmaps_merged
 from brindle.operators.scan import quantiles
 from brindle.plans import query, sql
 from brindle.scratch import folder
@@ -95,11 +95,13 @@ WITH u AS (SELECT date_trunc('week', ts) AS week, user_id, bool_or(event_type =
 SELECT CAST(week AS DATE) AS week, count(*) AS users, count(*) FILTER (WHERE click AND purchase) AS buyers_who_click, count(*) FILTER (WHERE click AND NOT purchase AND NOT error) AS only_click,
 CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY week""")
 def a25_sketches_by_day(spark, sf_dir):
-    """A sketch for each day is stored, and weeks are put together from those.  Below some thousand users a sketch holds all of them, so that
-    the estimates are the counts."""
-    types = ["click", "purchase", "error"]
-    daily = sketched(table(spark, sf_dir, "events"), [F.to_date("ts").alias("day")], "user_id", "value", {t: F.col("event_type") == t for t in types})
+    """Bitmaps of the users of each day are stored, and weeks are put together from those.  Bitmaps are exact, where HyperLogLog and Theta
+    sketches are estimates beyond some thousand users."""
+    is_type = lambda *types: F.col("event_type").isin(*types)
+    segments = {"c": is_type("click"), "p": is_type("purchase"), "cp": is_type("click", "purchase"), "pe": is_type("purchase", "error"), "cpe": is_type("click", "purchase", "error")}
+    daily = bitmaps(table(spark, sf_dir, "events"), [F.to_date("ts").alias("day")], "user_id", "value", segments)
     where = folder(spark, "sketches")
     daily.write.parquet(where)
-    weeks = merged(spark.read.schema(daily.schema).parquet(where), [F.date_trunc("week", "day").cast("date").alias("week")], types)
-    return weeks.select("week", F.hll_sketch_estimate("items_hll").alias("users"), in_all("click", "purchase").alias("buyers_who_click"), in_first_only("click", "purchase", "error").alias("only_click"), F.kll_sketch_get_n_double("values_kll").alias("n"))
+    weeks = bitmaps_merged(spark.read.schema(daily.schema).parquet(where), [F.date_trunc("week", "day").cast("date").alias("week")], list(segments))
+    # what is in both, and in the first only, by the sizes of unions
+    return weeks.select("week", F.col("items").alias("users"), (F.col("c") + F.col("p") - F.col("cp")).alias("buyers_who_click"), (F.col("cpe") - F.col("pe")).alias("only_click"), F.col("n"))
\ No newline at end of file
