@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import cosine, dot, json_int, word_count
+from brindle.operators.products import query_products
 from brindle.plans import query, sql
 from brindle.sources import table
 
@@ -76,10 +77,10 @@ def f14_vector_products(spark, sf_dir):
 SELECT a.vec_id, b.vec_id AS other, CAST(round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS DECIMAL(9, 4)) AS dot, CAST(round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS DECIMAL(9, 4)) AS cosine
 FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 100 = 0""")
 def f14_query_vectors(spark, sf_dir):
-    """The vectors whose number 100 divides (the stated query set), in broadcast blocks, with all vectors."""
+    """The vectors whose number 100 divides (the stated query set) with all vectors, by tiles."""
     e = table(spark, sf_dir, "embeddings")
-    b = e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("second"))
-    return query_blocks(e.filter("vec_id % 100 = 0").select("vec_id", "embedding"), b).select("vec_id", "other", F.round(dot(F.col("embedding"), F.col("second")), 4).cast("decimal(9, 4)").alias("dot"), F.round(cosine(F.col("embedding"), F.col("second")), 4).cast("decimal(9, 4)").alias("cosine"))
+    found = query_products(e.filter("vec_id % 100 = 0").select("vec_id", "embedding"), e.select(F.col("vec_id").alias("other"), "embedding"))
+    return found.select("vec_id", "other", *(F.coalesce(f"{c}_rounded", F.round(c, 4).cast("decimal(9, 4)")).alias(c) for c in ("dot", "cosine")))
 
 
 def query_blocks(queries, rows, size=50_000):

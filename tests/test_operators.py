@@ -162,3 +162,34 @@ def test_recursion_has_no_limit_of_rows(spark, sf_dir):
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey > 0").count()
     assert sum(x["n"] for x in depths) == parts > 50
+
+
+def test_query_products_by_tiles(spark):
+    """Odd vectors, strips of three, and the same doubles as the column functions give."""
+    from brindle.functions import cosine, dot
+    from brindle.operators.products import query_products
+
+    odd = [[1.0, 2.0, 3.0], [0.0, 0.0, 0.0], None, [], [1.0, None, 2.0], [1.0, 2.0], [float("nan"), 1.0, 1.0], [float("inf"), 0.0, 1.0], [-0.1, 0.7, 1e30], [1e-30, 0.3, -0.2]]
+    a = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "q long, v array<float>").repartition(2)
+    b = spark.createDataFrame([(None if i == 3 else i, x) for i, x in enumerate([*odd, *odd])], "r int, w array<float>").repartition(3)
+    found = query_products(a, b, side=3)
+    assert "CoGroup" in found._jdf.queryExecution().executedPlan().toString() and found.rdd.getNumPartitions() >= 28
+    shorter = F.size("v") != F.size("w")
+    plain = a.crossJoin(b).select("q", "r", F.when(~shorter, dot(F.col("v"), F.col("w"))).alias("dot"), F.when(~shorter, cosine(F.col("v"), F.col("w"))).alias("cosine"))
+    assert sorted(map(str, map(tuple, found.select("q", "r", "dot", "cosine").collect()))) == sorted(map(str, map(tuple, plain.collect())))
+
+
+def test_rounded_products(spark):
+    """As Spark's round does, or null: halves as doubles have them, values beside them, signs, and what has no decimal."""
+    import random
+
+    import numpy as np
+
+    from brindle.operators.products import rounded
+
+    rng = random.Random(4)
+    values = [k / 20000 + d for k in range(-50, 50) for d in (0.0, 1e-17, -1e-15, 1e-9, -1e-9, 1e-6)] + [rng.uniform(-1, 1) for _ in range(2000)] + [rng.uniform(-80000, 80000) for _ in range(500)] + [-0.0, 1e-300, 89999.99999, 99999.0, 1e30]
+    own = rounded(np.array([*values, float("nan"), float("inf"), 0.5]), np.array([False] * (len(values) + 2) + [True]), 4).to_pylist()
+    theirs = spark.createDataFrame([(i, x) for i, x in enumerate(values[:-2])], "i int, x double").select("i", F.round("x", 4).cast("decimal(9, 4)").alias("x")).collect()
+    assert all(own[r["i"]] in (None, r["x"]) for r in theirs) and sum(x is None for x in own) < 700
+    assert own[-5:] == [None] * 5
