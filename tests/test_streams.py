@@ -162,3 +162,19 @@ def test_folders_are_pruned_while_the_query_runs(spark, sf_dir):
     from brindle.plans.io import s08_dynamic_pruning
 
     assert "dynamicpruning" in s08_dynamic_pruning(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_totals_of_many_users_take_few_calls(spark, monkeypatch, named):
+    """Users share their state by blocks, over micro-batches; a null user and large numbers are told apart."""
+    monkeypatch.setattr(S, "BLOCKS", 3)
+    big = 2**60
+    rows = [(i, None if i % 50 == 0 else big + i % 40 if i % 3 else i % 40, float(i % 13)) for i in range(800)]
+    stream = S.arriving(spark.createDataFrame(rows, "event_id long, user_id long, value double"), "event_id")
+    with rocksdb(spark):
+        out = S.finish((S.running_totals_named if named else S.running_totals)(stream), "update")
+    got = {r["user_id"]: (r["n"], r["total"]) for r in out.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total")).collect()}
+    own = lambda u: [v for _, w, v in rows if w == u]
+    assert got == {u: (len(own(u)), sum(own(u))) for u in {r[1] for r in rows}}
+    wanted = spark.createDataFrame([(i, i) for i in range(9)], "user_id long, value long")
+    assert S.in_blocks(wanted).select("block").distinct().count() <= 3
