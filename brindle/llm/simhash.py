@@ -485,7 +485,8 @@ def set_links(cells: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
         now = compared(pairs, n, docs, nodes, shingle, similarity)
         results = now if results is None else results.unionByName(now)
         if not now.filter("same").isEmpty():
-            found = written(components(results.filter("same").select("a", "b")), "roots")
+            both = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(now.filter("same").select("a", "b"))  # what is found stands for earlier links
+            found = written(components(both), "roots")
         # a cell in which nobody asked has no candidates, and will have none
         active = asked.select("key", "i", "j").distinct()
         fewer = written(cells.join(active.hint("merge"), ["key", "i", "j"], "left_semi"), "cells")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, hashed_sample, slices, table, texts, words
+from .common import column, give_back, hashed_sample, slices, table, texts, words
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 #: Beginnings of a word, in bytes, that have embeddings of their own; beyond LONG bytes a word's windows of WINDOW characters follow it.
@@ -286,7 +286,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     rows = docs.filter(F.octet_length("text") <= longest).join(F.broadcast(chosen), "id")
     rows = rows.groupBy("id", "toxic").agg(F.min("text").cast("binary").alias("text"))
     rows = sorted(((x["id"], bytes(x["text"]), x["toxic"]) for x in rows.toLocalIterator()))  # at most `sample`
-    return train([x[1] for x in rows], np.array([x[2] for x in rows], int))
+    model = train([x[1] for x in rows], np.array([x[2] for x in rows], int))
+    del rows
+    give_back()  # the driver lives on for other stages
+    return model
 
 
 def scores_of(model: Model, column_: pa.Array) -> np.ndarray:

@@ -124,5 +124,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_no_plan_of_components_repeats_a_star(spark, monkeypatch):
+    from brindle.llm import common
+
+    joins, own = [], common.cut
+
+    def cut(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return own(df)
+
+    monkeypatch.setattr(common, "cut", cut)
+    found = common.components(spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == [(2, 1), (3, 1), (5, 4)] and max(joins) == 1
+
+
 def test_the_shared_folder_is_the_session_s(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

@@ -206,3 +206,24 @@ def test_a_step_follows_the_gradient():
     up = loss()
     before.offset = held - 1e-4
     near((held - after.offset) / 1e-4, (up - loss()) / 2e-4)
+
+
+def test_what_the_fit_took_goes_back_to_the_system(spark, monkeypatch):
+    from pathlib import Path
+
+    from brindle.llm import toxicity
+
+    def held():
+        return sum(int(x.split()[1]) for x in Path("/proc/self/smaps_rollup").read_text().splitlines() if x.startswith("Pss_Anon:")) // 1024
+
+    def train(rows, labels):
+        small = [bytearray(50_000) for _ in range(6000)]  # 300 MB; the last keeps the C library from giving the others back
+        model = toxicity.Model(np.zeros((1, 1)))
+        model.last = small[-1]
+        return model
+
+    monkeypatch.setattr(toxicity, "train", train)
+    docs, labels = spark.createDataFrame([(1, "a")], "id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    before = held()
+    model = toxicity.fit(docs, labels)
+    assert model.last is not None and held() - before < 100
